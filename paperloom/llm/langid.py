@@ -202,3 +202,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Fit on the labelled rows of `docs` that aren't held out, then label every row."""
     out = label_spans(docs, fit(docs, id_col), id_col=id_col)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, penalty: float = 12.0, text_col: str = "text") -> DataFrame:
+    """Rows of `docs`, all columns, whose text has a language with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value, penalty)
+        for batch in batches:
+            got = (labeller.label(t.as_py()) for t in batch.column(column))
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, langid, mixing, quality, secrets, warc
+from paperloom.llm import bpe, decontam, jaccard, langid, mixing, pii, quality, secrets, substring, warc
 from paperloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Of the example queries; a user passes their own.
+PII_KEY = b"paperloom example key"
+
+
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymize(read_table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +27,19 @@ def warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_windows(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +48,10 @@ def mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(read_table(spark, sf_dir, "documents"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -39,11 +59,15 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": pii_surrogates,
     "op2_language_spans": language_spans,
     "op3_warc_chain": warc_chain,
+    "op4_benchmark_leaks": benchmark_leaks,
     "op5_secret_links": secret_links,
+    "op6_window_dedup": window_dedup,
     "op7_quality_divergence": quality_divergence,
     "op8_mixing_blocks": mixing_blocks,
+    "op9_jaccard_join": jaccard_join,
     "op10_token_counts": token_counts,
 }
 ORACLE: dict[str, str] = {}
