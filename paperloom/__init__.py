@@ -1,0 +1 @@
+"""Literature records to a queryable graph, as Spark jobs."""
