@@ -7,9 +7,10 @@ every window but the first by (id, start) is a repeat.
 
 Before anything is sent, repeats inside a chunk of documents are marked on the spot and
 only first occurrences travel, so a passage that very many documents share reaches its
-bucket once a chunk. Minimisers of more than 1/HOT of all super-k-mers, whose windows
-differ around a common phrase, are split: their windows travel singly to the bucket of
-their own hash. A first pass finds them: each has at least 1/(2 HOT) of some chunk's.
+bucket once a chunk. The packed super-k-mers are written to the shared folder with what
+each chunk has most of. Minimisers of more than 1/HOT of all super-k-mers, whose windows
+differ around a common phrase, are then split: their windows travel singly to the bucket
+of their own hash. None is missed: each has at least 1/(2 HOT) of some chunk's.
 
 Defined results: null text has no words; null ids come last and count as one document;
 rows that share an id are one document, and equal windows at the same start of it are not
@@ -18,7 +19,6 @@ repeats of each other; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-WORD = re.compile(r"[^ \t-\r]+")
-WINDOW, GRAM = 20, 6
+from paperloom.llm.common import materialize
+
+WINDOW, GRAM = 20, 3
 HOT = 1000
-#: Characters handled together in a task, and windows that a bucket should hold.
-CHUNK_CHARS, BUCKET_WINDOWS = 6_000_000, 400_000
+#: Bytes of text handled together in a task, and bytes of text whose windows a bucket should hold.
+CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 2_500_000
 DICTIONARY = 300_000
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +46,7 @@ class Words(dict):
         super().__init__()
         self.list: list[int] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self.list)
         self.list.append(xxh3_64_intdigest(word))
         return k
@@ -93,16 +94,16 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 class Chunk:
     """Words of some documents in (id, key) order, with the windows that lie inside one document."""
 
-    def __init__(self, docs: list[tuple[int, int, str]], known: Words) -> None:
+    def __init__(self, docs: list[tuple[int, int, bytes]], known: Words) -> None:
         known.fresh()
         docs.sort(key=lambda d: (d[0], d[1]))
-        found = [WORD.findall(d[2]) for d in docs]
+        found = [d[2].split() for d in docs]  # of bytes: at space and 09 to 0D
         self.docs = [(d[0], d[1]) for d in docs]
         sizes = np.array([len(f) for f in found], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.words: list[str] = [w for f in found for w in f]
-        self.ids = np.fromiter(map(known.__getitem__, self.words), np.int32, len(self.words))
-        n = len(self.words) - WINDOW + 1
+        words = [w for f in found for w in f]
+        self.ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        n = len(words) - WINDOW + 1
         if n <= 0:
             self.at = self.window = self.mini = np.zeros(0, np.uint64)
             return
@@ -120,14 +121,13 @@ class Chunk:
         return np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, int, str]]]:
-    """Rows (id, key, text) in lists of about `most` characters."""
+def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Rows (id, key, text) in lists of about `most` bytes."""
     part, size = [], 0
     for batch in batches:
-        for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            text = text.as_py()
-            part.append((i, key, text))
-            size += len(text)
+        for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+            part.append((i, key, text.as_py()))
+            size += len(part[-1][2])
             if size >= most:
                 yield part
                 part, size = [], 0
@@ -150,38 +150,38 @@ def intervals(start: np.ndarray) -> bytes:
     return np.stack([first, last + WINDOW], 1).astype(np.int32).tobytes()
 
 
-def hot_minimisers(rows: DataFrame, hot: int = HOT, chunk_chars: int = CHUNK_CHARS) -> tuple[int, list[int]]:
-    """Number of windows and the minimisers to split, of which there are at most 4 `hot`."""
+#: kind: words (packed super-k-mers), cover (repeats found in a chunk), runs (their number), mini (a frequent minimiser and its number).
+PACKED = "kind string, bucket long, n long, ids binary, keys binary, starts binary, sizes binary, codes binary, words binary, n_codes long, n_words long"
+SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in PACKED.split(", "))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for docs in chunks(batches, chunk_chars):
-            c = Chunk(docs, known)
-            if not len(c.at):
-                continue
-            first, _ = c.runs(np.ones(len(c.at), bool), c.mini)
-            keys, n = np.unique(c.mini[first], return_counts=True)
-            big = n * 2 * hot >= len(first)
-            key = [None, None, *keys[big].view(np.int64).tolist()]
-            kind = ["windows", "runs", *["mini"] * int(big.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key, pa.int64()), pa.array([len(c.at), len(first), *n[big].tolist()], pa.int64())], names=["kind", "mini", "n"])
 
-    sums = rows.mapInArrow(run, "kind string, mini long, n long").groupBy("kind", "mini").agg(F.sum("n").alias("n"))
-    got = sums.orderBy(F.col("kind") == "mini", F.desc("n"), "mini").limit(2 + 4 * hot).collect()
-    total = {r.kind: r.n for r in got if r.kind != "mini"}
-    return total.get("windows", 0), [r.mini for r in got if r.kind == "mini" and r.n * 4 * hot >= total["runs"]]
+def packed_rows(to: np.ndarray, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, begin: np.ndarray, sizes: np.ndarray, codes: np.ndarray, names: list[bytes]) -> Iterator[dict]:
+    """One row per bucket of runs of words: their distinct words once, and the runs as numbers of these."""
+    by = np.argsort(to, kind="stable")
+    for lo, hi in edges(to[by]):
+        runs = by[lo:hi]
+        n = sizes[runs]
+        at = np.repeat(begin[runs] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        own, code = np.unique(codes[at], return_inverse=True)
+        text = b" ".join([names[k] for k in own.tolist()])
+        data = code.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes()
+        yield {
+            "kind": "words", "bucket": int(to[by[lo]]), "n": len(own), "ids": ids[runs].tobytes(), "keys": keys[runs].tobytes(), "starts": starts[runs].astype(np.int32).tobytes(), "sizes": n.astype(np.int32).tobytes(),
+            "codes": pa.compress(data, "zstd", asbytes=True), "words": pa.compress(text, "zstd", asbytes=True), "n_codes": len(data), "n_words": len(text),
+        }
 
 
-PACKED = "bucket long, ids binary, keys binary, starts binary, sizes binary, words binary, n_bytes long"
+def batched(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_pylist(rows[k : k + 1000], schema=SCHEMA)
 
 
-def pack(rows: DataFrame, n_buckets: int, split_at: list[int], chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Super-k-mers by bucket, packed; and the repeats found inside chunks, as rows without words."""
-    split = np.array(sorted(split_at), np.int64).view(np.uint64)
+def pack(rows: DataFrame, n_buckets: int, hot: int, chunk_bytes: int) -> DataFrame:
+    """Super-k-mers by bucket, packed; repeats found inside chunks; and each chunk's frequent minimisers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for docs in chunks(batches, chunk_chars):
+        for docs in chunks(batches, chunk_bytes):
             c = Chunk(docs, known)
             if not len(c.at):
                 continue
@@ -196,33 +196,69 @@ def pack(rows: DataFrame, n_buckets: int, split_at: list[int], chunk_chars: int
             same = equal_windows(c.ids, c.at[a], c.at[b]) & ((ids[of[a]] < ids[of[b]]) | (start[a] < start[b]) & (ids[of[a]] == ids[of[b]]))
             repeat = np.zeros(len(c.at), bool)
             repeat[b[same]] = True
-            out: list[tuple] = []
+            out: list[dict] = []
             for lo, hi in edges(of[repeat]):
                 k = of[repeat][lo]
-                out.append((int(ids[k] % n_buckets), ids[k : k + 1].tobytes(), keys[k : k + 1].tobytes(), intervals(start[repeat][lo:hi]), b"", b"", 0))
+                out.append({"kind": "cover", "bucket": int(ids[k] % n_buckets), "ids": ids[k : k + 1].tobytes(), "keys": keys[k : k + 1].tobytes(), "starts": intervals(start[repeat][lo:hi])})
             if not repeat.all():
                 kept = ~repeat
-                lone = np.isin(c.mini, split) if len(split) else np.zeros(len(c.at), bool)
-                route = np.where(lone, mixed(c.window), c.mini)
-                first, last = c.runs(kept, route)
-                at, owner, to = c.at[kept], of[kept], (route[kept][first] % np.uint64(n_buckets)).astype(np.int64)
-                by = np.argsort(to, kind="stable")
-                for lo, hi in edges(to[by]):
-                    runs = by[lo:hi]
-                    begin, end = at[first[runs]], at[last[runs]] + WINDOW
-                    words: list[str] = []
-                    for x, y in zip(begin.tolist(), end.tolist()):
-                        words += c.words[x:y]
-                    who = owner[first[runs]]
-                    data = " ".join(words).encode("utf-8")
-                    out.append((int(to[by[lo]]), ids[who].tobytes(), keys[who].tobytes(), (begin - c.first[who]).astype(np.int32).tobytes(), (end - begin).astype(np.int32).tobytes(), pa.compress(data, "zstd", asbytes=True), len(data)))
-            kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64()]
-            for k in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 2000]), kinds)], names=[x.split()[0] for x in PACKED.split(", ")])
+                first, last = c.runs(kept, c.mini)
+                at, who, mini = c.at[kept], of[kept][first], c.mini[kept][first]
+                begin = at[first]
+                out += packed_rows((mini % np.uint64(n_buckets)).astype(np.int64), ids[who], keys[who], begin - c.first[who], begin, at[last] + WINDOW - begin, c.ids, list(known))
+                values, n = np.unique(mini, return_counts=True)
+                big = n * 2 * hot >= len(mini)
+                out.append({"kind": "runs", "n": len(mini)})
+                out += [{"kind": "mini", "bucket": v, "n": m} for v, m in zip(values[big].view(np.int64).tolist(), n[big].tolist())]
+            yield from batched(out)
 
     return rows.mapInArrow(run, PACKED)
 
 
+class Runs:
+    """Runs of words of one or more packed rows, with all their windows."""
+
+    def __init__(self, rows: list[dict], known: Words) -> None:
+        self.ids, self.keys, self.starts, self.sizes = (np.concatenate([np.frombuffer(r[c], t) for r in rows]).astype(np.int64) for c, t in (("ids", np.int64), ("keys", np.int64), ("starts", np.int32), ("sizes", np.int32)))
+        parts = []
+        for r in rows:
+            names = pa.decompress(r["words"], r["n_words"], "zstd", asbytes=True).split(b" ")
+            own = np.fromiter(map(known.__getitem__, names), np.int32, len(names))
+            parts.append(own[np.frombuffer(pa.decompress(r["codes"], r["n_codes"], "zstd", asbytes=True), np.uint32 if r["n"] > 65535 else np.uint16)])
+        self.codes = np.concatenate(parts)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.hash = known.hashes()[self.codes]
+
+    def minimisers(self) -> np.ndarray:
+        return sliding_min(mixed(grams(self.hash, GRAM)), WINDOW - GRAM + 1)[self.begin]
+
+    def windows(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, place in the codes, hash) of the windows of the kept runs."""
+        runs = np.flatnonzero(keep)
+        n = self.sizes[runs] - WINDOW + 1
+        at = np.repeat(self.begin[runs] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.repeat(runs, n), at, grams(self.hash, WINDOW)[at]
+
+
+def split_hot(packed: DataFrame, hot: list[int], n_buckets: int) -> DataFrame:
+    """The windows of hot minimisers, packed singly by their own hash."""
+    split = np.array(sorted(hot), np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            for row in batch.to_pylist():
+                known.fresh()
+                r = Runs([row], known)
+                keep = np.isin(r.minimisers(), split)
+                if keep.any():
+                    own, at, h = r.windows(keep)
+                    to = (mixed(h) % np.uint64(n_buckets)).astype(np.int64)
+                    yield from batched(list(packed_rows(to, r.ids[own], r.keys[own], r.starts[own] + at - r.begin[own], at, np.full(len(at), WINDOW), r.codes, list(known))))
+
+    return packed.mapInArrow(run, PACKED)
+
+
 def edges(x: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of equal values."""
     if not len(x):
@@ -234,76 +270,91 @@ def edges(x: np.ndarray) -> Iterator[tuple[int, int]]:
 COVER = "id long, key long, cover binary"
 
 
-def repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket: which words of which documents its repeated windows cover."""
-    found: list[tuple[int, int, bytes]] = []
-    packed = []
-    for row in table.to_pylist():
-        if row["n_bytes"]:
-            packed.append(row)
-        else:
-            found.append((int(np.frombuffer(row["ids"], np.int64)[0]), int(np.frombuffer(row["keys"], np.int64)[0]), row["starts"]))
-    if packed:
-        ids, keys, starts, sizes = (np.concatenate([np.frombuffer(r[c], t) for r in packed]).astype(np.int64) for c, t in (("ids", np.int64), ("keys", np.int64), ("starts", np.int32), ("sizes", np.int32)))
-        known, words = Words(), []
-        for r in packed:
-            words.append(np.fromiter(map(known.__getitem__, pa.decompress(r["words"], r["n_bytes"], "zstd", asbytes=True).decode("utf-8").split(" ")), np.int32))
-        word = np.concatenate(words)
-        n = sizes - WINDOW + 1
-        run = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        at = (np.cumsum(sizes) - sizes)[run] + inner
-        h = grams(known.hashes()[word], WINDOW)[at]
-        doc, start = ids[run], starts[run] + inner
-        order = np.lexsort((start, doc, h))
-        again = np.zeros(len(order), bool)
-        head = np.arange(len(order))
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        rest = np.flatnonzero(~new)
-        equal = equal_windows(word, at[order[rest]], at[order[head[rest]]])
-        later = (doc[order[rest]] != doc[order[head[rest]]]) | (start[order[rest]] != start[order[head[rest]]])
-        again[rest] = equal & later
-        for k in np.unique(head[rest[~equal]]):  # different windows of one hash: by their words
-            firsts: dict[bytes, tuple[int, int]] = {}
-            for p in range(k, len(order)):
-                if p > k and new[p]:
-                    break
-                w = word[at[order[p]] : at[order[p]] + WINDOW].tobytes()
-                place = (int(doc[order[p]]), int(start[order[p]]))
-                again[p] = firsts.setdefault(w, place) != place
-        hit = order[again]
-        hit = hit[np.lexsort((start[hit], keys[run[hit]], doc[hit]))]
-        who = np.stack([doc[hit], keys[run[hit]]], 1)
-        cut = (np.flatnonzero((who[1:] != who[:-1]).any(1)) + 1).tolist() if len(hit) else []
-        for lo, hi in zip([0, *cut], [*cut, len(hit)]) if len(hit) else ():
-            found.append((int(who[lo, 0]), int(who[lo, 1]), intervals(np.unique(start[hit[lo:hi]]))))
-    return pa.table({"id": pa.array([f[0] for f in found], pa.int64()), "key": pa.array([f[1] for f in found], pa.int64()), "cover": pa.array([f[2] for f in found], pa.binary())})
-
-
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, chunk_chars: int = CHUNK_CHARS, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def repeated(rows: list[dict], split: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(id, key, covered words) of the windows of a bucket that also start earlier."""
+    known = Words()
+    r = Runs(rows, known)
+    keep = ~np.isin(r.minimisers(), split) if len(split) else np.ones(len(r.sizes), bool)
+    if not keep.any():
+        return
+    run, at, h = r.windows(keep)
+    order = np.argsort(h)
+    twin = np.zeros(len(order), bool)
+    twin[1:] = h[order[1:]] == h[order[:-1]]
+    twin[:-1] |= twin[1:].copy()
+    order = order[twin]  # only windows whose hash occurs again are compared
+    doc, start = r.ids[run[order]], r.starts[run[order]] + at[order] - r.begin[run[order]]
+    by = np.lexsort((start, doc, h[order]))
+    order, doc, start = order[by], doc[by], start[by]
+    if not len(order):
+        return
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    rest = np.flatnonzero(~new)
+    again = np.zeros(len(order), bool)
+    equal = equal_windows(r.codes, at[order[rest]], at[order[head[rest]]])
+    again[rest] = equal & ((doc[rest] != doc[head[rest]]) | (start[rest] != start[head[rest]]))
+    for k in np.unique(head[rest[~equal]]):  # different windows of one hash: by their words
+        firsts: dict[bytes, tuple[int, int]] = {}
+        for p in range(k, len(order)):
+            if p > k and new[p]:
+                break
+            w, place = r.codes[at[order[p]] : at[order[p]] + WINDOW].tobytes(), (int(doc[p]), int(start[p]))
+            again[p] = firsts.setdefault(w, place) != place
+    doc, start, key = doc[again], start[again], r.keys[run[order[again]]]
+    by = np.lexsort((start, key, doc))
+    doc, start, key = doc[by], start[by], key[by]
+    cut = (np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1).tolist()
+    for lo, hi in zip([0, *cut], [*cut, len(doc)]) if len(doc) else ():
+        yield int(doc[lo]), int(key[lo]), intervals(np.unique(start[lo:hi]))
+
+
+def covers(packed: DataFrame, hot: list[int]) -> DataFrame:
+    """(id, key, cover) by bucket; runs of hot minimisers are left out."""
+    split = np.array(sorted(hot), np.int64).view(np.uint64)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        found = [(int(np.frombuffer(r["ids"], np.int64)[0]), int(np.frombuffer(r["keys"], np.int64)[0]), r["starts"]) for r in rows if r["kind"] == "cover"]
+        words = [r for r in rows if r["kind"] == "words"]
+        found += repeated(words, split) if words else []
+        return pa.table({"id": pa.array([f[0] for f in found], pa.int64()), "key": pa.array([f[1] for f in found], pa.int64()), "cover": pa.array([f[2] for f in found], pa.binary())})
+
+    return packed.groupBy("bucket").applyInArrow(run, COVER)
+
+
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row: id, n_words, n_removed and the text that is kept, its words joined by spaces."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    n_windows, split_at = hot_minimisers(rows, hot, chunk_chars)
-    n_buckets = max(8, n_windows // bucket_windows)
-    cover = pack(rows, n_buckets, split_at, chunk_chars).groupBy("bucket").applyInArrow(repeats, COVER)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    n_buckets = max(8, size // bucket_bytes)
+    packed = materialize(pack(rows, n_buckets, hot, chunk_bytes))
+    # At most 4 `hot` minimisers have that share, so the list is bounded.
+    total = packed.where("kind = 'runs'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    often = packed.where("kind = 'mini'").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") * 4 * hot >= total)
+    split_at = [r.bucket for r in often.collect()]
+    cover = covers(packed.where("kind in ('words', 'cover')"), split_at)
+    if split_at:
+        places = sorted({(h & 0xFFFFFFFFFFFFFFFF) % n_buckets for h in split_at})
+        cover = cover.unionByName(covers(split_hot(packed.where((F.col("kind") == "words") & F.col("bucket").isin(places)), split_at, n_buckets), []))
     cover = cover.groupBy("id", "key").agg(F.collect_list("cover").alias("cover"))  # a document's own intervals
     joined = rows.join(cover, ["id", "key"], "left").select("id", "text", "cover")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, text, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                words = WORD.findall(text.as_py())
-                n, parts = len(words), parts.as_py()
+            ids, sizes, gone, kept = [], [], [], []
+            for i, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2)):
+                words, parts = text.as_py().split(), parts.as_py()
+                n = len(words)
                 if parts:
                     spans = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 2) for p in parts])
                     depth = np.bincount(spans[:, 0], minlength=n + 1) - np.bincount(spans[:, 1], minlength=n + 1)
-                    gone = np.cumsum(depth)[:n] > 0
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                out.append((None if i == LAST else i, n, n - len(words), " ".join(words)))
-            cols = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=[id_col, "n_words", "n_removed", "kept"])
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(depth)[:n] <= 0).tolist()]
+                ids.append(None if i == LAST else i)
+                sizes.append(n)
+                gone.append(n - len(words))
+                kept.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
 
     return joined.mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept string")
