@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import text_batches
+
 #: Fixed value: the published pre-token pattern of byte-level BPE, white space spelt out.
 PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -130,4 +132,4 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 512, id_col: str
                 schema=out,
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(rows).mapInArrow(run, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")

@@ -39,3 +39,15 @@ def purge(spark: SparkSession) -> None:
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows that go to a Python worker at once. Texts can be long, and a worker holds some copies of a batch.
+ARROW_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """`df`, with Arrow batches of at most ARROW_ROWS rows in its session."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df

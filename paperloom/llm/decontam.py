@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import text_batches
+
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MATCH, MISS, GAP = 2, -1, 1
@@ -154,7 +156,7 @@ def with_seeds(rows: DataFrame, items: Items, rare_share: float) -> Items:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["gram", "n"])
 
-    counts = rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most the block's n-grams
+    counts = text_batches(rows).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most the block's n-grams
     items.keep_rarest({r.gram: r.n for r in counts}, rare_share)
     return items
 

@@ -26,7 +26,6 @@ one node; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import materialize, text_batches
 
-WORD = re.compile(rb"[^ \t-\r]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SQUARE = np.uint64(0x9E3779B97F4A7C15**2 & 0xFFFFFFFFFFFFFFFF)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -59,8 +57,8 @@ class Hashes(dict):
 
 
 def shingle_set(text: str | None, n: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; A-Z are lower-cased, other letters stay."""
-    words = WORD.findall(text.encode("utf-8").lower()) if text else []
+    """Sorted distinct hashes of the n-word shingles; words end at space and 09 to 0D, A-Z are lower-cased, as bytes do."""
+    words = text.encode("utf-8").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     if len(hashes) > DICTIONARY:
@@ -134,7 +132,7 @@ def sets(docs: DataFrame, n: int, num: int, id_col: str, text_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "set", "keys"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, set binary, keys array<long>")
+    return text_batches(rows).mapInArrow(run, "id long, n_shingles long, set binary, keys array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:

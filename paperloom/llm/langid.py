@@ -19,12 +19,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import text_batches
+
 #: First and last code point of the main blocks of each script.
 SCRIPT_RANGES = [
     (0x0041, 0x024F, "Latin"), (0x1E00, 0x1EFF, "Latin"),
@@ -41,7 +44,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SCRIPT_SHARE = 0.02
 #: A language outside the script, and the worst score that one word can add.
 OUTSIDE, FLOOR = -12.0, -8.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
@@ -98,37 +101,33 @@ class Labeller:
 
     def __init__(self, model: Model, penalty: float) -> None:
         self.m, self.penalty = model, penalty
-        self.rows = np.zeros((CACHE_WORDS + 1, len(model.langs)), np.float32)
+        self.rows = np.zeros((CACHE_WORDS, max(1, len(model.langs))), np.float32)
         self.index: dict[str, int] = {}
 
-    def score(self, word: str) -> np.ndarray:
-        m = self.m
-        allowed = m.scripts.get("Latin" if word.isascii() else script_of(word[0]))
-        if allowed is None or not allowed.any():
-            return np.zeros(len(m.langs), np.float32)
-        padded, unseen, get = f"^{word}$", len(m.trigrams), m.trigrams.get
-        s = m.scores[[get(padded[i : i + 3], unseen) for i in range(len(word))]].sum(0)
-        s = np.where(allowed, s, -np.inf)
-        return np.where(allowed, np.maximum(s - s.max(), FLOOR), OUTSIDE).astype(np.float32)
-
-    def scored(self, words: list[str]) -> np.ndarray:
-        index, get = self.index, self.index.get
-        ids = [get(w, -1) for w in words]
-        if -1 in ids:
-            for k, i in enumerate(ids):
-                if i < 0:
-                    w = words[k]
-                    i = get(w, -1)
-                    if i < 0:
-                        if len(index) >= CACHE_WORDS:  # start anew, this text included
-                            index.clear()
-                            if len(set(words)) > CACHE_WORDS // 2:
-                                return np.stack([self.score(x) for x in words])
-                            return self.scored(words)
-                        i = index[w] = len(index)
-                        self.rows[i] = self.score(w)
-                    ids[k] = i
-        return self.rows[ids]
+    def learn(self, words: list[str]) -> None:
+        """Scores of words that aren't known yet, all at once."""
+        m, unseen, get = self.m, len(self.m.trigrams), self.m.trigrams.get
+        width = len(m.langs)
+        if len(self.index) + len(words) > len(self.rows):
+            self.index.clear()
+            if len(words) > len(self.rows):
+                self.rows = np.zeros((len(words), width), np.float32)
+        flat: list[int] = []
+        for w in words:
+            p = f"^{w}$"
+            flat += [get(p[i : i + 3], unseen) for i in range(len(w))]
+        starts = np.cumsum([0, *map(len, words[:-1])])
+        s = np.add.reduceat(m.scores[flat], starts, axis=0)
+        none = np.zeros(width, bool)
+        latin = m.scripts.get("Latin", none)
+        allowed = np.array([latin if w.isascii() else m.scripts.get(script_of(w[0]), none) for w in words]).reshape(len(words), width)
+        s[~allowed] = -np.inf
+        top = s.max(axis=1, keepdims=True)
+        s = np.where(allowed, np.maximum(s - np.where(np.isfinite(top), top, 0), FLOOR), OUTSIDE)
+        s[~allowed.any(axis=1)] = 0  # a script that no language writes says nothing
+        first = len(self.index)
+        self.rows[first : first + len(words)] = s
+        self.index.update(zip(words, range(first, first + len(words))))
 
     def path(self, s: np.ndarray) -> np.ndarray | int:
         """The best labels; a number if one language holds throughout, which is proven without the full search.
@@ -144,43 +143,70 @@ class Labeller:
         rise[1:] -= low[:-1]
         if rise.max() <= self.penalty / 2:
             return best
-        n, width = s.shape
-        back = np.empty((n, width), np.int16)
-        own = list(range(width))
-        at = s[0].tolist()
-        for t, row in enumerate(s[1:].tolist(), 1):
+        penalty, at = self.penalty, s[0].tolist()
+        states, tops = [at], []
+        for row in s[1:].tolist():
             top = max(at)
-            b, floor = at.index(top), top - self.penalty
-            back[t] = [k if at[k] >= floor else b for k in own]
+            tops.append(top)
+            floor = top - penalty
             at = [(x if x >= floor else floor) + y for x, y in zip(at, row)]
-        out = np.empty(n, np.int16)
+            states.append(at)
         k = at.index(max(at))
-        for t in range(n - 1, -1, -1):
-            out[t] = k
-            if t:
-                k = int(back[t, k])
-        return out
-
-    def label(self, text: str | None) -> tuple[str, float, list[dict]]:
-        words = [w.lower() for w in LETTERS.findall(text)] if text else []
-        if not self.m.langs or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0, []
-        path = self.path(self.scored(words))
-        first = LETTERS.search(text).start()
+        out = [k]
+        for at, top in zip(states[-2::-1], reversed(tops)):
+            if at[k] < top - penalty:  # it came from the best one
+                k = at.index(top)
+            out.append(k)
+        return np.array(out[::-1], np.int16)
+
+    def label(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[dict]]]:
+        """Language, score and spans of each text; some hundreds of texts at a time."""
+        found: list[list[str]] = []
+        for text in texts:
+            low = text.lower() if text else ""
+            # Lower-casing that changes lengths could move words, so those texts are lowered word by word.
+            words = LETTERS.findall(low) if len(low) == len(text or "") else [w.lower() for w in LETTERS.findall(text)]
+            found.append(words if self.m.langs and any(c.isalpha() for w in words for c in w) else [])
+        new = list({w for words in found for w in words if w not in self.index})
+        if new:
+            if len(self.index) + len(new) > len(self.rows):  # the cache begins anew, with all words of these texts
+                new = list({w for words in found for w in words})
+            self.learn(new)
+        for text, words in zip(texts, found):
+            yield self.one(text, words) if words else ("und", 0.0, [])
+
+    def one(self, text: str, words: list[str]) -> tuple[str, float, list[dict]]:
+        path = self.path(self.rows[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))])
         if isinstance(path, int):
+            first = LETTERS.search(text).start()
             end = next(k for k in range(len(text), first, -1) if text[k - 1].isalpha())
             return self.m.langs[path], 1.0, [{"start": first, "end": end, "lang": self.m.langs[path]}]
         sizes = np.bincount(path, weights=[len(w) for w in words], minlength=len(self.m.langs))
         best = int(sizes.argmax())
-        spans: list[dict] = []
-        for k, m in zip(path.tolist(), LETTERS.finditer(text)):  # lower-casing may change lengths, so places come from the text itself
-            if spans and spans[-1]["lang"] == self.m.langs[k]:
-                spans[-1]["end"] = m.end()
-            else:
-                spans.append({"start": m.start(), "end": m.end(), "lang": self.m.langs[k]})
+        # Places are needed where labels change only: the words between are passed over.
+        cut = np.flatnonzero(np.diff(path)).tolist()
+        marks, done, spans = LETTERS.finditer(text), 0, []
+        for lo, hi in zip([0, *(c + 1 for c in cut)], [*cut, len(path) - 1]):
+            m = next(islice(marks, lo - done, None))
+            start, end = m.start(), m.end() if lo == hi else next(islice(marks, hi - lo - 1, None)).end()
+            done = hi + 1
+            spans.append({"start": start, "end": end, "lang": self.m.langs[path[lo]]})
         return self.m.langs[best], float(sizes[best] / sizes.sum()), spans
 
 
+def in_parts(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Texts in lists of about so many characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.as_py())
+        size += len(part[-1] or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def label_spans(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score and the language spans of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_features x max_languages
@@ -189,13 +215,13 @@ def label_spans(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value, penalty)
         for batch in batches:
-            got = [labeller.label(t.as_py()) for t in batch.column(1)]
+            got = [g for part in in_parts(batch.column(1)) for g in labeller.label(part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], kind)],
                 names=[id_col, "lang_pred", "score", "spans"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, spans {SPANS}")
+    return text_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, spans {SPANS}")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -212,7 +238,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float, penalty: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value, penalty)
         for batch in batches:
-            got = (labeller.label(t.as_py()) for t in batch.column(column))
+            got = (g for part in in_parts(batch.column(column)) for g in labeller.label(part))
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import materialize, text_batches
 
 EMAIL = re.compile(r"[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
 NUMBER = re.compile(r"(?<![\w.])[+(]?\d[\d ().-]{5,}\d(?![\w])")
@@ -177,7 +177,7 @@ def entities(rows: DataFrame, with_key: bool = False) -> DataFrame:
             cols = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["key", "kind", "canonical"])
 
-    return rows.mapInArrow(run, "key long, kind string, canonical string")
+    return text_batches(rows).mapInArrow(run, "key long, kind string, canonical string")
 
 
 def drawn(table: DataFrame, key: bytes) -> DataFrame:
@@ -265,7 +265,7 @@ def rewritten(docs: DataFrame, key: bytes, text_col: str, broadcast_rows: int, p
     schema = StructType(list(docs.schema))
     if places:
         schema = StructType([*schema, *StructType.fromDDL(f"n_entities int, entities {FOUND}")])
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)
 
 
 def anonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import materialize, text_batches
 
 WINDOW, GRAM = 20, 3
 HOT = 1000
@@ -212,7 +212,7 @@ def pack(rows: DataFrame, n_buckets: int, hot: int, chunk_bytes: int) -> DataFra
                 out += [{"kind": "mini", "bucket": v, "n": m} for v, m in zip(values[big].view(np.int64).tolist(), n[big].tolist())]
             yield from batched(out)
 
-    return rows.mapInArrow(run, PACKED)
+    return text_batches(rows).mapInArrow(run, PACKED)
 
 
 class Runs:
