@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-PAPERS = StructType.fromDDL(
+PAPERS = (
     "ord long, title string, doi string, arxiv_id string, pubmed_id string, pubmed_central_id string, semantic_scholar_id string,"
     " openalex_id string, authors array<string>, year int, abstract string, source_db string, open_access boolean,"
     " open_access_url string, citation_count int, relevance_score double, has_experimental_section boolean"
@@ -14,16 +13,16 @@ PAPERS = StructType.fromDDL(
 QUANTITY = "struct<value:double,unit:string>"
 ENTITY = f"struct<name:string,formula:string,role:string,quantity:{QUANTITY},moles:{QUANTITY},notes:string>"
 CONDITIONS = "struct<temperature_celsius:double,duration_hours:double,pressure_atm:double,atmosphere:string,technique:string,yield_percent:double,additional_conditions:map<string,string>>"
-RECIPES = StructType.fromDDL(
+RECIPES = (
     "recipe_id string, title string, source_paper_title string, source_paper_doi string, source_paper_url string, source_chunk_id string,"
     f" entities array<{ENTITY}>, conditions {CONDITIONS}, validation_status string, validation_errors array<string>,"
     " total_tokens int, cost_usd double, latency_seconds double, node_latencies map<string,double>, node_tokens map<string,int>, extracted_at timestamp"
 )
-RUNS = StructType.fromDDL(
+RUNS = (
     "recipe_id string, validation_status string, correction_count int, total_tokens int, cost_usd double, latency_seconds double, llm_model string,"
     " error_types array<string>, warning_types array<string>, node_latencies map<string,double>, node_tokens map<string,int>, extracted_at timestamp"
 )
-EVENTS = StructType.fromDDL("ts timestamp, event string, stage string, job_id string, recipe_id string, agent string, detail string, raw_output string, chunks int, status string, message string")
+EVENTS = ("ts timestamp, event string, stage string, job_id string, recipe_id string, agent string, detail string, raw_output string, chunks int, status string, message string")
 FINDING = "struct<rule_no:int,error_type:string,severity:string,responsible_agent:string,field_path:string,entity_name:string,actual_value:string,message:string>"
 
 #: Roles and statuses that records may hold, and names that are no names.
