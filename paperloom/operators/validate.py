@@ -22,7 +22,6 @@ AGENTS = ("ENTITY_AGENT", "QUANTITY_AGENT", "CONDITION_AGENT")
 #: Least and most of a condition.
 RANGES = {"temperature_celsius": (-200.0, 3000.0), "duration_hours": (0.001, 720.0), "pressure_atm": (0.0001, 1000.0), "yield_percent": (0.0, 100.0)}
 BLOCKING, WARNING = "BLOCKING", "WARNING"
-NONE = F.lit(None).cast("string")
 
 
 def blank(c: Column) -> Column:
@@ -37,7 +36,8 @@ class Rule:
     def __init__(self, error: str, agent: str, found: Callable[[Rule], Column], severity: str = BLOCKING) -> None:
         self.error, self.agent, self.severity, self.found = error, agent, severity, found
 
-    def finding(self, field: Column, name: Column = NONE, actual: Column = NONE, message: Column | None = None, severity: Column | None = None) -> Column:
+    def finding(self, field: Column, name: Column | None = None, actual: Column | None = None, message: Column | None = None, severity: Column | None = None) -> Column:
+        name, actual = (F.lit(None) if c is None else c for c in (name, actual))
         return F.struct(
             F.lit(self.number).alias("rule_no"), F.lit(self.error).alias("error_type"), (F.lit(self.severity) if severity is None else severity).alias("severity"), F.lit(self.agent).alias("responsible_agent"),
             field.cast("string").alias("field_path"), name.cast("string").alias("entity_name"), actual.cast("string").alias("actual_value"), (F.lit(self.error) if message is None else message).alias("message"),
@@ -102,8 +102,12 @@ def product_amounts(r: Rule) -> Column:
 
 def outside(field: str) -> Callable[[Rule], Column]:
     least, most = RANGES[field]
-    value = F.col("conditions")[field]
-    return lambda r: when_any(F.coalesce(~value.between(least, most), F.lit(False)), r.finding(F.lit(f"conditions.{field}"), actual=value))
+
+    def found(r: Rule) -> Column:
+        value = F.col("conditions")[field]
+        return when_any(F.coalesce(~value.between(least, most), F.lit(False)), r.finding(F.lit(f"conditions.{field}"), actual=value))
+
+    return found
 
 
 def no_conditions(r: Rule) -> Column:

@@ -32,7 +32,7 @@ def shaped(rows: DataFrame, source: str) -> DataFrame:
 
 def xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """One row `x` per element of the tag; files are read whole, elements are cut out by pattern."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}\b.*?</{tag}>"), F.lit(0))).alias("x"))
 
 

@@ -56,7 +56,7 @@ def paper_notes(papers: DataFrame) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def first_number(line: Column) -> Column:
