@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every n-gram of the benchmark is counted over all documents. Of each item the rarest
-`rare_share` of its n-grams, ties included, are seeds; so an item keeps seeds however
-often it leaked, and everyday phrases seed nothing. A second pass finds seeds in the
-documents; around them the item is aligned with the text (match 2, mismatch and gap -1).
+Every n-gram of the benchmark is counted over all documents. An item's n-grams are seeds
+unless far more frequent (over 4 times, plus 10) than the commonest of its rarest
+`rare_share`: an item keeps its seeds however often it leaked, whole or edited, and
+everyday phrases seed nothing. A second pass finds seeds in the documents; around them the item is aligned with the text (match 2, mismatch and gap -1).
 The score is the best local alignment over that of an exact copy; from `least` up it is
 a leak. Words are letters and digits, lower case.
 
@@ -92,8 +92,8 @@ class Items:
         order = np.argsort(self.item, kind="stable")
         for own in np.split(gram[order], np.flatnonzero(np.diff(self.item[order])) + 1) if len(gram) else ():
             f = freq[own]
-            limit = np.sort(f)[max(0, int(np.ceil(share * len(f))) - 1)]
-            self.seed[own[f <= limit]] = True
+            usual = np.sort(f)[max(0, int(np.ceil(share * len(f))) - 1)]
+            self.seed[own[f <= 4 * usual + 10]] = True
 
 
 def best_end(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
