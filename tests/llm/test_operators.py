@@ -100,7 +100,7 @@ def test_warc(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for block, records in (("128m", 1024), ("100b", 3)):
+        for block, records in (("128m", 1024), ("700b", 4)):
             spark.conf.set("spark.sql.files.maxPartitionBytes", block)
             got = {r.page_id: r for r in warc.round_trip(df, records_per_file=records).collect()}
             assert len(got) == len(pages)
