@@ -5,8 +5,8 @@ score per candidate is the log probability of its padded character trigrams. Vit
 with a switching penalty labels the words; neighbouring equal labels form spans. The
 document's language is the one with most letters in its spans, its score that share.
 
-The model is fitted on a bounded sample of labelled rows: `sample_per_lang` rows of each
-language with the smallest hash of their id, and at most `max_languages` languages and
+The model is fitted on a bounded sample of labelled rows: at most `sample_per_lang` rows of
+each language, picked by the hash of their id, and at most `max_languages` languages and
 `max_features` trigrams. Prediction reads every word of every text.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or a model
@@ -74,9 +74,15 @@ def fit(
     """Trigram counts by language over the bounded sample; only rows that aren't held out are read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], {}, np.zeros((1, 1), np.float32), {})
+    # About half as many again by hash first, so that ranking never gathers a whole language.
+    size = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
+    some = rows.where(F.col("lang").isin(langs)).select("id", "lang").where(F.pmod(F.xxhash64("id"), size) < 1.5 * sample_per_lang)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(F.col("lang").isin(langs)).select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_lang)
+    chosen = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_lang)
     sample = rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"])  # at most sample_per_lang x max_languages ids
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w")).groupBy("lang", "w").count()
     padded = F.concat(F.lit("^"), "w", F.lit("$"))

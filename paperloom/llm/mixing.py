@@ -125,7 +125,7 @@ def mix(
     n_rows, n_slots = facts[0].n, facts[1].q
     of = plan.select("sid", F.col("source").alias("s"), "source_size", "target")
     rows = sized.join(F.broadcast(of) if of.count() <= 100_000 else of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = stream_offsets(rows.where("size > 0").select("rid", "id", "sid", "size"), max(16, n_rows // 10_000))
+    placed = stream_offsets(rows.where("size > 0").select("rid", "id", "sid", "size"), 16 + int(n_rows**0.5))
     slots = draw_slots(plan.select("sid", "quota"), n_slots, shard_slots, seed)
     a = F.lit(PRIMES[2])
     for p in PRIMES[1::-1]:
