@@ -1,11 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every n-gram of the benchmark is counted over all documents. An item's n-grams are seeds
+Every n-gram of the benchmark is counted over all documents. An item's n-grams are rare
 unless far more frequent (over 4 times, plus 10) than the commonest of its rarest
-`rare_share`: an item keeps its seeds however often it leaked, whole or edited, and
-everyday phrases seed nothing. A second pass finds seeds in the documents; around them the item is aligned with the text (match 2, mismatch and gap -1).
-The score is the best local alignment over that of an exact copy; from `least` up it is
-a leak. Words are letters and digits, lower case.
+`rare_share`. A second pass finds n-grams in the documents; around them the item is aligned
+with the text (match 2, mismatch and gap -1). Counts can't tell an everyday phrase from what
+is left of an item in many edited copies, so places with frequent n-grams only are aligned
+too, unless too few words of the item stand there for any alignment to reach `least`: the
+counts decide what a place costs, never the result. The score is the best local alignment
+over that of an exact copy; from `least` up it is a leak. Words are letters and digits,
+lower case.
 
 The benchmark is handled in blocks of `block_words` words, each small enough to be sent to
 all tasks; every block meets all documents.
@@ -44,6 +47,7 @@ class Items:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in found for w in ws}))}
         self.names = [i for i, _ in found]
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in found]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         keys = [self.keys(w) for w in self.words] or [np.zeros(0, np.uint64)]
         self.grams, at = np.unique(np.concatenate(keys), return_inverse=True)
         item = np.concatenate([np.full(len(k), x) for x, k in enumerate(keys)]).astype(np.int64)
@@ -112,40 +116,57 @@ def best_end(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def aligned(items: Items, ids: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of the items that a text holds."""
-    at, gram = items.hits(ids)
-    seeds = items.seed[gram]
-    at, gram = at[seeds], gram[seeds]
-    if not len(at):
-        return []
+def enough(text: np.ndarray, item: np.ndarray, least: float) -> bool:
+    """False if no alignment of the item can reach `least` in the text: too few of its words within the longest span of one."""
+    known = np.cumsum(np.concatenate([[0], np.isin(text, item)]))
+    # 2 m - x >= 2 least L for m <= L matches and x other words of the text
+    span = min(len(text), int((3 - 2 * least) * len(item)) + 1)
+    return bool((known[span:] - known[: len(known) - span]).max() >= least * len(item))
+
+
+def places(items: Items, at: np.ndarray, gram: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, least start, greatest start) of runs of n-grams of an item: where copies would begin by them."""
     n = items.bounds[gram + 1] - items.bounds[gram]
     which = np.repeat(items.bounds[gram] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
     item, place, doc = items.item[which], items.place[which], np.repeat(at, n)
     order = np.lexsort((doc, item))
     item, place, doc = item[order], place[order], doc[order]
-    size = np.array([len(w) for w in items.words])[item]
-    cut = np.flatnonzero((item[1:] != item[:-1]) | (doc[1:] - doc[:-1] > size[1:])) + 1
+    cut = np.flatnonzero((item[1:] != item[:-1]) | (doc[1:] - doc[:-1] > items.sizes[item[1:]])) + 1
+    heads = np.concatenate([[0], cut])
+    start = doc - place
+    return zip(item[heads].tolist(), np.minimum.reduceat(start, heads).tolist(), np.maximum.reduceat(start, heads).tolist())
+
+
+def aligned(items: Items, ids: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of the items that a text holds."""
+    at, gram = items.hits(ids)
     out: dict[int, tuple[float, int, int]] = {}
-    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(item)]):
-        k, words = int(item[lo]), items.words[int(item[lo])]
-        slack = max(2, len(words) // 4)
-        # Seeds may be of several copies in a row, so the window spans all of them.
-        a = max(0, int((doc[lo:hi] - place[lo:hi]).min()) - slack)
-        b = min(len(ids), int((doc[lo:hi] - place[lo:hi]).max()) + len(words) + slack)
-        part, full = ids[a:b], MATCH * len(words)
-        have, need = Counter(part.tolist()), Counter(words.tolist())
-        if MATCH * sum(min(c, have[w]) for w, c in need.items()) < least * full:
+    for rare in (True, False):
+        mine = items.seed[gram] == rare
+        if not mine.any():
             continue
-        score, end = best_end(part, words)
-        if score >= least * full and score / full > out.get(k, (0.0,))[0]:
-            _, back = best_end(part[:end][::-1], words[::-1])
-            out[k] = (score / full, a + end - back, a + end)
+        for k, lo, hi in places(items, at[mine], gram[mine]):
+            if not rare and out.get(k, (0.0,))[0] == 1:
+                continue
+            words = items.words[k]
+            slack = max(2, len(words) // 4)
+            # Seeds may be of several copies in a row, so the window spans all of them.
+            a, b = max(0, lo - slack), min(len(ids), hi + len(words) + slack)
+            part, full = ids[a:b], MATCH * len(words)
+            if not rare and not enough(part, words, least):
+                continue
+            have, need = Counter(part.tolist()), Counter(words.tolist())
+            if MATCH * sum(min(c, have[w]) for w, c in need.items()) < least * full:
+                continue
+            score, end = best_end(part, words)
+            if score >= least * full and score / full > out.get(k, (0.0,))[0]:
+                _, back = best_end(part[:end][::-1], words[::-1])
+                out[k] = (score / full, a + end - back, a + end)
     return [(k, *v) for k, v in out.items()]
 
 
 def with_seeds(rows: DataFrame, items: Items, rare_share: float) -> Items:
-    """Counts the block's n-grams over all texts (last column of `rows`) and keeps each item's rarest as seeds."""
+    """Counts the block's n-grams over all texts (last column of `rows`) and marks each item's rarest as seeds."""
     first = rows.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,6 +133,21 @@ def test_leaks(spark):
     assert decontam.leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 1])
+@pytest.mark.parametrize("size, step", [(16, 6), (30, 6), (39, 6), (59, 5)])
+def test_leaks_of_many_edited_copies(spark, size, step, whole):
+    """One edited copy in 50 documents, without a whole copy or with one that makes its other n-grams rare."""
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    item = rng.sample(vocabulary, size)
+    edited = [w if k % step else "changed" for k, w in enumerate(item)]
+    around = lambda x: f"{prose(rng, 50, vocabulary)} {' '.join(x)} {prose(rng, 50, vocabulary)}"
+    docs = frame(spark, [around(edited) for _ in range(50)] + [around(item) for _ in range(whole)] + [around(()) for _ in range(5)])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(docs, bench).collect()} == set(range(50 + whole))
+    assert {r.doc_id for r in decontam.without_leaks(docs, bench).collect()} == set(range(50 + whole, 55 + whole))
+
+
 def table(a, b):
     """Smith-Waterman cell by cell."""
     h = np.zeros((len(a) + 1, len(b) + 1), int)
