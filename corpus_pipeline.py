@@ -18,6 +18,8 @@ from paperloom.llm.queries import PII_KEY
 
 #: Least share of a document's letters in one language.
 MIN_LANGUAGE_SCORE = 0.4
+#: Words in a shingle and the similarity, in hundredths, from which documents are near duplicates.
+DUPLICATE_WORDS, DUPLICATE_SIMILARITY = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, DUPLICATE_WORDS, DUPLICATE_SIMILARITY)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ class Shells:
     def __init__(self, num: int) -> None:
         self.num, self.lo, self.hi = num, [1], []
         while self.lo[-1] < 1 << 40:
-            self.hi.append(max(self.lo[-1], int(self.lo[-1] / 0.75)))
+            self.hi.append(max(self.lo[-1], int(self.lo[-1] / min(0.75, num / 100))))
             self.lo.append(self.hi[-1] + 1)
         # |A xor B| <= (|A| + |B|) (1 - j) / (1 + j) for similarity j
         self.most = [2 * h * (100 - num) // (100 + num) for h in self.hi]

@@ -345,3 +345,11 @@ def test_shells_cover_all_links():
         if a != b and 100 * both >= 90 * (len(a) + len(b) - both):
             keys = [set(jaccard.signatures(np.array(sorted(x), np.uint64), shells).tolist()) for x in (a, b)]
             assert keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("num", [50, 60, 80])
+def test_jaccard_of_looser_links(spark, num):
+    """Sizes are up to 100 / num times each other."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[:k]) for k in (20, 28, 33, 47, 66, 93, 131, 184, 200, 400)]
+    assert by_id(jaccard.link(frame(spark, texts), 3, num), "n_shingles", "component_id") == linked(texts, 3, num)

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from paperloom.llm.common import materialize
+from tests.llm.test_operators import frame, linked
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,17 @@ def test_stages(spark, tmp_path):
     assert 9001 in seen["near_duplicates"] and 9002 not in seen["near_duplicates"]
     assert 9004 not in seen["benchmark"] and {9001, 9005} <= seen["benchmark"]
     assert seen["mixture"] == seen["personal_data"] == seen["benchmark"]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Copies with spread edits that are 0.8 alike on five words, but not 0.9 on three."""
+    rng = random.Random(3)
+    texts = []
+    for size in (240, 300, 400, 600):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(size)]
+        for k in (0, size // 54, size // 50, size // 46, size // 30):
+            at = {int((j + 0.5) * size / k) for j in range(k)}
+            texts.append(" ".join(f"new{size}x{k}x{i}" if i in at else w for i, w in enumerate(words)))
+    want = {i for i, (_, c) in linked(texts, 5, 80).items() if c == i}
+    assert want != {i for i, (_, c) in linked(texts, 3, 90).items() if c == i}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts), SF).collect()} == want
