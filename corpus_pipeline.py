@@ -54,10 +54,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages but the mixture leave."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
     return docs
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture itself: shard, slot, source, block and words of every slot."""
+    return mixing.blocks(cleaned(spark, sf_dir))
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture takes of each document."""
+    return STAGES[-1][1](spark, cleaned(spark, sf_dir), sf_dir)

@@ -9,7 +9,8 @@
    drew beyond its quota goes, by rank, to sources that drew too little.
 4. Slot j of a source, in pass j div n, takes block (a*j + b) mod n: a keyed permutation of
    its n blocks, shifted anew in each pass. So no block is used more than `max_repeat` times.
-5. Slots and document pieces meet by (source, block index).
+5. Slots and document pieces meet by (source, block index): blocks() gives each slot with the
+   words of its block, and mix() counts from the same table what each document gave.
 
 Offsets are two-level prefix sums, so no window holds a whole source.
 
@@ -31,9 +32,12 @@ WEIGHTS = (5, 2, 1)
 PRIMES = (1_000_003, 998_244_353, 1_299_709)
 
 
+SPACE = r"[\x20\x09-\x0D]+"
+
+
 def n_words(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+`, without keeping the words."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
     return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
 
 
@@ -64,7 +68,7 @@ def stream_offsets(sized: DataFrame, buckets: int) -> DataFrame:
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).drop("in_bucket")
-    inside = Window.partitionBy("sid", "bucket").orderBy("id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return placed.join(sums, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
 
@@ -75,7 +79,7 @@ def uniform(*key: Column) -> Column:
 
 
 def draw_slots(quotas: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFrame:
-    """(sid, j) of every slot: multinomial draws by shard, then surplus draws moved to sources below their quota."""
+    """(sid, j, shard, slot) of every slot: multinomial draws by shard, then surplus draws moved to sources below their quota."""
     spark = quotas.sparkSession
     bins = 1024
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)  # one row per source
@@ -94,7 +98,7 @@ def draw_slots(quotas: DataFrame, n_slots: int, shard_slots: int, seed: int) ->
     first = by_shard.withColumn("s0", F.coalesce(F.sum("n").over(before(["sid", "group"], "shard")), F.lit(0))).join(by_group, ["sid", "group"])
     in_shard = Window.partitionBy("sid", "shard").orderBy("slot")  # at most shard_slots rows
     numbered = drawn.withColumn("k", F.row_number().over(in_shard) - 1).join(first.select("sid", "shard", (F.col("g0") + F.col("s0")).alias("first")), ["sid", "shard"])
-    numbered = numbered.select("sid", (F.col("first") + F.col("k")).alias("j"))
+    numbered = numbered.select("sid", (F.col("first") + F.col("k")).alias("j"), "shard", "slot")
     got = quotas.join(by_shard.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").na.fill(0, ["got"])
     over = F.greatest(F.col("got") - F.col("quota"), F.lit(0))
     under = F.greatest(F.col("quota") - F.col("got"), F.lit(0))
@@ -102,21 +106,42 @@ def draw_slots(quotas: DataFrame, n_slots: int, shard_slots: int, seed: int) ->
     got = got.withColumn("over0", F.coalesce(F.sum(over).over(line), F.lit(0))).withColumn("under0", F.coalesce(F.sum(under).over(line), F.lit(0))).withColumn("under", under)
     got = materialize(got.select("sid", "quota", "got", "over0", "under0", "under"))
     marked = numbered.join(got.select("sid", "quota", "over0"), "sid")
-    kept = marked.where("j < quota").select("sid", "j")
-    extra = marked.where("j >= quota").select((F.col("over0") + F.col("j") - F.col("quota")).alias("r"))
+    kept = marked.where("j < quota").select("sid", "j", "shard", "slot")
+    extra = marked.where("j >= quota").select((F.col("over0") + F.col("j") - F.col("quota")).alias("r"), "shard", "slot")
     width = 64
     room = got.where("under > 0").select(F.col("sid"), "got", "under0", "under", F.explode(F.sequence((F.col("under0") / width).cast("long"), ((F.col("under0") + F.col("under") - 1) / width).cast("long"))).alias("cell"))
     moved = extra.withColumn("cell", (F.col("r") / width).cast("long")).join(room, "cell").where("r >= under0 and r < under0 + under")
-    return kept.unionByName(moved.select("sid", (F.col("got") + F.col("r") - F.col("under0")).alias("j")))
+    return kept.unionByName(moved.select("sid", (F.col("got") + F.col("r") - F.col("under0")).alias("j"), "shard", "slot"))
 
 
-def mix(
-    docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, max_repeat: int = 3, seed: int = 20240229,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """Per row: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
-    sized = docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"))
-    sized = materialize(sized.withColumn("rid", F.monotonically_increasing_id()))
+def pieces_by_block(placed: DataFrame, block_words: int) -> DataFrame:
+    """(sid, block, start, n, words) of each document's part in each of its blocks; `words` joined by spaces."""
+    end = F.col("start") + F.col("size")
+    touched = F.sequence((F.col("start") / block_words).cast("long"), ((end - 1) / block_words).cast("long"))
+
+    def cut(words: Column, block: Column) -> Column:
+        first = F.greatest(F.col("start"), block * block_words)
+        n = F.least(end, (block + 1) * block_words) - first
+        part = F.slice(words, (first - F.col("start") + 1).cast("int"), n.cast("int"))
+        return F.struct(block.alias("block"), n.alias("n"), F.concat_ws(" ", part).alias("words"))
+
+    # The array around the words binds them to a name, so that they are split once a document, not once a block.
+    words = F.array(F.array_remove(F.split("text", SPACE), ""))
+    parts = F.flatten(F.transform(words, lambda w: F.transform(touched, lambda b: cut(w, b))))
+    return placed.select("sid", "start", F.explode(parts).alias("part")).select("sid", "part.block", "start", "part.n", "part.words")
+
+
+def packed(
+    docs: DataFrame, block_words: int, shard_slots: int, max_repeat: int, seed: int, id_col: str, text_col: str, source_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """Documents (sid, start, id, size, source_size, target), and slots (shard, slot, sid, source, block, words, parts: start and n of its pieces).
+
+    A document that has words is named by its source and its start there. Texts are not kept
+    with it: equal rows can stand for each other, so a second pass finds the same starts.
+    """
+    text = F.col(text_col)
+    read = docs.select(F.col(id_col).alias("id"), n_words(text).alias("size"), F.col(source_col).cast("string").alias("source"), F.struct(F.xxhash64(text), F.xxhash64(text, F.lit(1))).alias("tie"), text.alias("text"))
+    sized = materialize(read.drop("text"))
     plan = targets(sized, max_repeat).withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
     # A target in blocks, rounded; the last block of a source is short, so words per block are the source's mean.
     quota = F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"), F.col("n_blocks") * max_repeat)
@@ -124,8 +149,13 @@ def mix(
     facts = sized.agg(F.count("*").alias("n")).first(), plan.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first()
     n_rows, n_slots = facts[0].n, facts[1].q
     of = plan.select("sid", F.col("source").alias("s"), "source_size", "target")
-    rows = sized.join(F.broadcast(of) if of.count() <= 100_000 else of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = stream_offsets(rows.where("size > 0").select("rid", "id", "sid", "size"), 16 + int(n_rows**0.5))
+    of = F.broadcast(of) if of.count() <= 100_000 else of
+    known = lambda rows: rows.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    buckets = 16 + int(n_rows**0.5)
+    rows = known(sized)
+    empty = rows.where("size = 0").withColumn("start", F.lit(None).cast("long"))
+    rows = stream_offsets(rows.where("size > 0"), buckets).unionByName(empty)
+    placed = stream_offsets(known(read.where("size > 0")).select("id", "sid", "size", "tie", "text"), buckets)
     slots = draw_slots(plan.select("sid", "quota"), n_slots, shard_slots, seed)
     a = F.lit(PRIMES[2])
     for p in PRIMES[1::-1]:
@@ -133,10 +163,29 @@ def mix(
     epoch = (F.col("j") / F.col("n_blocks")).cast("long")
     shift = F.pmod(F.xxhash64(F.lit(seed), F.col("sid"), epoch), F.col("n_blocks"))
     at = F.pmod(F.pmod(F.lit(1) * a, F.col("n_blocks")) * F.pmod(F.col("j"), F.col("n_blocks")) + shift, F.col("n_blocks"))
-    used = slots.join(plan.select("sid", "n_blocks"), "sid").select("sid", at.alias("block")).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    end = F.col("start") + F.col("size")
-    pieces = placed.select("rid", "sid", "start", end.alias("end"), F.explode(F.sequence((F.col("start") / block_words).cast("long"), ((end - 1) / block_words).cast("long"))).alias("block"))
-    overlap = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    taken = pieces.join(used, ["sid", "block"]).groupBy("rid").agg(F.sum(overlap * F.col("uses")).alias("taken"))
-    out = rows.join(taken, "rid", "left")
+    filled = slots.join(plan.select("sid", "source", "n_blocks"), "sid").select("sid", "source", "shard", "slot", at.alias("block"))
+    # A block has at most block_words pieces, since each has a word of its own.
+    content = pieces_by_block(placed, block_words).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("start", "n", "words"))).alias("parts"))
+    content = content.select("sid", "block", F.concat_ws(" ", "parts.words").alias("words"), F.transform("parts", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"))).alias("parts"))
+    blocks = filled.join(content, ["sid", "block"]).select("shard", "slot", "sid", "source", "block", "words", "parts")
+    return rows.select("sid", "start", "id", "size", "source_size", "target"), blocks
+
+
+def blocks(
+    docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, max_repeat: int = 3, seed: int = 20240229,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mixture, a row per slot: shard, slot, source, block (its index in the source), words."""
+    _, out = packed(docs, block_words, shard_slots, max_repeat, seed, id_col, text_col, source_col)
+    return out.select("shard", "slot", "source", "block", F.split("words", " ").alias("words"))
+
+
+def mix(
+    docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, max_repeat: int = 3, seed: int = 20240229,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """Per row: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
+    rows, slots = packed(docs, block_words, shard_slots, max_repeat, seed, id_col, text_col, source_col)
+    taken = slots.select("sid", F.explode("parts").alias("part")).groupBy("sid", "part.start").agg(F.sum("part.n").alias("taken"))
+    out = rows.join(taken, ["sid", "start"], "left")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -291,6 +291,33 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixed_blocks(spark):
+    """Every slot holds the words of its block, and the blocks of a source are its documents' words in a row."""
+    rng = random.Random(8)
+    rows = [(i, "\t".join(f"d{i}w{k}" for k in range(rng.randint(0, 90))) + " ", None, rng.choice(["a", "b", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    options = {"block_words": 16, "shard_slots": 64}
+    got = mixing.blocks(df, **options).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got))) and all(r.shard == r.slot // 64 for r in got)
+    at = collections.defaultdict(dict)
+    for r in got:
+        assert at[r.source].setdefault(r.block, r.words) == r.words
+    text = {(i, s): WORDS.findall(t) for i, t, _, s in rows}
+    taken = collections.Counter(w.split("w")[0] for r in got for w in r.words)
+    assert {f"d{r.doc_id}": r.taken for r in mixing.mix(df, **options).collect() if r.taken} == taken
+    for source, found in at.items():
+        last = -(-sum(len(w) for (_, s), w in text.items() if s == source) // 16) - 1
+        assert all(0 < len(w) <= 16 and (len(w) == 16 or k == last) for k, w in found.items())
+        own = {w for (_, s), ws in text.items() if s == source for w in ws}
+        assert own.issuperset(w for words in found.values() for w in words)
+        assert len({w for words in found.values() for w in words}) == sum(map(len, found.values()))
+        for k, words in found.items():  # a document's words follow each other, in a block and over its end
+            both = words + found.get(k + 1, [])
+            for v, w in zip(both, both[1:]):
+                (a, i), (b, j) = (x.split("w") for x in (v, w))
+                assert (a == b and int(j) == int(i) + 1) or (a != b and int(j) == 0 and int(i) == len(text[int(a[1:]), source]) - 1)
+
+
 def linked(texts, n=3, num=90):
     sets = {}
     for i, t in enumerate(texts):
