@@ -35,6 +35,9 @@ NUMBER = re.compile(r"(?<![\w.])[+(]?\d[\d ().-]{5,}\d(?![\w])")
 IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)")
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?!\w)|(?<![\w.+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)")
+#: What PHONE and CARD take, but is a date (with dots or hyphens, spaces may part a phone number) or a list of years.
+DATE = re.compile(r"(?<![\d.-])(?:(?:1\d|20)\d\d([.-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([.-])(?:0?[1-9]|[12]\d|3[01])\2(?:1\d|20)\d\d)(?![.-]?\d)")
+YEARS = re.compile(r"(?:(?:1[5-9]|20)\d\d[ .-])+(?:1[5-9]|20)\d\d")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 #: Forms of address and the gender they tell.
@@ -72,6 +75,16 @@ def luhn(digits: str) -> bool:
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
+def dated(mention: str, least: int) -> bool:
+    """Years, or dates beside which fewer than `least` digits stand."""
+    return YEARS.fullmatch(mention) is not None or DATE.search(mention) is not None and sum(map(str.isdigit, DATE.sub("", mention))) < least
+
+
+def bare(word: str) -> str:
+    """A name without its possessive ending."""
+    return re.sub(r"['’](?:[sS])?$", "", word) or word
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical) in text order, without overlaps: earlier kinds first."""
     out: list[tuple[int, int, str, str]] = []
@@ -84,22 +97,39 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 digits = re.sub(r"\D", "", m[0])
                 if kind == "ip":
                     out.append((m.start(), m.end(), kind, m[0]))
-                elif kind == "card" and 13 <= len(digits) <= 19 and (len(digits) == 16 or luhn(digits)) or kind == "ssn" or kind == "phone" and 7 <= len(digits) <= 15:
+                elif kind == "card" and 13 <= len(digits) <= 19 and (luhn(digits) or len(digits) == 16 and not dated(m[0], 13)) or kind == "ssn" or kind == "phone" and 7 <= len(digits) <= 15 and not dated(m[0], 7):
                     out.append((m.start(), m.end(), kind, digits))
     if any(c in text for c in ("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE", "PT", "PL")):
         out += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if sum(map(str.isdigit, m[0])) >= 10]
+    names: list[tuple[int, str, str, str]] = []
     caps = CAP.findall(text)
     if not TITLE_WORDS.isdisjoint(caps) or "г-" in text or "господин" in text or "госпожа" in text:
         for m in TITLED.finditer(text):
             words = list(re.finditer(r"\S+", m[2]))
             for k, w in enumerate(words):
-                part = "given" if k < len(words) - 1 else "family"
-                gender = (TITLES[m[1]] if TITLES[m[1]] != "n" else GENDER.get(w[0], "n")) if part == "given" else "n"
-                out.append((m.start(2) + w.start(), m.start(2) + w.end(), "name", f"{part}|{gender}|{w[0].lower()}"))
+                part, word = "given" if k < len(words) - 1 else "family", bare(w[0])
+                # A given name that tells its gender has it under any title, so all mentions of a person agree.
+                gender = GENDER.get(word) or TITLES[m[1]] if part == "given" else "n"
+                names.append((m.start(2) + w.start(), word, part, gender))
     if not GENDER.keys().isdisjoint(caps):
         for m in NAMED.finditer(text):
-            out.append((m.start(1), m.end(1), "name", f"given|{GENDER[m[1]]}|{m[1].lower()}"))
-            out.append((m.start(2), m.end(2), "name", f"family|n|{m[2].lower()}"))
+            names.append((m.start(1), m[1], "given", GENDER[m[1]]))
+            names.append((m.start(2), bare(m[2]), "family", "n"))
+    told: dict[str, str] = {}  # given names that a title tells the gender of, somewhere in the text
+    for _, word, part, gender in names:
+        if part == "given" and gender != "n":
+            told[word.lower()] = min(told.get(word.lower(), gender), gender)
+    known: dict[str, str] = {}
+    for start, word, part, gender in sorted(names):
+        canonical = f"{part}|{told.get(word.lower(), gender) if part == 'given' else gender}|{word.lower()}"
+        known.setdefault(word, canonical)
+        out.append((start, start + len(word), "name", canonical))
+    if known:  # later and earlier mentions of these names on their own
+        firsts = {start for start, *_ in names}
+        for m in CAP.finditer(text):
+            word = bare(m[0])
+            if word in known and m.start() not in firsts:
+                out.append((m.start(), m.start() + len(word), "name", known[word]))
     out.sort(key=lambda x: (KINDS.index(x[2]), x[0]))
     kept: list[tuple[int, int, str, str]] = []
     for x in out:

@@ -183,6 +183,25 @@ def test_surrogates(spark):
     assert again == new and by_id(pii.anonymize(frame(spark, [text]), b"other"), "text")[0][0] != new
 
 
+def test_mentions_of_a_person_agree():
+    def names(text):
+        return [(text[a:b], c) for a, b, kind, c in pii.find(text) if kind == "name"]
+
+    later = names("Mr John Smith came. Then Smith said that John was late; Smith's dog was not.")
+    assert [w for w, _ in later] == ["John", "Smith", "Smith", "John", "Smith"] and len({c for _, c in later}) == 2
+    new = pii.rewrite("Mr Smith and Mr Smith's dog", b"k", {})[0]
+    assert re.fullmatch(r"Mr (\w+) and Mr \1's dog", new)
+    alex = names("Dr Alex Jones spoke. Mrs Alex Jones left.")
+    assert alex[:2] == [("Alex", "given|f|alex"), ("Jones", "family|n|jones")] == alex[2:]
+
+
+def test_dates_and_years_are_no_phone_numbers():
+    for text in ("2024-01-15", "15.01.2024", "1990 1991 1992", "from 1990 1991 1992 1993 on", "2024-01-15 2024-02-16"):
+        assert pii.find(text) == []
+    assert [x[2] for x in pii.find("call 555-382-4410 or +1 (743) 555-3824")] == ["phone", "phone"]
+    assert [x[2] for x in pii.find("2012 10 12 34")] == ["phone"] == [x[2] for x in pii.find("2012-10-12-34")]
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_surrogates_stay_distinct(spark, limit):
     found = [f"{a}.{b}.{c}.{d}" for a in range(1, 9) for b in range(1, 9) for c in range(1, 9) for d in (1, 2)]  # a sixth of all of their kind
