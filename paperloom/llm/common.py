@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_local: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,30 +16,49 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir; one of our own only where it is unset and Spark runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="paperloom-")
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder, which purge() will delete."""
+    path = f"{shared_dir(spark)}/paperloom-{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._paperloom_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for df in tables:
+        path = df._paperloom_path
+        _written.remove(path)
+        delete(df.sparkSession, path)
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete what materialize() wrote, once its readers are done."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete what is left of the scratch paths. For the caller, once results that read them are written."""
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _written.pop())
 
 
 #: Rows that go to a Python worker at once. Texts can be long, and a worker holds some copies of a batch.
