@@ -2,17 +2,19 @@
 
 1. Targets: all sizes together are shared out by weight; a source stops at `max_repeat`
    times its own size and the excess goes to the others by weight (water filling).
-2. Blocks: each source's documents form one token stream, cut into blocks of
-   `block_words` words; a source's quota is its target in blocks.
-3. Slots: output shards of `shard_slots` slots draw their source counts from a
-   multinomial (a keyed uniform of each slot through the cumulated quotas). What a source
-   drew beyond its quota goes, by rank, to sources that drew too little.
-4. Slot j of a source, in pass j div n, takes block (a*j + b) mod n: a keyed permutation of
-   its n blocks, shifted anew in each pass. So no block is used more than `max_repeat` times.
-5. Slots and document pieces meet by (source, block index): blocks() gives each slot with the
-   words of its block, and mix() counts from the same table what each document gave.
-
-Offsets are two-level prefix sums, so no window holds a whole source.
+2. Blocks: each source's documents form token streams of about `stream_words` words, cut into
+   blocks of `block_words` words (the last of a stream is shorter); a source's quota is its
+   target in blocks.
+3. Shards: a source's draws, as many as its quota, are dealt to the slots of the output shards
+   by a keyed permutation of all slots. The counts of a shard are thereby multinomial draws,
+   given that the totals of all shards are the quotas; nothing is moved afterwards.
+4. Draw j of a source, in pass j div n, takes the block to which a keyed permutation of its n
+   blocks, one per source and pass, sends j mod n. So no block is used more than `max_repeat` times.
+5. Slots and blocks meet by (source, block index): blocks() gives each slot with the words of
+   its block, and mix() counts from the same table what each document gave.
+
+Permutations are Feistel rounds of keyed hashes on the two digits of an index, with cycle
+walking. Offsets are two-level prefix sums, so no window holds a whole source.
 
 Defined results: size 0 for a null text or one without words (never taken); null is a
 source of its own, last in order; equal ids are separate rows that share a source; an
@@ -28,11 +30,9 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
-#: Prime multipliers of the index permutation; a number of blocks below their product misses one.
-PRIMES = (1_000_003, 998_244_353, 1_299_709)
-
-
 SPACE = r"[\x20\x09-\x0D]+"
+#: Feistel rounds, draws that one row is expanded to, and rows up to which a side is sent to all tasks.
+ROUNDS, DRAWS, BROADCAST_ROWS = 4, 65_536, 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -62,130 +62,124 @@ def targets(sized: DataFrame, max_repeat: int = 3) -> DataFrame:
     return filled.select("sid", "source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def stream_offsets(sized: DataFrame, buckets: int) -> DataFrame:
-    """Adds `start`: words of the same source before this row. Buckets of rows first, then rows in a bucket."""
-    placed = sized.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
-    ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).drop("in_bucket")
-    inside = Window.partitionBy("sid", "bucket").orderBy("id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(sums, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
-
-
-def uniform(*key: Column) -> Column:
-    """A keyed value in [0, 1)."""
-    return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-
-def draw_slots(quotas: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFrame:
-    """(sid, j, shard, slot) of every slot: multinomial draws by shard, then surplus draws moved to sources below their quota."""
-    spark = quotas.sparkSession
-    bins = 1024
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)  # one row per source
-    cdf = quotas.where("quota > 0").withColumn("hi", F.sum("quota").over(upto) / F.lit(float(n_slots)))
-    cdf = cdf.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0)))
-    ranges = cdf.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1)))).alias("bin"))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") / shard_slots).cast("long").alias("shard"))
-    slots = slots.withColumn("u", uniform(F.lit(seed), F.col("shard"), F.col("slot"))).withColumn("bin", F.floor(F.col("u") * bins))
-    drawn = slots.join(ranges, (slots["bin"] == ranges["bin"]) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("sid", "shard", "slot")
-    # Draws of a source are numbered through: groups of shards, shards in a group, slots in a shard.
-    group = (F.col("shard") / 1024).cast("long")
-    by_shard = drawn.groupBy("sid", "shard").agg(F.count("*").alias("n")).withColumn("group", group)
-    before = lambda part, by: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    by_group = by_shard.groupBy("sid", "group").agg(F.sum("n").alias("gn"))
-    by_group = by_group.withColumn("g0", F.coalesce(F.sum("gn").over(before(["sid"], "group")), F.lit(0))).drop("gn")
-    first = by_shard.withColumn("s0", F.coalesce(F.sum("n").over(before(["sid", "group"], "shard")), F.lit(0))).join(by_group, ["sid", "group"])
-    in_shard = Window.partitionBy("sid", "shard").orderBy("slot")  # at most shard_slots rows
-    numbered = drawn.withColumn("k", F.row_number().over(in_shard) - 1).join(first.select("sid", "shard", (F.col("g0") + F.col("s0")).alias("first")), ["sid", "shard"])
-    numbered = numbered.select("sid", (F.col("first") + F.col("k")).alias("j"), "shard", "slot")
-    got = quotas.join(by_shard.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").na.fill(0, ["got"])
-    over = F.greatest(F.col("got") - F.col("quota"), F.lit(0))
-    under = F.greatest(F.col("quota") - F.col("got"), F.lit(0))
+def small(df: DataFrame) -> DataFrame:
+    """`df`, to be sent to all tasks if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def permuted(rows: DataFrame, index: str, n: str, key: list[Column], out: str) -> DataFrame:
+    """Adds `out`: where a keyed permutation of 0 to n-1 sends `index`.
+
+    An index is two digits, below a = ceil(sqrt n) and b = ceil(n / a). Each round adds a keyed
+    hash of one digit to the other, which is a bijection of a * b indices. Those that
+    leave 0 to n-1 go on until they are back, which takes less than a steps.
+    """
+    a, b, size = F.col("_a"), F.col("_b"), F.col(n)
+
+    def turn(x: Column, y: Column, k: int) -> Column:
+        """Digit x after round k, with a hash of y added."""
+        m = b if k % 2 else a
+        return F.pmod(x + F.pmod(F.xxhash64(*key, F.lit(k), y), m), m)
+
+    def step(v: Column) -> Column:
+        x, y = F.floor(v / b), F.pmod(v, b)
+        for k in range(ROUNDS):
+            x, y = (x, turn(y, x, k)) if k % 2 else (turn(x, y, k), y)
+        return (x * b + y).cast("long")
+
+    rows = rows.withColumn("_a", F.ceil(F.sqrt(size))).withColumn("_b", F.floor((size + F.col("_a") - 1) / F.col("_a")))
+    rows = rows.withColumns({"_x": F.floor(F.col(index) / b), "_y": F.pmod(F.col(index), b)})
+    for k in range(ROUNDS):
+        digit, other = ("_y", "_x") if k % 2 else ("_x", "_y")
+        rows = rows.withColumn(digit, turn(F.col(digit), F.col(other), k))
+    first = (F.col("_x") * b + F.col("_y")).cast("long")
+    rows = rows.withColumn("_v", first)
+    back = F.aggregate(F.sequence(F.lit(1).cast("long"), a), F.col("_v"), lambda v, _: F.when(v >= size, step(v)).otherwise(v))
+    return rows.withColumn(out, F.when(F.col("_v") < size, F.col("_v")).otherwise(back)).drop("_a", "_b", "_x", "_y", "_v")
+
+
+def drawn(plan: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFrame:
+    """(sid, source, block, shard, slot) of every draw; `plan` has sid, source, n_blocks and quota."""
     line = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)  # one row per source
-    got = got.withColumn("over0", F.coalesce(F.sum(over).over(line), F.lit(0))).withColumn("under0", F.coalesce(F.sum(under).over(line), F.lit(0))).withColumn("under", under)
-    got = materialize(got.select("sid", "quota", "got", "over0", "under0", "under"))
-    marked = numbered.join(got.select("sid", "quota", "over0"), "sid")
-    kept = marked.where("j < quota").select("sid", "j", "shard", "slot")
-    extra = marked.where("j >= quota").select((F.col("over0") + F.col("j") - F.col("quota")).alias("r"), "shard", "slot")
-    width = 64
-    room = got.where("under > 0").select(F.col("sid"), "got", "under0", "under", F.explode(F.sequence((F.col("under0") / width).cast("long"), ((F.col("under0") + F.col("under") - 1) / width).cast("long"))).alias("cell"))
-    moved = extra.withColumn("cell", (F.col("r") / width).cast("long")).join(room, "cell").where("r >= under0 and r < under0 + under")
-    return kept.unionByName(moved.select("sid", (F.col("got") + F.col("r") - F.col("under0")).alias("j"), "shard", "slot"))
-
-
-def pieces_by_block(placed: DataFrame, block_words: int) -> DataFrame:
-    """(sid, block, start, n, words) of each document's part in each of its blocks; `words` joined by spaces."""
+    ahead = plan.where("quota > 0").select("sid", "source", "n_blocks", "quota", F.coalesce(F.sum("quota").over(line), F.lit(0)).alias("ahead"))
+    last = lambda c: F.floor((F.col(c) - 1) / DRAWS)
+    parts = ahead.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last("quota")))).repartition("sid", "part")
+    first = F.col("part") * DRAWS
+    rows = parts.withColumn("j", F.explode(F.sequence(first, F.least(first + DRAWS, F.col("quota")) - 1)))
+    rows = rows.withColumns({"at": F.col("ahead") + F.col("j"), "n_slots": F.lit(n_slots).cast("long"), "pass": F.floor(F.col("j") / F.col("n_blocks")), "index": F.pmod("j", "n_blocks")})
+    rows = permuted(rows, "at", "n_slots", [F.lit(seed)], "slot")
+    rows = permuted(rows, "index", "n_blocks", [F.lit(seed), F.col("sid"), F.col("pass")], "block")
+    return rows.select("sid", "source", "block", F.floor(F.col("slot") / shard_slots).alias("shard"), "slot")
+
+
+def pieces(placed: DataFrame, block_words: int) -> DataFrame:
+    """sid, bucket, block (in its stream), id, size, source_size, target, start and words of each document's part in each of its blocks."""
     end = F.col("start") + F.col("size")
-    touched = F.sequence((F.col("start") / block_words).cast("long"), ((end - 1) / block_words).cast("long"))
+    touched = F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))
 
     def cut(words: Column, block: Column) -> Column:
         first = F.greatest(F.col("start"), block * block_words)
         n = F.least(end, (block + 1) * block_words) - first
-        part = F.slice(words, (first - F.col("start") + 1).cast("int"), n.cast("int"))
-        return F.struct(block.alias("block"), n.alias("n"), F.concat_ws(" ", part).alias("words"))
+        return F.struct(block.alias("block"), F.slice(words, (first - F.col("start") + 1).cast("int"), n.cast("int")).alias("words"))
 
     # The array around the words binds them to a name, so that they are split once a document, not once a block.
     words = F.array(F.array_remove(F.split("text", SPACE), ""))
     parts = F.flatten(F.transform(words, lambda w: F.transform(touched, lambda b: cut(w, b))))
-    return placed.select("sid", "start", F.explode(parts).alias("part")).select("sid", "part.block", "start", "part.n", "part.words")
+    same = ("sid", "bucket", "base", "id", "size", "source_size", "target", "start")
+    return placed.select(*same, F.explode(parts).alias("part")).select(*same, "part.block", "part.words")
 
 
 def packed(
-    docs: DataFrame, block_words: int, shard_slots: int, max_repeat: int, seed: int, id_col: str, text_col: str, source_col: str
-) -> tuple[DataFrame, DataFrame]:
-    """Documents (sid, start, id, size, source_size, target), and slots (shard, slot, sid, source, block, words, parts: start and n of its pieces).
-
-    A document that has words is named by its source and its start there. Texts are not kept
-    with it: equal rows can stand for each other, so a second pass finds the same starts.
-    """
+    docs: DataFrame, block_words: int, shard_slots: int, max_repeat: int, seed: int, stream_words: int, id_col: str, text_col: str, source_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents without words; blocks (sid, block, words, parts: the documents in it, in order); draws."""
     text = F.col(text_col)
-    read = docs.select(F.col(id_col).alias("id"), n_words(text).alias("size"), F.col(source_col).cast("string").alias("source"), F.struct(F.xxhash64(text), F.xxhash64(text, F.lit(1))).alias("tie"), text.alias("text"))
-    sized = materialize(read.drop("text"))
-    plan = targets(sized, max_repeat).withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
-    # A target in blocks, rounded; the last block of a source is short, so words per block are the source's mean.
+    read = docs.select(F.col(id_col).alias("id"), n_words(text).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("tie"), F.xxhash64(text, F.lit(1)).alias("tie2"), text.alias("text"))
+    sized = materialize(read.drop("text", "tie2"))
+    plan = targets(sized, max_repeat).withColumn("n_streams", F.ceil(F.col("source_size") / stream_words))
+    plan = materialize(plan)
+    own = small(plan.withColumnRenamed("source", "s"))
+    known = lambda rows: rows.join(own, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    bucket = F.pmod(F.xxhash64("id", "tie"), F.col("n_streams"))
+    # Words of each stream, and how many blocks the streams of its source ahead of it have.
+    streams = known(sized.where("size > 0")).groupBy("sid", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
+    streams = streams.withColumn("n", F.ceil(F.col("n") / block_words))
+    ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per stream
+    streams = materialize(streams.select("sid", "bucket", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")))
+    of = plan.join(streams.groupBy("sid").agg(F.sum("n").alias("n_blocks")), "sid")
+    # A target in blocks, rounded: words per block are the source's mean.
     quota = F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"), F.col("n_blocks") * max_repeat)
-    plan = materialize(plan.withColumn("quota", F.when(F.col("source_size") > 0, quota).otherwise(F.lit(0).cast("long"))))
-    facts = sized.agg(F.count("*").alias("n")).first(), plan.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first()
-    n_rows, n_slots = facts[0].n, facts[1].q
-    of = plan.select("sid", F.col("source").alias("s"), "source_size", "target")
-    of = F.broadcast(of) if of.count() <= 100_000 else of
-    known = lambda rows: rows.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    buckets = 16 + int(n_rows**0.5)
-    rows = known(sized)
-    empty = rows.where("size = 0").withColumn("start", F.lit(None).cast("long"))
-    rows = stream_offsets(rows.where("size > 0"), buckets).unionByName(empty)
-    placed = stream_offsets(known(read.where("size > 0")).select("id", "sid", "size", "tie", "text"), buckets)
-    slots = draw_slots(plan.select("sid", "quota"), n_slots, shard_slots, seed)
-    a = F.lit(PRIMES[2])
-    for p in PRIMES[1::-1]:
-        a = F.when(F.col("n_blocks") % p != 0, F.lit(p)).otherwise(a)
-    epoch = (F.col("j") / F.col("n_blocks")).cast("long")
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("sid"), epoch), F.col("n_blocks"))
-    at = F.pmod(F.pmod(F.lit(1) * a, F.col("n_blocks")) * F.pmod(F.col("j"), F.col("n_blocks")) + shift, F.col("n_blocks"))
-    filled = slots.join(plan.select("sid", "source", "n_blocks"), "sid").select("sid", "source", "shard", "slot", at.alias("block"))
-    # A block has at most block_words pieces, since each has a word of its own.
-    content = pieces_by_block(placed, block_words).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("start", "n", "words"))).alias("parts"))
-    content = content.select("sid", "block", F.concat_ws(" ", "parts.words").alias("words"), F.transform("parts", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"))).alias("parts"))
-    blocks = filled.join(content, ["sid", "block"]).select("shard", "slot", "sid", "source", "block", "words", "parts")
-    return rows.select("sid", "start", "id", "size", "source_size", "target"), blocks
+    of = materialize(of.select("sid", "source", "n_blocks", quota.alias("quota")))
+    n_slots = of.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first().q
+    rows = known(read.where("size > 0")).withColumn("bucket", bucket).join(small(streams.drop("n")), ["sid", "bucket"])
+    inside = Window.partitionBy("sid", "bucket").orderBy("id", "size", "tie", "tie2").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # Pieces of a block are in one partition already. A block has at most block_words of them, since each has a word of its own.
+    cut = pieces(rows, block_words)
+    doc = F.struct("start", "id", "size", "source_size", "target", F.size("words").cast("long").alias("n"))
+    content = cut.groupBy("sid", "bucket", "block", "base").agg(F.sort_array(F.collect_list(doc)).alias("parts"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("text"))
+    content = content.select("sid", "bucket", (F.col("base") + F.col("block")).alias("block"), "parts", F.flatten("text.words").alias("words"))
+    return known(sized.where("size = 0")), content, drawn(of, n_slots, shard_slots, seed)
 
 
 def blocks(
-    docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, max_repeat: int = 3, seed: int = 20240229,
+    docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, max_repeat: int = 3, seed: int = 20240229, stream_words: int = 1_000_000,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """The mixture, a row per slot: shard, slot, source, block (its index in the source), words."""
-    _, out = packed(docs, block_words, shard_slots, max_repeat, seed, id_col, text_col, source_col)
-    return out.select("shard", "slot", "source", "block", F.split("words", " ").alias("words"))
+    """The mixture, a row per slot: shard, slot, source, block (its index in the source), the ids of its documents in order, words."""
+    _, content, draws = packed(docs, block_words, shard_slots, max_repeat, seed, stream_words, id_col, text_col, source_col)
+    out = draws.join(content, ["sid", "block"])
+    return out.select("shard", "slot", "source", "block", F.col("parts.id").alias(f"{id_col}s"), "words")
 
 
 def mix(
-    docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, max_repeat: int = 3, seed: int = 20240229,
+    docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, max_repeat: int = 3, seed: int = 20240229, stream_words: int = 1_000_000,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """Per row: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
-    rows, slots = packed(docs, block_words, shard_slots, max_repeat, seed, id_col, text_col, source_col)
-    taken = slots.select("sid", F.explode("parts").alias("part")).groupBy("sid", "part.start").agg(F.sum("part.n").alias("taken"))
-    out = rows.join(taken, ["sid", "start"], "left")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    empty, content, draws = packed(docs, block_words, shard_slots, max_repeat, seed, stream_words, id_col, text_col, source_col)
+    uses = draws.groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    parts = content.join(uses, ["sid", "block"], "left").select("sid", "bucket", F.coalesce("uses", F.lit(0)).alias("uses"), F.explode("parts").alias("part"))
+    rows = parts.groupBy("sid", "bucket", "part.start").agg(*[F.first(f"part.{c}").alias(c) for c in ("id", "size", "source_size", "target")], F.sum(F.col("part.n") * F.col("uses")).alias("taken"))
+    same = [F.col("id").alias(id_col), "size", "source_size", "target"]
+    return rows.select(*same, "taken").unionByName(empty.select(*same, F.lit(0).cast("long").alias("taken")))

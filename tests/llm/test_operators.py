@@ -114,6 +114,29 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_odd_input(spark, tmp_path):
+    """Repeated page ids and rows, a clashing column, digests met by a join, and blocks that move between the scans."""
+    fake = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    long = "y" * 120
+    pages = [(1, "a", long), (1, "a", long), (2, "b", long), (None, "n", long), (2, "c", "other " * 30 + fake), (3, "d", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    want = sorted([(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (2, "response", None), (3, "response", None)], key=str)
+    for options in ({}, {"broadcast_rows": 0}):
+        got = warc.round_trip(df, **options).collect()
+        assert sorted([(r.page_id, r.record_type, r.refers_to) for r in got], key=str) == want and all(r.verified for r in got)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        out = warc.round_trip(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150b")
+        assert out.count() == len(pages) and all(r.verified for r in out.collect())
+        plain = str(tmp_path / "plain")
+        warc.write(df, plain, compression="none")
+        assert all(r.verified for r in warc.read(spark, plain).collect())
+        assert warc.read(spark, plain).where("record_type = 'revisit' and verified").count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
@@ -311,30 +334,58 @@ def test_mixing(spark):
 
 
 def test_mixed_blocks(spark):
-    """Every slot holds the words of its block, and the blocks of a source are its documents' words in a row."""
+    """Every slot holds the words of its block, each source's blocks are its documents' words in a row, and all shards hold what mix() says is taken."""
     rng = random.Random(8)
     rows = [(i, "\t".join(f"d{i}w{k}" for k in range(rng.randint(0, 90))) + " ", None, rng.choice(["a", "b", None])) for i in range(120)]
     df = spark.createDataFrame(rows, DOCS)
-    options = {"block_words": 16, "shard_slots": 64}
-    got = mixing.blocks(df, **options).collect()
-    assert sorted(r.slot for r in got) == list(range(len(got))) and all(r.shard == r.slot // 64 for r in got)
-    at = collections.defaultdict(dict)
-    for r in got:
-        assert at[r.source].setdefault(r.block, r.words) == r.words
-    text = {(i, s): WORDS.findall(t) for i, t, _, s in rows}
-    taken = collections.Counter(w.split("w")[0] for r in got for w in r.words)
-    assert {f"d{r.doc_id}": r.taken for r in mixing.mix(df, **options).collect() if r.taken} == taken
-    for source, found in at.items():
-        last = -(-sum(len(w) for (_, s), w in text.items() if s == source) // 16) - 1
-        assert all(0 < len(w) <= 16 and (len(w) == 16 or k == last) for k, w in found.items())
-        own = {w for (_, s), ws in text.items() if s == source for w in ws}
-        assert own.issuperset(w for words in found.values() for w in words)
-        assert len({w for words in found.values() for w in words}) == sum(map(len, found.values()))
-        for k, words in found.items():  # a document's words follow each other, in a block and over its end
-            both = words + found.get(k + 1, [])
-            for v, w in zip(both, both[1:]):
-                (a, i), (b, j) = (x.split("w") for x in (v, w))
-                assert (a == b and int(j) == int(i) + 1) or (a != b and int(j) == 0 and int(i) == len(text[int(a[1:]), source]) - 1)
+    for options in ({"block_words": 16, "shard_slots": 64}, {"block_words": 16, "shard_slots": 64, "stream_words": 200}):
+        got = mixing.blocks(df, **options).collect()
+        assert sorted(r.slot for r in got) == list(range(len(got))) and all(r.shard == r.slot // 64 for r in got)
+        at = collections.defaultdict(dict)
+        for r in got:
+            assert at[r.source].setdefault(r.block, r.words) == r.words
+            assert list(dict.fromkeys(int(w[1:].split("w")[0]) for w in r.words)) == r.doc_ids
+        taken = collections.Counter(w.split("w")[0] for r in got for w in r.words)
+        assert {f"d{r.doc_id}": r.taken for r in mixing.mix(df, **options).collect() if r.taken} == taken
+        uses = collections.Counter((r.source, r.block) for r in got)
+        assert max(uses.values()) <= 3
+        for source, found in at.items():
+            all_words = [w for words in found.values() for w in words]
+            assert all(0 < len(w) <= 16 for w in found.values()) and len(set(all_words)) == len(all_words)
+            n_short = sum(len(w) < 16 for w in found.values())
+            assert n_short <= 1 if "stream_words" not in options else n_short > 1
+            assert {w for words in found.values() for w in words} <= {w for _, t, _, s in rows if s == source for w in WORDS.findall(t)}
+            for words in found.values():  # a document's words follow each other
+                for v, w in zip(words, words[1:]):
+                    (a, i), (b, j) = (x.split("w") for x in (v, w))
+                    assert (a == b and int(j) == int(i) + 1) or (a != b and int(j) == 0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1021, 4097])
+def test_index_permutations(spark, n):
+    """Each key's map is a permutation; keys differ, and neighbours don't stay neighbours."""
+    rows = spark.range(3 * n).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("key"), F.lit(n).cast("long").alias("n"))
+    got = collections.defaultdict(dict)
+    for r in mixing.permuted(rows, "i", "n", [F.lit(7), F.col("key")], "to").collect():
+        got[r.key][r.i] = r.to
+    for p in got.values():
+        assert sorted(p.values()) == list(range(n))
+    if n > 16:
+        assert len({tuple(p[i] for i in range(n)) for p in got.values()}) == 3
+        steps = collections.Counter((p[i + 1] - p[i]) % n for p in got.values() for i in range(n - 1))
+        assert max(steps.values()) < max(12, n / 8)
+
+
+def test_shard_counts_are_multinomial(spark):
+    """Counts of a source over shards spread like draws, and sum up to the quota."""
+    plan = spark.createDataFrame([(1, "a", 4000, 8000), (2, "b", 3000, 2000), (3, None, 1000, 3000)], "sid int, source string, n_blocks long, quota long")
+    got = mixing.drawn(plan, 13000, 100, 5).groupBy("sid", "shard").count().collect()
+    for sid, quota in ((1, 8000), (2, 2000), (3, 3000)):
+        counts = [r["count"] for r in got if r.sid == sid]
+        p = quota / 13000
+        assert sum(counts) == quota
+        spread = np.var(counts + [0] * (130 - len(counts)))
+        assert 0.6 < spread / (100 * p * (1 - p)) < 1.5
 
 
 def linked(texts, n=3, num=90):
