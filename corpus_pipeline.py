@@ -40,7 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    """The mixture itself, a row per slot: shard, slot, source, block, doc_ids and words."""
+    return mixing.blocks(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -54,19 +55,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that all stages but the mixture leave."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus that the stages make of `documents`."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
-    return docs
-
-
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture itself: shard, slot, source, block and words of every slot."""
-    return mixing.blocks(cleaned(spark, sf_dir))
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mixture takes of each document."""
-    return STAGES[-1][1](spark, cleaned(spark, sf_dir), sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
