@@ -31,8 +31,8 @@ from paperloom.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
 SPACE = r"[\x20\x09-\x0D]+"
-#: Feistel rounds, draws that one row is expanded to, and rows up to which a side is sent to all tasks.
-ROUNDS, DRAWS, BROADCAST_ROWS = 4, 65_536, 100_000
+#: Feistel rounds, draws that one row is expanded to, most tasks that expand them, and rows up to which a side is sent to all tasks.
+ROUNDS, DRAWS, DRAW_TASKS, BROADCAST_ROWS = 4, 65_536, 4096, 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -103,7 +103,9 @@ def drawn(plan: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFra
     line = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)  # one row per source
     ahead = plan.where("quota > 0").select("sid", "source", "n_blocks", "quota", F.coalesce(F.sum("quota").over(line), F.lit(0)).alias("ahead"))
     last = lambda c: F.floor((F.col(c) - 1) / DRAWS)
-    parts = ahead.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last("quota")))).repartition("sid", "part")
+    parts = ahead.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last("quota"))))
+    # With a number of its own, so that the few small rows aren't put together before they are expanded.
+    parts = parts.repartition(max(1, min(DRAW_TASKS, n_slots // DRAWS)), "sid", "part")
     first = F.col("part") * DRAWS
     rows = parts.withColumn("j", F.explode(F.sequence(first, F.least(first + DRAWS, F.col("quota")) - 1)))
     rows = rows.withColumns({"at": F.col("ahead") + F.col("j"), "n_slots": F.lit(n_slots).cast("long"), "pass": F.floor(F.col("j") / F.col("n_blocks")), "index": F.pmod("j", "n_blocks")})
@@ -168,7 +170,8 @@ def blocks(
 ) -> DataFrame:
     """The mixture, a row per slot: shard, slot, source, block (its index in the source), the ids of its documents in order, words."""
     _, content, draws = packed(docs, block_words, shard_slots, max_repeat, seed, stream_words, id_col, text_col, source_col)
-    out = draws.join(content, ["sid", "block"])
+    # The size of what is expanded isn't known to the planner, so it must not think of sending it to all tasks.
+    out = draws.hint("merge").join(content, ["sid", "block"])
     return out.select("shard", "slot", "source", "block", F.col("parts.id").alias(f"{id_col}s"), "words")
 
 
@@ -179,7 +182,7 @@ def mix(
     """Per row: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
     empty, content, draws = packed(docs, block_words, shard_slots, max_repeat, seed, stream_words, id_col, text_col, source_col)
     uses = draws.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    parts = content.join(uses, ["sid", "block"], "left").select("sid", "bucket", F.coalesce("uses", F.lit(0)).alias("uses"), F.explode("parts").alias("part"))
+    parts = content.join(uses.hint("merge"), ["sid", "block"], "left").select("sid", "bucket", F.coalesce("uses", F.lit(0)).alias("uses"), F.explode("parts").alias("part"))
     rows = parts.groupBy("sid", "bucket", "part.start").agg(*[F.first(f"part.{c}").alias(c) for c in ("id", "size", "source_size", "target")], F.sum(F.col("part.n") * F.col("uses")).alias("taken"))
     same = [F.col("id").alias(id_col), "size", "source_size", "target"]
     return rows.select(*same, "taken").unionByName(empty.select(*same, F.lit(0).cast("long").alias("taken")))
