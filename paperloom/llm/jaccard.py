@@ -4,20 +4,25 @@ Sets are linked at Jaccard similarity `num`/100 or more, that is within distance
 eps = 1 - num/100 of a metric. Four steps, each exact:
 
 1. Equal sets become one node, named by its smallest id.
-2. Shells. Seen from the empty set as pivot, a set's symmetric difference distance is its
-   size, so linked sets lie in the same or neighbouring size shells; sets near a shell's
-   border are copied to the next one. In a shell, linked sets differ in at most T elements.
-   Shingles are dealt into T + 2 parts by hash, so linked sets agree on at least two whole
-   parts, and meet under the key of one of them. (Texts that share little are all at
-   distance 1 from any document taken as pivot, so triangle windows around such pivots
-   would copy every document to every region; hence this step before the next.)
-3. Nodes that meet, directly or over others, form a region; no link crosses regions. Pivot
-   documents cut a large region into Voronoi cells. A document is copied to every cell whose
-   pivot is at most 2 eps further than its own; by the triangle inequality each linked pair
-   then meets in the cell of either one. Cells that are still large are cut again, with new
-   pivots. Where cells don't get smaller, blocks of the region meet pairwise instead.
-4. In a cell, intersections of all its sets are counted together; links give components,
-   which are joined over cells.
+2. Nodes without a partner leave. Seen from the empty set as pivot, a set's symmetric
+   difference distance is its size, so linked sets lie in the same or neighbouring size
+   shells; sets near a shell's border are copied to the next one. In a shell, linked sets
+   differ in at most T elements. Shingles are dealt into T + 2 parts by hash, so linked sets
+   agree on at least two whole parts. A node that shares no part with another one has no
+   link. The others, with all that they share parts with, form regions; no link crosses them.
+3. In each region of more than two nodes, pivots (members with the smallest hashes) make
+   Voronoi cells. A node is copied to every cell whose pivot is at most 2 eps further than its
+   own; by the triangle inequality each linked pair meets in the cell of either one. One more
+   site, the outside, is at distance OUTSIDE eps from every node: a constant changes by nothing
+   between linked nodes, as the triangle inequality asks. Nodes that are far from all pivots
+   are its cell, and are not copied to cells that they share nothing with. Cells are cut again
+   with new pivots, until they hold at most two nodes or stop getting smaller.
+4. Nodes within eps of a pivot are linked by it, and pairs that are connected already aren't
+   looked at again. What is left in a cell is counted together. Links give components.
+
+Cells of up to `task_rows` nodes are cut inside a task, larger ones over the cluster by the
+same rules. Where a large cell doesn't get smaller, blocks of it meet pairwise, without the
+pairs of nodes that its busiest pivot has linked.
 
 Defined results: a null or blank text has an empty set, linked with nothing (component: its
 own id); a null id has no component and takes part in no link; rows that share an id are
@@ -27,6 +32,7 @@ one node; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +46,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SQUARE = np.uint64(0x9E3779B97F4A7C15**2 & 0xFFFFFFFFFFFFFFFF)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 DICTIONARY = 300_000
-#: Largest cell that one task joins, and rows up to which a semi join may broadcast its ids.
-CELL, BROADCAST_ROWS = 2048, 500_000
+#: Largest cell that one task joins, most pivots of a larger one, and rows up to which a semi join may broadcast its ids.
+TASK_ROWS, PIVOTS, BROADCAST_ROWS = 2048, 64, 500_000
+#: Distance of the outside in eps: above 2, so that what a pivot links is in no reach of it.
+OUTSIDE = 3
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -156,53 +164,115 @@ def components(links: DataFrame) -> DataFrame:
             label = materialize(label.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
 
 
-def overlap_links(members: list[np.ndarray], own: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of linked sets, one of each pair marked as own, by counting all intersections together."""
+def overlaps(members: list[np.ndarray], pivots: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets with those at `pivots`, counted together."""
     m = len(members)
-    sizes = np.array([len(x) for x in members])
     _, item = np.unique(np.concatenate(members), return_inverse=True)
-    row = np.repeat(np.arange(m), sizes)
+    row = np.repeat(np.arange(m), [len(x) for x in members])
     order = np.argsort(item, kind="stable")
     item, row = item[order], row[order]
     shared = np.bincount(item)[item] > 1
     item, row = item[shared], row[shared]
-    both = np.zeros((m, m), np.float32)
+    both = np.zeros((m, len(pivots)), np.float32)
     if len(item):
         item = np.cumsum(np.diff(item, prepend=item[0]) != 0)
-        step = 4096
+        step = max(64, min(4096, (1 << 22) // m))
         for lo in range(0, int(item[-1]) + 1, step):
             a, b = np.searchsorted(item, [lo, lo + step])
             grid = np.zeros((m, step), np.float32)
             grid[row[a:b], item[a:b] - lo] = 1
-            both += grid @ grid.T
-    either = sizes[:, None] + sizes[None, :] - both
-    linked = np.triu((100 * both.astype(np.int64) >= num * either.astype(np.int64)) & (own[:, None] | own[None, :]), 1)
-    return np.nonzero(linked)
+            both += grid @ grid[pivots].T
+    sizes = np.array([len(x) for x in members])
+    both = both.astype(np.int64)
+    both[pivots, np.arange(len(pivots))] = sizes[pivots]
+    return both
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links: as many of them as connect what they connect."""
-    up, out = list(range(n)), []
+def windows(both: np.ndarray, sizes: np.ndarray, pivot_sizes: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which sets are linked to which pivots, each set's home (the last is the outside), and the cells within its 2 eps window."""
+    either = sizes[:, None] + pivot_sizes[None, :] - both
+    eps = (100 - num) / 100
+    far = np.column_stack([1 - both / either, np.full(len(sizes), OUTSIDE * eps)])
+    home = far.argmin(axis=1)
+    reach = far <= far.min(axis=1, keepdims=True) + 2 * eps + 1e-9
+    return 100 * both >= num * either, home, reach
+
 
-    def root(x: int) -> int:
+class Forest:
+    """Which rows are connected, and the links that connected them."""
+
+    def __init__(self, n: int) -> None:
+        self.up, self.links = list(range(n)), []
+
+    def root(self, x: int) -> int:
+        up = self.up
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = root(x), root(y)
+    def join(self, x: int, y: int) -> None:
+        rx, ry = self.root(x), self.root(y)
         if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
+            self.up[max(rx, ry)] = min(rx, ry)
+            self.links.append((x, y))
+
+    def connected(self, rows: np.ndarray) -> bool:
+        return len({self.root(x) for x in rows.tolist()}) < 2
+
+
+class Region:
+    """The join of some sets, cut into cells by pivots of its own; `n_cuts` and `n_cells` tell how often."""
+
+    def __init__(self, nodes: list[int], members: list[np.ndarray], own: np.ndarray, num: int) -> None:
+        self.members, self.own, self.num = members, own, num
+        self.sizes = np.array([len(x) for x in members])
+        self.rank = mixed(np.array(nodes, np.int64).view(np.uint64))
+        self.forest = Forest(len(nodes))
+        self.n_cuts = self.n_cells = 0
+        self.cut(np.arange(len(nodes)), own)
+
+    def count(self, rows: np.ndarray, own: np.ndarray) -> None:
+        """Links of a cell that isn't cut any further."""
+        if not own.any() or self.forest.connected(rows):
+            return
+        both = overlaps([self.members[i] for i in rows], np.arange(len(rows)))
+        sizes = self.sizes[rows]
+        linked = 100 * both >= self.num * (sizes[:, None] + sizes[None, :] - both)
+        for i, j in zip(*np.nonzero(np.triu(linked & (own[:, None] | own[None, :]), 1))):
+            self.forest.join(int(rows[i]), int(rows[j]))
+
+    def cut(self, rows: np.ndarray, own: np.ndarray) -> None:
+        if not own.any() or self.forest.connected(rows):
+            return
+        m = len(rows)
+        if m <= 2:
+            self.count(rows, own)
+            return
+        pivots = np.sort(np.argsort(self.rank[rows], kind="stable")[: int(np.ceil(np.sqrt(m)))])
+        both = overlaps([self.members[i] for i in rows], pivots)
+        linked, home, reach = windows(both, self.sizes[rows], self.sizes[rows][pivots], self.num)
+        self.n_cuts += 1
+        for x, k in zip(*np.nonzero(linked)):
+            self.forest.join(int(rows[pivots[k]]), int(rows[x]))
+        if m > 8 and reach.sum(axis=0).max() > 0.8 * m:  # it doesn't get smaller
+            self.count(rows, own)
+            return
+        self.rank[rows] = mixed(self.rank[rows])  # the next cut has other pivots
+        for k in range(reach.shape[1]):
+            cell = np.flatnonzero(reach[:, k])
+            if len(cell) == m:
+                self.count(rows, own & (home == k))
+            elif len(cell) > 1:
+                self.n_cells += 1
+                self.cut(rows[cell], own[cell] & (home[cell] == k))
 
 
 CELLS = "region long, cell long, node long, own boolean, items binary"
 
 
-def joined_cells(cells: DataFrame, num: int, per_task: int) -> DataFrame:
-    """Links (a, b) of a spanning forest of each cell; small cells share tasks."""
+def joined_cells(cells: DataFrame, num: int, n_tasks: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in each cell; small cells share tasks."""
 
     def run(table: pa.Table) -> pa.Table:
         got: dict[tuple[int, int], list[tuple[int, bool, bytes]]] = {}
@@ -211,97 +281,105 @@ def joined_cells(cells: DataFrame, num: int, per_task: int) -> DataFrame:
         a, b = [], []
         for rows in got.values():
             rows = sorted(set(rows))
-            x, y = overlap_links([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), num)
-            for i, j in forest(len(rows), x, y):
-                if rows[i][0] != rows[j][0]:
-                    a.append(min(rows[i][0], rows[j][0]))
-                    b.append(max(rows[i][0], rows[j][0]))
+            nodes = [r[0] for r in rows]
+            for i, j in Region(nodes, [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), num).forest.links:
+                if nodes[i] != nodes[j]:
+                    a.append(min(nodes[i], nodes[j]))
+                    b.append(max(nodes[i], nodes[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.withColumn("task", F.pmod(F.xxhash64("region", "cell"), F.lit(per_task))).groupBy("task").applyInArrow(run, "a long, b long")
+    return cells.withColumn("task", F.pmod(F.xxhash64("region", "cell"), F.lit(n_tasks))).groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def voronoi(cells: DataFrame, eps: float, level: int, cell_rows: int) -> DataFrame:
-    """Cuts each cell by the pivots of its own rows with the smallest hashes; the rows within 2 eps are copied."""
-    order = Window.partitionBy("region", "cell").orderBy(F.xxhash64("node", F.lit(level)), "node")
-    sized = cells.groupBy("region", "cell").agg(F.count("*").alias("m"))
-    wanted = cells.where("own").join(sized, ["region", "cell"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.least(F.ceil(4 * F.col("m") / cell_rows), F.lit(256)))
-    pivots = wanted.groupBy("region", "cell").agg(F.array_sort(F.collect_list(F.struct("k", "items"))).alias("pivots"))  # at most 256 sets
+def voronoi(cells: DataFrame, sizes: DataFrame, num: int, level: int, task_rows: int) -> DataFrame:
+    """Cuts large cells (sizes: region, cell, m) by the pivots of their own rows with the smallest hashes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r, c, node, own, items, pivots in zip(*(x.to_pylist() for x in batch.columns)):
-                mine = np.frombuffer(items, np.uint64)
-                far = []
-                for p in pivots:
-                    other = np.frombuffer(p["items"], np.uint64)
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    far.append(1 - both / (len(mine) + len(other) - both))
-                least = min(far)
-                home = far.index(least)
-                for k, d in enumerate(far):
-                    if d <= least + 2 * eps + 1e-9:
-                        out.append({"region": r, "cell": c * 257 + k + 1, "node": node, "own": own and k == home, "items": items})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("region", pa.int64()), ("cell", pa.int64()), ("node", pa.int64()), ("own", pa.bool_()), ("items", pa.binary())]))
-
-    return cells.join(pivots, ["region", "cell"]).select("region", "cell", "node", "own", "items", "pivots").mapInArrow(run, CELLS)
-
-
-def block_pairs(cells: DataFrame, sizes: DataFrame, half: int) -> DataFrame:
-    """Cells that pivots don't cut, as pairs of blocks of rows: each two rows meet in one of them."""
-    cells = cells.join(sizes.select("region", "cell", F.ceil(F.col("m") / half).alias("n")), ["region", "cell"])
-    mine = F.pmod(F.xxhash64("node", F.lit(17)), F.col("n"))
-    rows = cells.select("region", "cell", "node", "own", "items", "n", mine.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    Gives parent (the cell that was cut) and CELLS, and near: on the row at its home, the pivot that links it.
+    """
+    order = Window.partitionBy("region", "cell").orderBy(F.xxhash64("node", F.lit(level)), "node")
+    first = cells.where("own").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
+    sized = sizes.withColumn("n", F.ceil(F.col("m") / 1000))
+    pivots = first.join(sized, ["region", "cell"]).where(F.col("k") <= F.ceil(4 * F.col("m") / task_rows))
+    pivots = materialize(pivots.select("region", "cell", "n", "k", "node", "items"))
+    pivots = pivots.select("region", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("part"), "k", "node", "items")
+    rows = cells.join(sized, ["region", "cell"]).select("region", "cell", F.pmod(F.xxhash64("node", F.lit(29)), "n").alias("part"), "node", "own", "items")
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        got, sites = rows.to_pylist(), sorted(pivots.to_pylist(), key=lambda p: p["k"])
+        out = []
+        if got and sites:
+            members = [np.frombuffer(r["items"], np.uint64) for r in sites + got]
+            lengths, n = np.array([len(x) for x in members]), len(sites)
+            both = overlaps(members, np.arange(n))[n:]
+            linked, home, reach = windows(both, lengths[n:], lengths[:n], num)
+            for i, r in enumerate(got):
+                for k in np.flatnonzero(reach[i]).tolist():
+                    at_home = k == home[i]
+                    near = sites[k]["node"] if at_home and k < n and linked[i, k] else None
+                    out.append({"region": r["region"], "parent": r["cell"], "cell": r["cell"] * (PIVOTS + 2) + k + 1, "node": r["node"], "own": r["own"] and at_home, "items": r["items"], "near": near})
+        return pa.Table.from_pylist(out, schema=pa.schema([("region", pa.int64()), ("parent", pa.int64()), ("cell", pa.int64()), ("node", pa.int64()), ("own", pa.bool_()), ("items", pa.binary()), ("near", pa.int64())]))
+
+    key = ("region", "cell", "part")
+    return rows.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(run, f"region long, parent long, {CELLS.removeprefix('region long, ')}, near long")
+
+
+def block_pairs(cells: DataFrame, cut: DataFrame, half: int) -> DataFrame:
+    """Cells that pivots don't make smaller, as pairs of blocks of about `half` rows: each two rows meet in one.
+
+    Rows that the busiest pivot of the cell has linked don't meet each other.
+    """
+    near = cut.where("near is not null").select("region", F.col("parent").alias("cell"), "node", "near")
+    busy = near.groupBy("region", "cell", "near").count().groupBy("region", "cell").agg(F.max(F.struct("count", "near"))["near"].alias("near"))
+    done = near.join(busy, ["region", "cell", "near"]).select("region", "cell", "node", F.lit(True).alias("done"))
+    rows = cells.join(done, ["region", "cell", "node"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    n_of = lambda c: F.ceil(F.sum(F.col(c).cast("int")) / half)
+    sizes = rows.withColumn("open", ~F.col("done")).groupBy("region", "cell").agg(n_of("done").alias("n_done"), n_of("open").alias("n_open"))
+    rows = rows.join(sizes, ["region", "cell"]).where("n_open > 0").withColumn("n", F.col("n_done") + F.col("n_open"))
+    h = F.xxhash64("node", F.lit(17))
+    mine = F.when(F.col("done"), F.pmod(h, F.greatest("n_done", F.lit(1)))).otherwise(F.col("n_done") + F.pmod(h, "n_open"))
+    others = F.sequence(F.when(F.col("done"), F.col("n_done")).otherwise(F.lit(0).cast("long")), F.col("n") - 1)
+    rows = rows.select("region", "cell", "node", "own", "items", "n", mine.alias("i"), F.explode(others).alias("j"))
     pair = F.least("i", "j") * F.col("n") + F.greatest("i", "j")
     return rows.select("region", F.xxhash64("cell", pair).alias("cell"), "node", "own", "items")
 
 
-def region_links(regions: DataFrame, num: int, cell_rows: int, levels: int, per_task: int) -> DataFrame:
-    """Links of all regions (region, node, items), cut into cells where they are large."""
-    eps = (100 - num) / 100
+def region_links(regions: DataFrame, num: int, task_rows: int, levels: int) -> DataFrame:
+    """Links that connect what is linked in all regions (region, node, items)."""
     cells = materialize(regions.select("region", F.lit(0).cast("long").alias("cell"), "node", F.lit(True).alias("own"), "items"))
-    found = []
-    before = None
+    key, found = ["region", "cell"], []
+
+    def join_all(rows: DataFrame) -> None:
+        found.append(joined_cells(rows, num, max(8, rows.count() // 1000)))
+
     for level in range(levels + 1):
-        sizes = cells.groupBy("region", "cell").agg(F.count("*").alias("m"))
-        large = materialize(sizes.where(F.col("m") > cell_rows))
+        large = materialize(cells.groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > task_rows))
         total = large.agg(F.max("m").alias("top"), F.sum("m").alias("rows")).first()
-        key = ["region", "cell"]
-        found.append(joined_cells(cells.join(large, key, "left_anti"), num, per_task))
+        join_all(cells.join(large, key, "left_anti"))
         if total.top is None:
-            return found_all(found)
-        rest = cells.join(large.select(*key), key, "left_semi")
-        if level == levels or before is not None and (total.top > 0.8 * before[0] or total.rows > 4 * before[1]):
-            found.append(joined_cells(block_pairs(rest, large, cell_rows // 2), num, per_task))
-            return found_all(found)
-        before = (total.top, total.rows)
-        cells = materialize(voronoi(rest, eps, level, cell_rows))
-    return found_all(found)
-
-
-def found_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def link(docs: DataFrame, n: int = 3, num: int = 90, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL, levels: int = 3) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    rows = materialize(sets(docs, n, num, id_col, text_col))
+            break
+        rest = materialize(cells.join(large.select(*key), key, "left_semi"))
+        cut = materialize(voronoi(rest, large, num, level, task_rows))
+        found.append(cut.where("near <> node").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")))
+        now = cut.groupBy(*key).agg(F.count("*").alias("m")).agg(F.max("m").alias("top"), F.sum("m").alias("rows")).first()
+        if level == levels or now.top > 0.8 * total.top or now.rows > 4 * total.rows:
+            join_all(materialize(block_pairs(rest, cut, task_rows // 2)))
+            break
+        cells = cut.select("region", "cell", "node", "own", "items")
+    return materialize(reduce(DataFrame.unionByName, found).distinct())
+
+
+def regions_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """region, node, items of the nodes that share a key with another one, directly or over others."""
     known = rows.where("id is not null and set is not null")
-    nodes = materialize(known.groupBy("set").agg(F.min("id").alias("node")))
     named = known.select("id", "set", "keys").where(F.size("keys") > 0).join(nodes, "set").select("node", "keys")
     meets = named.select("node", F.explode("keys").alias("key"))
     first = meets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
     met = meets.join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     regions = components(met).select("node", F.col("root").alias("region"))
     regions = materialize(regions)
-    count = regions.count()
     # The sets of nodes in regions are made anew from their texts, rather than kept for all documents.
     wanted = regions.select(F.col("node").alias("id"))
-    hint = F.broadcast if count <= BROADCAST_ROWS else lambda x: x
+    hint = F.broadcast if regions.count() <= BROADCAST_ROWS else lambda x: x
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -311,8 +389,15 @@ def link(docs: DataFrame, n: int = 3, num: int = 90, id_col: str = "doc_id", tex
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(hint(wanted), "id", "left_semi")
     items = texts.mapInArrow(again, "node long, items binary").where(F.octet_length("items") > 0)
-    links = region_links(items.join(hint(regions), "node"), num, cell_rows, levels, max(8, count // 1000))
-    found = components(links.distinct())
+    return items.join(hint(regions), "node")
+
+
+def link(docs: DataFrame, n: int = 3, num: int = 90, id_col: str = "doc_id", text_col: str = "text", task_rows: int = TASK_ROWS, levels: int = 3) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    rows = materialize(sets(docs, n, num, id_col, text_col))
+    known = rows.where("id is not null and set is not null")
+    nodes = materialize(known.groupBy("set").agg(F.min("id").alias("node")))
+    found = components(region_links(regions_of(docs, rows, nodes, n, id_col, text_col), num, task_rows, levels))
     out = rows.join(nodes, "set", "left").join(found, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
 
