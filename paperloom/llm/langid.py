@@ -6,8 +6,8 @@ with a switching penalty labels the words; neighbouring equal labels form spans.
 document's language is the one with most letters in its spans, its score that share.
 
 The model is fitted on a bounded sample of labelled rows: at most `sample_per_lang` rows of
-each language, picked by the hash of their id, and at most `max_languages` languages and
-`max_features` trigrams. Prediction reads every word of every text.
+each language, picked by the hash of their id. All languages and all trigrams of the sample
+are learned. Prediction reads every word of every text.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or a model
 without languages; ties between languages go to the first in code-point order; a null id
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import text_batches
+from paperloom.llm.common import materialize, text_batches
 
 #: First and last code point of the main blocks of each script.
 SCRIPT_RANGES = [
@@ -44,7 +44,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SCRIPT_SHARE = 0.02
 #: A language outside the script, and the worst score that one word can add.
 OUTSIDE, FLOOR = -12.0, -8.0
-CACHE_WORDS = 250_000
+#: Scores (words x languages) that a worker keeps, and sampled ids up to which they are sent to all tasks.
+CACHE_SCORES, BROADCAST_ROWS = 2_000_000, 1_000_000
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
@@ -69,25 +70,24 @@ class Model:
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample_per_lang: int = 2000, max_languages: int = 256, max_features: int = 200_000,
+    sample_per_lang: int = 2000,
 ) -> Model:
     """Trigram counts by language over the bounded sample; only rows that aren't held out are read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    langs = sorted(sizes)
-    if not langs:
-        return Model([], {}, np.zeros((1, 1), np.float32), {})
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # About half as many again by hash first, so that ranking never gathers a whole language.
-    size = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
-    some = rows.where(F.col("lang").isin(langs)).select("id", "lang").where(F.pmod(F.xxhash64("id"), size) < 1.5 * sample_per_lang)
+    some = rows.select("id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.col("n")) < 1.5 * sample_per_lang)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_lang)
-    sample = rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"])  # at most sample_per_lang x max_languages ids
+    chosen = materialize(some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_per_lang).select("id", "lang").distinct())
+    langs = sorted(r.lang for r in chosen.select("lang").distinct().collect())  # labels, not documents
+    if not langs:
+        return Model([], {}, np.zeros((1, 1), np.float32), {})
+    sample = rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["id", "lang"])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w")).groupBy("lang", "w").count()
     padded = F.concat(F.lit("^"), "w", F.lit("$"))
     tris = words.select("lang", "count", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: padded.substr(i, F.lit(3)))).alias("t"))
-    counts = tris.groupBy("lang", "t").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang", "t").limit(max_features).collect()
+    counts = tris.groupBy("lang", "t").agg(F.sum("count").alias("n")).collect()  # of the sample only
     at = {x: k for k, x in enumerate(langs)}
     trigrams = {t: k for k, t in enumerate(sorted({r.t for r in counts}))}
     table = np.zeros((len(trigrams) + 1, max(1, len(langs))))
@@ -107,7 +107,8 @@ class Labeller:
 
     def __init__(self, model: Model, penalty: float) -> None:
         self.m, self.penalty = model, penalty
-        self.rows = np.zeros((CACHE_WORDS, max(1, len(model.langs))), np.float32)
+        width = max(1, len(model.langs))
+        self.rows = np.zeros((max(1000, CACHE_SCORES // width), width), np.float32)
         self.index: dict[str, int] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -215,7 +216,7 @@ def in_parts(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str | Non
 
 def label_spans(docs: DataFrame, model: Model, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score and the language spans of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_features x max_languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample's languages and trigrams make it
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
