@@ -4,7 +4,7 @@ Each language has two references, counted over all its documents: a histogram of
 character classes, and one of its `n_common` most frequent short words (1 to
 `short` letters, lower case) against all others. A document's histograms are compared
 with its language's by the Jensen-Shannon distance (base 2, 0 to 1). Below the minimum
-lengths a distance isn't judged. Documents of no listed language use the reference of all.
+lengths a distance isn't judged. Documents without a language use the reference of all.
 
 Defined results: a null text has no words, and fails the base rule of 20 words; a
 reference of no characters judges nothing; repeated rows each give a row; other columns
@@ -22,8 +22,8 @@ from paperloom.llm.common import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 CLASSES = ("letters", "digits", "spaces", "symbols", "marks", "others")
-#: Languages with a reference of their own; the reference table is broadcast, so it is bounded.
-MAX_LANGUAGES = 256
+#: References (about 1 kB each) up to which they are sent to all tasks, and parts that a language is dealt to beyond, or when its words are ranked.
+BROADCAST_ROWS, SALTS = 10_000, 64
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
@@ -66,25 +66,30 @@ def jsd(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
+def brief_words(words: str, short: int) -> Column:
+    """Words of at most `short` letters, lower case."""
+    return F.transform(F.filter(words, lambda w: F.length(w) <= short), F.lower)
+
+
 def references(docs: DataFrame, n_common: int = 24, short: int = 4) -> DataFrame:
     """lang (null: all), chars (shares by class), common (words), shares (of these, then of all others).
 
     One pass: a row per document and class or short word is summed before it is shuffled.
     """
-    rows = with_classes(docs).select("lang", "chars", F.array_remove(F.split(F.lower("text"), SPACE), "").alias("words"))
+    rows = with_classes(docs).select("lang", "chars", F.array_remove(F.split("text", SPACE), "").alias("words"))
     pair = lambda w, v: F.struct(w.alias("w"), v.cast("double").alias("v"))
     facts = [pair(F.lit(f"#{c}"), F.col("chars")[k]) for k, c in enumerate(CLASSES)] + [pair(F.lit("#words"), F.size("words")), pair(F.lit("#docs"), F.lit(1))]
-    brief = F.transform(F.filter("words", lambda w: F.length(w) <= short), lambda w: pair(w, F.lit(1)))
+    brief = F.transform(brief_words("words", short), lambda w: pair(w, F.lit(1)))
     sums = rows.select("lang", F.explode(F.concat(F.array(*facts), brief)).alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.v").alias("v"))
     sums = sums.where(F.col("w").startswith("#") & (F.length("w") > short) | F.col("w").rlike(r"^\p{L}+$"))
     sums = materialize(sums)  # languages x short words, read several times
     sums = sums.where("lang is not null").unionByName(sums.groupBy("w").agg(F.sum("v").alias("v")).withColumn("lang", F.lit(None).cast("string")))
     fact = F.col("w").startswith("#")
     facts_of = sums.where(fact).groupBy("lang").agg(*[F.coalesce(F.max(F.when(F.col("w") == f"#{c}", F.col("v"))), F.lit(0.0)).alias(c) for c in (*CLASSES, "words", "docs")])
-    # Of very many languages those with most documents get a reference; the row of all always stays.
-    facts_of = facts_of.orderBy(F.col("lang").isNotNull(), F.desc("docs"), "lang").limit(MAX_LANGUAGES + 1)
-    rank = Window.partitionBy("lang").orderBy(F.desc("v"), "w")
-    top = sums.where(~fact).withColumn("k", F.row_number().over(rank)).where(F.col("k") <= n_common)
+    # First in parts of a language, so that none is ranked in one task.
+    top = sums.where(~fact).withColumn("part", F.pmod(F.xxhash64("w"), F.lit(SALTS)))
+    for by in (["lang", "part"], ["lang"]):
+        top = top.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("v"), "w"))).where(F.col("k") <= n_common)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "v"))).alias("top"))
     joined = facts_of.join(top, facts_of["lang"].eqNullSafe(top["lang"]), "left").select(facts_of["*"], F.coalesce("top", F.array().cast("array<struct<k:int,w:string,v:double>>")).alias("top"))
     size = reduce(lambda a, b: a + b, [F.col(c) for c in CLASSES])
@@ -95,24 +100,26 @@ def references(docs: DataFrame, n_common: int = 24, short: int = 4) -> DataFrame
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_char_distance: float = 0.3,
-    max_word_distance: float = 0.45, min_chars: int = 200, min_words: int = 50,
+    max_word_distance: float = 0.45, min_chars: int = 200, min_words: int = 50, short: int = 4, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Base counts, both distances (null below the minimum length) and the verdict of every row."""
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    ref = materialize(references(docs))
-    listed = [r.lang for r in ref.where("lang is not null").select("lang").collect()]  # MAX_LANGUAGES at most
-    key = F.when(F.col("lang").isin(listed), F.col("lang")) if listed else F.lit(None).cast("string")
+    ref = materialize(references(docs, short=short)).withColumnRenamed("lang", "of")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = with_classes(docs).select(
-        "id", key.alias("key"), F.array_remove(F.split("text", SPACE), "").alias("words"), F.array_remove(F.split(F.lower("text"), SPACE), "").alias("lower"),
+        "id", "lang", F.array_remove(F.split("text", SPACE), "").alias("words"),
         "chars", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"),
     )
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    rows = repeat_cover(rows, "words", "n_repeat_words").drop("words")
-    rows = rows.join(F.broadcast(ref), rows["key"].eqNullSafe(ref["lang"]), "left")
+    rows = repeat_cover(rows, "words", "n_repeat_words").withColumn("brief", brief_words("words", short)).drop("words")
+    if ref.count() <= broadcast_rows:
+        rows = rows.join(F.broadcast(ref), F.col("lang").eqNullSafe(F.col("of")), "left")
+    else:
+        ref = ref.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "n_chars"), F.lit(SALTS)).cast("int")).join(ref, F.col("lang").eqNullSafe(F.col("of")) & (F.col("part") == F.col("salt")), "left")
     # Only the common words are kept, then each is counted by what its removal takes away.
-    rows = rows.withColumn("found", F.filter("lower", lambda w: F.array_contains("common", w))).drop("lower")
+    rows = rows.withColumn("found", F.filter("brief", lambda w: F.array_contains("common", w))).drop("brief")
     n = F.greatest(F.col("n_words"), F.lit(1))
     counts = F.transform("common", lambda w: (F.size("found") - F.size(F.array_remove("found", w))) / n)
     rows = rows.withColumn("shares", F.concat(counts, F.array(1 - F.size("found") / n))).drop("found", "common")
@@ -120,4 +127,4 @@ def quality(
     rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= min_words, jsd(F.col("shares"), F.col("ref_shares"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
-    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "char_distance", "word_distance")
+    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
