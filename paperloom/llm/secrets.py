@@ -14,6 +14,8 @@ null; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +29,21 @@ BASE = ("assign", "access", "hex")
 #: The weak parts.
 IDENT = r"""((?i)user_?name|user|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
 KEY = r"""((?i)pass|pwd|passphrase|private_?key|auth_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@-]{6,})"""
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])"
+RUN, TOKEN = r"[A-Za-z0-9+/_=-]{32,}", r"[A-Za-z0-9+/_-]{32,}={0,2}"  # a whole run that is a token, with a digit and letters of both cases
 ENDPOINT = r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s"'<>]+"""
 WEAK = ("weak_ident", "weak_key", "weak_token", "endpoint")
 SPAN = "array<struct<start:int,k:int,end:int>>"
 
 
-def found(text: Column, pattern: str, kind: int, gate: Column, group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost matches that don't overlap; `least` is the length that `group` needs.
+def found(text: Column, pattern: str, kind: int, gate: Column, group: int = 0, least: int = 0, test: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of the leftmost matches that don't overlap; `least` is the length that `group` needs, `test` what a match must be.
 
     What lies between matches is what split() leaves, so starts are running sums of lengths.
     """
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    zipped = F.zip_with(F.transform(F.slice(pieces, 1, F.size(hits)), F.length), F.arrays_zip(F.transform(hits, F.length).alias("n"), F.transform(parts, F.length).alias("m")), lambda p, x: F.struct(p.alias("gap"), x["n"].alias("n"), x["m"].alias("m")))
+    size = (lambda x: F.when(test(x), F.length(x)).otherwise(F.lit(-1))) if test else F.length
+    zipped = F.zip_with(F.transform(F.slice(pieces, 1, F.size(hits)), F.length), F.arrays_zip(F.transform(hits, F.length).alias("n"), F.transform(parts, size).alias("m")), lambda p, x: F.struct(p.alias("gap"), x["n"].alias("n"), x["m"].alias("m")))
     empty = F.array().cast(SPAN)
     span = lambda a, x: F.struct((a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("k"), (a["at"] + x["gap"] + x["n"]).alias("end"))
     fold = F.aggregate(
@@ -80,7 +83,7 @@ def scan(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text_col: st
         "id",
         found(text, ASSIGN, 0, text.rlike(ASSIGN), 2, 6).alias("a"), found(text, ACCESS, 1, text.contains("AKIA"), 0, 20).alias("b"), found(text, HEX, 2, text.rlike(HEX)).alias("c"),
         found(text, IDENT, 3, text.rlike(IDENT)).alias("d"), found(text, KEY, 4, text.rlike(KEY)).alias("e"),
-        found(text, TOKEN, 5, text.rlike("[A-Za-z0-9+/_-]{32}")).alias("f"), found(text, ENDPOINT, 6, text.contains("://")).alias("g"),
+        found(text, RUN, 5, text.rlike(RUN), test=lambda x: x.rlike(f"^{TOKEN}$") & x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")).alias("f"), found(text, ENDPOINT, 6, text.contains("://")).alias("g"),
     )
     rows = rows.select("id", F.size("a").cast("long").alias("n_assign"), F.size("b").cast("long").alias("n_access"), F.size("c").cast("long").alias("n_hex"), F.array_sort(F.concat("a", "b", "c")).alias("base"), F.concat("d", "e", "f", "g").alias("weak"))
     rows = rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))))
