@@ -1,38 +1,43 @@
 """Surrogates for personal data: keyed, type-consistent, distinct, and the same for each mention.
 
 An entity is (kind, canonical form): digits for numbers, lower case for addresses, a word
-with its part, gender and script for names. A surrogate is drawn from a keyed hash of the
-entity and an attempt, has the same kind and length, and is written in the format of each
+with its part and gender for names. A surrogate is drawn from a keyed hash of the entity
+and an attempt, has the same kind and length, and is written in the format of each
 mention: punctuation, grouping and case stay. Given names keep their gender, all names
-their script.
+their script. A title tells the gender of the person it stands with, in the whole text;
+else a list of given names does. Names found once are replaced wherever else they stand.
 
-Collision checks run over the distinct entities of all documents: a surrogate may belong to
-one entity only, and may not be an entity that occurs. Of those that draw the same one the
-smallest keeps it, the rest draw again. Tasks draw first attempts themselves; only entities
-that needed more are looked up, from a broadcast table up to `broadcast_rows` of them,
-beyond that by a join on the documents that mention them.
+Collision checks run over the distinct entities of all documents and compare what is read: a
+surrogate may belong to one entity only, of whatever kind, and may not be an entity that
+occurs. Of those that draw the same one the smallest keeps it, the rest draw again, from a
+space that grows with the attempts (by letters, digits or syllables), so the search ends.
+Tasks draw first attempts themselves; only entities that needed more are looked up, from a
+broadcast table up to `broadcast_rows` of them, beyond that by a join on the documents that
+mention them.
 
 Defined results: null text stays null; a null id stays null; repeated rows get the same
 surrogates; rows without entities keep their text as it is; an empty table gives no rows;
-other columns are ignored.
+other columns, of any name, are kept or ignored.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from paperloom.llm.common import materialize, text_batches
+from paperloom.llm.common import discard, materialize, text_batches
 
 EMAIL = re.compile(r"[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
 NUMBER = re.compile(r"(?<![\w.])[+(]?\d[\d ().-]{5,}\d(?![\w])")
 IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)")
+IPV6, HAS_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]*:[0-9A-Fa-f:]*:[0-9A-Fa-f]*(?![\w:.])"), re.compile(r"::|:[0-9A-Fa-f]{1,4}:")
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?!\w)|(?<![\w.+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)")
 #: What PHONE and CARD take, but is a date (with dots or hyphens, spaces may part a phone number) or a list of years.
@@ -56,19 +61,26 @@ CAP = re.compile(r"\b[A-ZÀ-ÞΑ-ΩА-ЯЁ][\w'’-]+")
 NAME = r"[A-ZÀ-ÞΑ-ΩА-ЯЁ][\w'’-]+"
 TITLED = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[  ]((?:{NAME}[  ])?(?:{NAME}[  ])?{NAME})")
 NAMED = re.compile(rf"\b({'|'.join(sorted(GENDER, key=len, reverse=True))})[  ]({NAME})")
+#: What stands before a name.
+CUES = re.compile(rf"\b(?:[Nn]ame(?:\s+is\b|\s*:)|[Cc]ontact\s*:|[Aa]uthor\s*:|[Ss]igned by\b|[Aa]ttn\.?\s*:|[Mm]ein Name ist\b|[Ii]ch heiße\b|[Jj]e m['’]appelle\b|[Mm]e llamo\b|[Мм]еня зовут\b|[Мм]ое имя\b|[Мм]е λένε\b|[Μμ]ε λένε\b)\s+({NAME}(?:[  ]{NAME}){{1,2}})")
+#: Frequent family names, forms of address and cues in Han script.
+HAN_FAMILY = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"
+HAN = re.compile(rf"([{HAN_FAMILY}])([\u4e00-\u9fff]{{0,2}}?)(先生|女士|小姐|太太|教授|博士)|(?:姓名[:：]\s*|名叫|我叫)([\u4e00-\u9fff])([\u4e00-\u9fff]{{1,2}})(?![\u4e00-\u9fff])")
+HAN_TITLES = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "教授": "n", "博士": "n"}
 #: Syllables that surrogate names are made of, and endings by gender.
 SYLLABLES = {
     "Latin": ("ba be bi bo bra da del dor el fa fen gal ha hel jo ka kel la len lor ma mel mir na nel nor pa per ra rel ro sa sel sol ta tel tor va vel vin wen za".split(), {"m": "n r s k d".split(), "f": "a ia ina elle ette".split(), "n": "e i y l t".split()}),
     "Cyrillic": ("ба бе бо ва ве вла да де до за зе ка ке ко ла ле лю ма ме ми на не ни па пе по ра ре ро са се со та те то фа хо ча ша".split(), {"m": "н р й к в".split(), "f": "а я на ра ля".split(), "n": "о и е у ы".split()}),
+    "Han": (list("安柏昌德恩方光海嘉景康立民宁平庆仁善泰文祥新永远云泽正中"), {"m": list("刚强军勇杰"), "f": list("芳娜静丽娟"), "n": list("平文华明安")}),
     "Greek": ("βα βε γα γε δα δη ζα θε κα κε λα λε μα με νι νο πα πε ρα ρο σα σε τα τε φι χα".split(), {"m": "ς ος ης ας ων".split(), "f": "α η ια ω ίνα".split(), "n": "ι ο υ ε ου".split()}),
 }
-KINDS = ("email", "ip", "card", "ssn", "iban", "phone", "name")
+KINDS = ("email", "ip", "ipv6", "card", "ssn", "iban", "phone", "name")
 FOUND = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
 
 
 def script(word: str) -> str:
     c = ord(word[0])
-    return "Greek" if 0x370 <= c <= 0x3FF else "Cyrillic" if 0x400 <= c <= 0x52F else "Latin"
+    return "Greek" if 0x370 <= c <= 0x3FF else "Cyrillic" if 0x400 <= c <= 0x52F else "Han" if 0x4E00 <= c <= 0x9FFF else "Latin"
 
 
 def luhn(digits: str) -> bool:
@@ -85,57 +97,123 @@ def bare(word: str) -> str:
     return re.sub(r"['’](?:[sS])?$", "", word) or word
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
+def ipv6(text: str) -> str | None:
+    try:
+        return IPv6Address(text).compressed
+    except ValueError:
+        return None
+
+
+def persons(text: str) -> Iterator[tuple[list[tuple[int, str]], str]]:
+    """(start, word) of the words of each name that a title, a cue or a listed given name shows, and the gender its title tells."""
+
+    def words(at: int, name: str) -> list[tuple[int, str]]:
+        return [(at + w.start(), bare(w[0])) for w in re.finditer(r"\S+", name)]
+
+    caps = CAP.findall(text)
+    if not TITLE_WORDS.isdisjoint(caps) or "г-" in text or "господин" in text or "госпожа" in text:
+        for m in TITLED.finditer(text):
+            yield words(m.start(2), m[2]), TITLES[m[1]]
+    if len(caps) > 1:
+        for m in CUES.finditer(text):
+            yield words(m.start(1), m[1]), "n"
+        if not GENDER.keys().isdisjoint(caps):
+            for m in NAMED.finditer(text):
+                yield [(m.start(1), m[1]), (m.start(2), bare(m[2]))], "n"
+
+
+def han_names(text: str) -> list[tuple[int, str, str]]:
+    """(start, word, canonical) of names in Han script: family name first; each found name everywhere it stands."""
+    known: dict[str, tuple[str, str, str]] = {}
+    out = []
+    for m in HAN.finditer(text):
+        family, given, gender = (m[1], m[2], HAN_TITLES[m[3]]) if m[1] else (m[4], m[5], "n")
+        if given:
+            if family + given in known and known[family + given][2] != "n":
+                gender = known[family + given][2]
+            known[family + given] = (family, given, gender)
+        else:
+            out.append((m.start(1), family, f"family|n|{family}"))
+    if known:
+        for m in re.finditer("|".join(sorted(map(re.escape, known), key=len, reverse=True)), text):
+            family, given, gender = known[m[0]]
+            out += [(m.start(), family, f"family|n|{family}"), (m.start() + len(family), given, f"given|{gender}|{given}")]
+    return out
+
+
+def names(text: str) -> Iterator[tuple[int, str, str]]:
+    """(start, word, canonical) of all mentions of names."""
+    found = list(persons(text))
+    pair_gender: dict[tuple[str, str], str] = {}
+    word_gender: dict[str, str] = {}
+    for words, gender in found:
+        if gender != "n":
+            for _, given in words[:-1]:
+                pair_gender.setdefault((given, words[-1][1]), gender)
+                word_gender.setdefault(given, gender)
+    known: dict[str, str] = {}
+    firsts = set()
+    for words, _ in sorted(found, key=lambda f: f[0][0][0]):
+        family = words[-1][1]
+        for k, (start, word) in enumerate(words):
+            if start in firsts:
+                continue
+            firsts.add(start)
+            if k < len(words) - 1:
+                gender = pair_gender.get((word, family)) or word_gender.get(word) or GENDER.get(word, "n")
+                canonical = f"given|{gender}|{word.lower()}"
+            else:
+                canonical = f"family|n|{word.lower()}"
+            known.setdefault(word, canonical)
+            yield start, word, canonical
+    if known:  # later and earlier mentions of these names on their own
+        for m in CAP.finditer(text):
+            word = bare(m[0])
+            if word in known and m.start() not in firsts:
+                yield m.start(), word, known[word]
+    if not text.isascii():
+        yield from han_names(text)
+
+
+Found = tuple[int, int, str, str]
+
+
+def merged(kept: list[Found], more: Iterable[Found]) -> list[Found]:
+    """Both in text order, without those of `more` that overlap one of `kept` or an earlier one of their own."""
+    new, k, end = [], 0, 0
+    for x in sorted(more):
+        while k < len(kept) and kept[k][1] <= x[0]:
+            k += 1
+        if x[0] >= end and (k == len(kept) or x[1] <= kept[k][0]):
+            new.append(x)
+            end = x[1]
+    return sorted(kept + new) if new else kept
+
+
+def find(text: str) -> list[Found]:
     """(start, end, kind, canonical) in text order, without overlaps: earlier kinds first."""
-    out: list[tuple[int, int, str, str]] = []
+    got: dict[str, list[Found]] = {k: [] for k in KINDS}
     if "@" in text:
-        out += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+        got["email"] = [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+    if HAS_IPV6.search(text):
+        got["ipv6"] = [(m.start(), m.end(), "ipv6", c) for m in IPV6.finditer(text) if len(m[0]) > 4 and (c := ipv6(m[0]))]
     for area in NUMBER.finditer(text):  # the rest is looked for where there are numbers
         a, b = area.span()
         for kind, pattern in (("ip", IP), ("card", CARD), ("ssn", SSN), ("phone", PHONE)):
             for m in pattern.finditer(text, a, b):
                 digits = re.sub(r"\D", "", m[0])
                 if kind == "ip":
-                    out.append((m.start(), m.end(), kind, m[0]))
+                    got[kind].append((m.start(), m.end(), kind, m[0]))
                 elif kind == "card" and 13 <= len(digits) <= 19 and (luhn(digits) or len(digits) == 16 and not dated(m[0], 13)) or kind == "ssn" or kind == "phone" and 7 <= len(digits) <= 15 and not dated(m[0], 7):
-                    out.append((m.start(), m.end(), kind, digits))
+                    got[kind].append((m.start(), m.end(), kind, digits))
     if any(c in text for c in ("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE", "PT", "PL")):
-        out += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if sum(map(str.isdigit, m[0])) >= 10]
-    names: list[tuple[int, str, str, str]] = []
-    caps = CAP.findall(text)
-    if not TITLE_WORDS.isdisjoint(caps) or "г-" in text or "господин" in text or "госпожа" in text:
-        for m in TITLED.finditer(text):
-            words = list(re.finditer(r"\S+", m[2]))
-            for k, w in enumerate(words):
-                part, word = "given" if k < len(words) - 1 else "family", bare(w[0])
-                # A given name that tells its gender has it under any title, so all mentions of a person agree.
-                gender = GENDER.get(word) or TITLES[m[1]] if part == "given" else "n"
-                names.append((m.start(2) + w.start(), word, part, gender))
-    if not GENDER.keys().isdisjoint(caps):
-        for m in NAMED.finditer(text):
-            names.append((m.start(1), m[1], "given", GENDER[m[1]]))
-            names.append((m.start(2), bare(m[2]), "family", "n"))
-    told: dict[str, str] = {}  # given names that a title tells the gender of, somewhere in the text
-    for _, word, part, gender in names:
-        if part == "given" and gender != "n":
-            told[word.lower()] = min(told.get(word.lower(), gender), gender)
-    known: dict[str, str] = {}
-    for start, word, part, gender in sorted(names):
-        canonical = f"{part}|{told.get(word.lower(), gender) if part == 'given' else gender}|{word.lower()}"
-        known.setdefault(word, canonical)
-        out.append((start, start + len(word), "name", canonical))
-    if known:  # later and earlier mentions of these names on their own
-        firsts = {start for start, *_ in names}
-        for m in CAP.finditer(text):
-            word = bare(m[0])
-            if word in known and m.start() not in firsts:
-                out.append((m.start(), m.start() + len(word), "name", known[word]))
-    out.sort(key=lambda x: (KINDS.index(x[2]), x[0]))
-    kept: list[tuple[int, int, str, str]] = []
-    for x in out:
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+        got["iban"] = [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if sum(map(str.isdigit, m[0])) >= 10]
+    got["name"] = [(start, start + len(word), "name", canonical) for start, word, canonical in names(text)]
+    kept: list[Found] = []
+    for kind in KINDS:
+        if got[kind]:
+            kept = merged(kept, got[kind])
+    return kept
 
 
 TITLE_WORDS = {t for t in TITLES if t[0].isupper()}
@@ -158,27 +236,34 @@ class Stream:
 
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
-    """Canonical form of the surrogate: same kind, same length where the format asks for it."""
+    """Canonical form of the surrogate: same kind, same length where the format asks for it, longer after many attempts."""
     s = Stream(key, kind, canonical, attempt)
+    more = attempt // 4
     if kind == "email":
         local, _, domain = canonical.partition("@")
         name, dot, top = domain.rpartition(".")
         swap = lambda t: "".join(str(s.below(10)) if c.isdigit() else chr(97 + s.below(26)) if c.isalpha() else c for c in t)
-        return f"{swap(local)}@{swap(name)}{dot}{top}"
-    if kind == "ip":
+        return f"{swap(local + 'x' * more)}@{swap(name)}{dot}{top}"
+    if kind == "ip" and attempt < 64:
         least = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
-        return ".".join(str(least[len(o)][0] + s.below(least[len(o)][1] - least[len(o)][0] + 1)) for o in canonical.split("."))
+        bounds = [least[len(o)] if not more else (1, 254) for o in canonical.split(".")]
+        return ".".join(str(lo + s.below(hi - lo + 1)) for lo, hi in bounds)
+    if kind in ("ip", "ipv6"):  # groups of zeros stay, others keep their length
+        groups = IPv6Address(canonical).exploded.split(":") if kind == "ipv6" else ["ffff"] * 8
+        size = lambda g: 4 if more else len(g.lstrip("0"))
+        new = ["%x" % (16 ** (size(g) - 1) + s.below(15 * 16 ** (size(g) - 1))) if size(g) else "0" for g in groups]
+        return IPv6Address(":".join(new)).compressed
     if kind == "name":
         part, gender, word = canonical.split("|")
         syllables, endings = SYLLABLES[script(word)]
-        n = 2 + (len(word) > 6) + attempt // 4  # longer where many are taken
-        return f"{part}|{gender}|" + "".join(syllables[s.below(len(syllables))] for _ in range(n)) + (endings[gender][s.below(5)] if part == "given" else endings["n"][s.below(5)])
+        n = (len(word) - 1 if script(word) == "Han" else 2 + (len(word) > 6)) + more  # longer where many are taken
+        return "".join(syllables[s.below(len(syllables))] for _ in range(n)) + endings[gender if part == "given" else "n"][s.below(5)]
     if kind == "iban":
-        body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in canonical[4:])
+        body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in canonical[4:] + "0" * more)
         check = 98 - int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97
         return f"{canonical[:2]}{check:02d}{body}"
-    digits = [str(s.below(10)) for _ in canonical]
-    keep = 1 if kind == "card" else 1 if kind == "phone" else 0
+    digits = [str(s.below(10)) for _ in canonical + "0" * more]
+    keep = 1 if kind in ("card", "phone") else 0
     digits[:keep] = canonical[:keep]
     if kind == "card" and luhn(canonical):
         digits[-1] = next(d for d in "0123456789" if luhn("".join(digits[:-1]) + d))
@@ -188,14 +273,17 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
 def written(mention: str, kind: str, new: str) -> str:
     """The surrogate in the format of the mention."""
     if kind == "name":
-        word = new.split("|")[2]
-        return word.upper() if mention.isupper() and len(mention) > 1 else word[:1].upper() + word[1:]
+        return new.upper() if mention.isupper() and len(mention) > 1 else new[:1].upper() + new[1:]
     if kind == "ip":
         return new
+    if kind == "ipv6":
+        long = len(mention) == 39
+        text = IPv6Address(new).exploded if long else new
+        return text.upper() if any(c.isupper() for c in mention) else text
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new)) if len(mention) == len(new) else new
     left = iter(new)
-    return "".join(next(left, "") if c.isalnum() else c for c in mention)
+    return "".join(next(left, "") if c.isalnum() else c for c in mention) + "".join(left)
 
 
 def entities(rows: DataFrame, with_key: bool = False) -> DataFrame:
@@ -221,25 +309,21 @@ def drawn(table: DataFrame, key: bytes) -> DataFrame:
     return table.select("kind", "canonical", "attempt").mapInArrow(run, "kind string, canonical string, attempt int, surrogate string")
 
 
-def again(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
+def again(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose first surrogate collides; attempt makes it distinct."""
-    given = materialize(drawn(found.withColumn("attempt", F.lit(0)), key))
-    settled = given
-    moved = None
-    for _ in range(rounds):
-        best = settled.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("best"), F.count("*").alias("n")).where("n > 1")
-        real = found.select("kind", F.col("canonical").alias("surrogate"))
-        shared = settled.join(best, ["kind", "surrogate"]).where(F.struct("attempt", "canonical") != F.col("best")).select("kind", "canonical", "attempt", "surrogate")
-        taken = settled.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canonical", "attempt", "surrogate")
+    settled = materialize(drawn(found.withColumn("attempt", F.lit(0)), key))
+    real = materialize(found.select(F.substring_index("canonical", "|", -1).alias("surrogate")).distinct())
+    order = F.struct("attempt", "kind", "canonical")
+    while True:
+        best = settled.groupBy("surrogate").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+        shared = settled.join(best, "surrogate").where(order != F.col("best")).select("kind", "canonical", "attempt")
+        taken = settled.join(real, "surrogate", "left_semi").select("kind", "canonical", "attempt")
         lost = materialize(shared.unionByName(taken).distinct())
         if lost.isEmpty():
-            break
+            return settled.where("attempt > 0").select("kind", "canonical", "attempt")
         redrawn = drawn(lost.withColumn("attempt", F.col("attempt") + 1), key)
-        settled = materialize(settled.join(lost.select("kind", "canonical"), ["kind", "canonical"], "left_anti").select("kind", "canonical", "attempt", "surrogate").unionByName(redrawn))
-        moved = settled
-    else:
-        raise RuntimeError("surrogates are still not distinct; a kind has fewer values than entities")
-    return (moved if moved is not None else settled).where("attempt > 0").select("kind", "canonical", "attempt")
+        before, settled = settled, materialize(settled.join(lost.select("kind", "canonical"), ["kind", "canonical"], "left_anti").select("kind", "canonical", "attempt", "surrogate").unionByName(redrawn))
+        discard(before, lost)
 
 
 def attempts_beyond_first(texts: DataFrame, key: bytes, broadcast_rows: int) -> tuple[dict, DataFrame | None]:
@@ -268,11 +352,13 @@ def rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None, l
 def rewritten(docs: DataFrame, key: bytes, text_col: str, broadcast_rows: int, places: bool) -> DataFrame:
     """`docs` with its texts replaced; with n_entities and entities behind its columns if `places`."""
     table, own = attempts_beyond_first(docs.select(F.col(text_col).alias("text")), key, broadcast_rows)
+    # Names that no column of `docs` has, in any case.
+    long = "_" * max(map(len, docs.columns))
     if own is None:
-        rows = docs.withColumn("_moved", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
+        rows = docs.withColumn(long + "moved", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
     else:
-        own = own.withColumnsRenamed({"key": "_key", "moved": "_moved"})
-        rows = docs.join(own, F.xxhash64(text_col) == F.col("_key"), "left").drop("_key")
+        own = own.withColumnsRenamed({"key": long + "key", "moved": long + "moved"})
+        rows = docs.join(own, F.xxhash64(docs[text_col]) == own[long + "key"], "left").drop(long + "key")
     shared = docs.sparkSession.sparkContext.broadcast(table)
     column = docs.columns.index(text_col)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
