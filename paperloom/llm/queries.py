@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, decontam, jaccard, langid, mixing, pii, quality, secrets, substring, warc
 from paperloom.llm.common import read_table
+from paperloom.llm.oracles import ORACLE  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Of the example queries; a user passes their own.
@@ -70,4 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard_join,
     "op10_token_counts": token_counts,
 }
-ORACLE: dict[str, str] = {}

@@ -216,6 +216,9 @@ def test_mentions_of_a_person_agree():
     assert re.fullmatch(r"Mr (\w+) and Mr \1's dog", new)
     alex = names("Dr Alex Jones spoke. Mrs Alex Jones left.")
     assert alex[:2] == [("Alex", "given|f|alex"), ("Jones", "family|n|jones")] == alex[2:]
+    assert {c for w, c in names("Ms Jean Dupont met Jean Dupont") if w == "Jean"} == {"given|f|jean"}
+    assert {c for w, c in names("Dr Alex Lee and Mr Alex Lee") if w == "Alex"} == {"given|m|alex"}
+    assert [w for w, _ in names("My name is Rahul Sharma. Sharma left; 姓名：王小明。王小明和李华先生")] == ["Rahul", "Sharma", "Sharma", "王", "小明", "王", "小明", "李", "华"]
 
 
 def test_dates_and_years_are_no_phone_numbers():
@@ -225,6 +228,64 @@ def test_dates_and_years_are_no_phone_numbers():
     assert [x[2] for x in pii.find("2012 10 12 34")] == ["phone"] == [x[2] for x in pii.find("2012-10-12-34")]
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_surrogates_against_planted_entities(spark, limit):
+    """Every mention of an entity reads the same, of different ones never, none is left, and what is around stays as it was."""
+    rng = random.Random(12)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    people = [("Mr", "John", "m"), ("Frau", "Petra", "f"), ("г-н", "Сергей", "m"), ("господин", "Михаил", "m"), ("Dr", "Ελένη", "f")]
+    families = [word("abdeklmnorst", 5).capitalize() for _ in range(40)] + [word("абвдеклмн", 6).capitalize() for _ in range(20)] + [word("αβγδεκλμν", 6).capitalize() for _ in range(20)]
+    plain = [f"{word('abcdefgh', 2)}@{word('abcd', 1)}.co" for _ in range(150)] + [f"{a}.{b}.{a}.{b}" for a in range(1, 9) for b in range(1, 9)]
+    plain += [f"555-{k:04d}-{rng.randrange(10000):04d}" for k in range(60)] + [f"2001:db8:{k:x}::{k + 1:x}" for k in range(20, 60)]
+    texts, want = [], []
+    for i in range(300):
+        parts, found = [], []
+        for _ in range(rng.randint(0, 6)):
+            parts.append(prose(rng, 3))
+            found.append(None)
+            if rng.random() < 0.5:
+                parts.append(rng.choice(plain))
+                found.append(parts[-1])
+            else:
+                title, given, _ = rng.choice(people)
+                family = rng.choice(families)
+                parts += [title, given, family, "then", family]
+                found += [None, given, family, None, family]
+        texts.append(" ".join(parts))
+        want.append([(p, f) for p, f in zip(parts, found)])
+    new = by_id(pii.anonymize(frame(spark, texts).withColumn("_moved", F.lit(1)).withColumn("_key", F.lit(2)), b"k", broadcast_rows=limit), "text")
+    seen, reals = {}, {f for parts in want for _, f in parts if f}
+    for i, parts in enumerate(want):
+        words, k = new[i][0].split(), 0
+        for text, entity in parts:
+            n = len(text.split())
+            got, k = " ".join(words[k : k + n]), k + n
+            if entity is None:
+                assert got == text
+            else:
+                assert seen.setdefault(entity, got) == got
+        assert k == len(words)
+    assert len(set(seen.values())) == len(seen) and not {x.lower() for x in seen.values()} & {x.lower() for x in reals}
+    for entity, got in seen.items():
+        assert pii.script(got) == pii.script(entity) and (entity[0].isdigit() == got[0].isdigit() or ":" in entity)
+    in_place = pii.anonymize_in_place(frame(spark, texts).withColumn("_moved", F.lit(1)).withColumn("_key", F.lit(2)), b"k", broadcast_rows=limit)
+    assert in_place.columns[-2:] == ["_moved", "_key"] and by_id(in_place, "text", "_moved", "_key") == {i: (t, 1, 2) for i, (t,) in new.items()}
+
+
+def test_surrogates_when_a_kind_is_full(spark):
+    """All 676 addresses of a form: no other of that form is free, so surrogates get longer."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = [f"{a}@{b}.co" for a in letters for b in letters]
+    got = pii.anonymize(frame(spark, [" ".join(found)]), b"k").first().entities
+    new = [e.surrogate for e in got]
+    assert len(set(new)) == len(found) and not set(new) & set(found) and all(x.endswith(".co") for x in new)
+
+
+def test_surrogates_in_long_texts_take_linear_time():
+    text = " ".join(f"user{k}@mail{k}.example.org, 10.{k % 200}.7.{k % 250}, Mr Paul Lee{'abcdefghij'[k % 10]};" for k in range(20_000))
+    assert len(pii.find(text)) == 80_000
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_surrogates_stay_distinct(spark, limit):
     found = [f"{a}.{b}.{c}.{d}" for a in range(1, 9) for b in range(1, 9) for c in range(1, 9) for d in (1, 2)]  # a sixth of all of their kind
@@ -409,13 +470,60 @@ def linked(texts, n=3, num=90):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_rows": 6, "levels": 1}])
+@pytest.mark.parametrize("options", [{}, {"task_rows": 6, "levels": 1}])
 def test_jaccard(spark, corpus, options):
     texts = [*corpus, "one", "ONE", corpus[20]]
     df = frame(spark, texts).withColumn("component_id", F.lit("clash"))
     assert by_id(jaccard.link(df, **options), "n_shingles", "component_id") == linked(texts)
 
 
+def brute(sets, num):
+    """Least row that each row is connected with."""
+    up = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(a & b)
+                if 100 * both >= num * (len(a) + len(b) - both):
+                    up[i] = up[j] = min(up[i], up[j])
+    return up
+
+
+@pytest.mark.parametrize("num", [60, 80, 90])
+def test_regions_are_cut_by_pivots(num):
+    """Chains, stars and strangers: Voronoi cells find what brute force finds, in many cells."""
+    rng = random.Random(num)
+    cuts = cells = 0
+    for trial in range(25):
+        sets = []
+        for _ in range(rng.randint(1, 5)):
+            hub = {rng.getrandbits(62) for _ in range(rng.randint(5, 60))}
+            for _ in range(rng.randint(1, 9)):
+                x = set(hub)
+                for _ in range(rng.randint(0, 1 + len(hub) * (100 - num) // 130)):
+                    x.discard(next(iter(x)))
+                    x.add(rng.getrandbits(62))
+                sets.append(x)
+                hub = x if rng.random() < 0.4 else hub
+        members = [np.array(sorted(x), np.uint64) for x in sets]
+        region = jaccard.Region(list(range(len(sets))), members, np.ones(len(sets), bool), num)
+        cuts, cells = cuts + region.n_cuts, cells + region.n_cells
+        assert [region.forest.root(i) for i in range(len(sets))] == brute(sets, num), trial
+    assert cuts > 25 and cells > 50
+
+
+def test_tables_are_cut_by_pivots(spark):
+    """On the table as it is, regions of three nodes and more are cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = jaccard.materialize(jaccard.sets(docs, 3, 90, "doc_id", "text"))
+    nodes = jaccard.materialize(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("node")))
+    regions = collections.defaultdict(list)
+    for r in jaccard.regions_of(docs, rows, nodes, 3, "doc_id", "text").collect():
+        regions[r.region].append((r.node, np.frombuffer(r["items"], np.uint64)))
+    joined = [jaccard.Region([n for n, _ in rows], [x for _, x in rows], np.ones(len(rows), bool), 90) for rows in regions.values()]
+    assert sum(r.n_cuts for r in joined) >= sum(len(rows) > 2 for rows in regions.values()) > 0
+
+
 def test_jaccard_cases(spark, corpus):
     df = frame(spark, corpus)
     kept = {r.doc_id for r in jaccard.keep_one(df).collect()}
