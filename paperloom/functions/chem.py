@@ -12,8 +12,13 @@ CANONICAL = {
     "ml": "mL", "ul": "µL", "ug": "µg", "umol": "µmol", "um": "µM", "g": "g", "mg": "mg", "kg": "kg", "l": "L", "mol": "mol", "mmol": "mmol", "nmol": "nmol",
     "m": "M", "mm": "mM", "n": "N", "wt%": "wt%", "vol%": "vol%", "mol%": "mol%", "%": "%", "eq": "eq", "equiv": "equiv", "v/v": "v/v", "w/w": "w/w", "w/v": "w/v",
 }
-QUANTITY = r"(?i)^(\d+\.?\d*(?:e[+-]?\d+)?)\s*(g|mg|kg|ug|µg|ml|l|ul|µl|mol|mmol|umol|µmol|nmol|m|mm|um|µm|n|wt%|vol%|mol%|%|eq|equiv|v/v|w/w|w/v)$"
+UNITS = (*CANONICAL, "µl", "µg", "µmol", "µm")
+_UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
+#: A plain number with its unit, and any number apart from its unit.
+QUANTITY = rf"(?iu)^(\d+\.?\d*(?:e[+-]?\d+)?)\s*({_UNIT})$"
+SPACED = rf"(?iu)^([+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)\s+({_UNIT})$"
 MEASURE = r"(\d+(?:\.\d+)?)\s*(g|mg|kg|mL|L|ml|l|mmol|mol|M|mM|wt%|vol%|%)"
+#: Units of amounts of substance, techniques and atmospheres in order, names of atmospheres, and prices of a token, in and out.
 MOLAR = ("mol", "mmol", "umol", "µmol", "nmol")
 TECHNIQUES = ("reflux", "hydrothermal", "stirring", "sonication", "calcination", "drying")
 ATMOSPHERES = ("nitrogen", "argon", "vacuum")
@@ -31,10 +36,11 @@ def unit(u: Column) -> Column:
 
 
 def quantity(text: Column) -> Column:
-    """struct<value, unit> of a text such as 2.195 g; null if it is none."""
+    """struct<value, unit> of a text such as 2.195 g or, with a space, -5 g; null if it is none."""
     t = F.trim(text)
-    value = number(t, QUANTITY)
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit(F.regexp_extract(t, QUANTITY, 2)).alias("unit")))
+    part = lambda k: F.coalesce(*[F.nullif(F.regexp_extract(t, p, k), F.lit("")) for p in (QUANTITY, SPACED)])
+    value = part(1).try_cast("double")
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit(part(2)).alias("unit")))
 
 
 def atmosphere_name(a: Column) -> Column:

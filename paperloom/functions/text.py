@@ -18,7 +18,7 @@ VERBS = "dissolved stirred heated refluxed filtered washed dried calcined synthe
 NOUNS = "solution mixture precipitate suspension catalyst solvent reactant precursor nanoparticle synthesis reaction compound electrode electrolyte polymer reagent".split()
 OFF_DOMAIN = "neutrino muon boson quark telescope luminosity galaxy algorithm neural dataset pixel spacecraft orbital astronomical".split()
 DOMAINS = {
-    "chemistry": [*UNITS, *VERBS, *NOUNS],
+    "chemistry": list(dict.fromkeys([*UNITS, *VERBS, *NOUNS])),
     "physics": "quantum particle boson neutrino muon relativity momentum".split(),
     "biology": "cell protein gene dna rna enzyme bacteria organism".split(),
     "cs": "algorithm neural dataset model classifier pixel embedding".split(),
@@ -80,6 +80,11 @@ def density(text: Column, vocabulary: Sequence[str] = CHEMISTRY_WORDS) -> Column
     return F.when(F.size(all_words) > 0, F.least((patterns * 0.3 + listed * 0.5) / F.size(all_words) * 100, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
+def vocabulary_union(*lexicons: Sequence[str]) -> list[str]:
+    """All words of the lexicons, each once, in order."""
+    return list(dict.fromkeys(w for lexicon in lexicons for w in lexicon))
+
+
 def experimental(text: Column, signals: Sequence[str] = EXPERIMENTAL) -> Column:
     low = F.lower(text)
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s.lower())) for s in signals])
@@ -129,5 +134,6 @@ def token_estimate(given: Column, made: Column) -> Column:
 
 
 def file_name(name: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), r"\s+", "_"), r"_+", "_")
-    return F.substring(out, 1, 100)
+    """A name without marks that file systems or links give a meaning, 100 characters at most."""
+    out = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*.()\[\]]+', "_"), r"(?U)\s+", "_")
+    return F.substring(F.regexp_replace(F.regexp_replace(out, r"_+", "_"), r"^_|_$", ""), 1, 100)

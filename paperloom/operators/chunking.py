@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -47,10 +48,11 @@ SUBSECTION = r"^\d+\.\d+\.?\s+[A-Z]|^\*{2}\d+\.\d+\.?\s+"
 HEADER = rf"^#{{1,3}}\s+\w|^\d+\.\s+[A-Z]|{SUBSECTION}"
 
 
-def experimental_sections(docs: DataFrame, id_col: str, text_col: str, min_words: int = 50, openings: list[str] = OPENING) -> DataFrame:
+def experimental_sections(docs: DataFrame, id_col: str, text_col: str, min_words: int = 50, openings: list[str] = OPENING, max_sections: int = 10) -> DataFrame:
     """(id, section, name, text): from an opening heading to a sub-section, or to any header more than three lines on.
 
-    A heading only opens a section outside of one, so lines are taken in order in a task.
+    A heading only opens a section outside of one, so lines are taken in order in a task. A
+    document gives its first `max_sections` sections, of these the ones with enough words.
     """
     opening, sub, header = [re.compile(p) for p in openings], re.compile(SUBSECTION), re.compile(HEADER)
 
@@ -70,7 +72,7 @@ def experimental_sections(docs: DataFrame, id_col: str, text_col: str, min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, n, t) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, (n, t) in enumerate(sections(text or "")) if len(t.split()) >= min_words]
+            rows = [(i, k, n, t) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, (n, t) in enumerate(islice(sections(text or ""), max_sections)) if len(t.split()) >= min_words]
             cols = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=[id_col, "section", "name", "text"])
 

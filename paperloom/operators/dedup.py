@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import normalize_title
+from paperloom.session import scratch_path
 
+#: Letters whose counts are compared before titles are.
+COUNTED = "etaoinshrdlucmfwypvbgkqjxz "
 FIELDS = ("title", "doi", "source_db", "citation_count", "year", "abstract")
 
 
@@ -78,7 +81,9 @@ def title_pairs(titles: DataFrame, least: float = 88.0) -> DataFrame:
 
     Equal titles meet by equality. Others share one of their rarest bigrams: a pair above
     the bound shares at least (l1 - 1) - 2 del - ins bigrams, so it shares one of the
-    l - 1 - that + 1 rarest of either; and their lengths differ by a bounded factor.
+    l - 1 - that + 1 rarest of either; and their lengths differ by a bounded factor. Each
+    insertion or deletion changes one letter's count, so counts that differ by more in all
+    than the bound allows end a pair before its titles are compared.
     """
     share = least / 100
     groups = titles.where("t <> ''").groupBy("t").agg(F.min("ord").alias("ord"))
@@ -93,8 +98,11 @@ def title_pairs(titles: DataFrame, least: float = 88.0) -> DataFrame:
     one, two = prefix.alias("one"), prefix.alias("two")
     near = F.col("two.n") <= F.col("one.n") * (2 - share) / share
     pairs = one.join(two, (F.col("one.g") == F.col("two.g")) & (F.col("one.n") <= F.col("two.n")) & near & (F.col("one.ord") != F.col("two.ord"))).select(F.least("one.ord", "two.ord").alias("a"), F.greatest("one.ord", "two.ord").alias("b")).distinct()
-    text = groups.select("ord", "t")
-    full = pairs.join(text.withColumnsRenamed({"ord": "a", "t": "ta"}), "a").join(text.withColumnsRenamed({"ord": "b", "t": "tb"}), "b").select("a", "b", "ta", "tb")
+    counts = F.array(*[n - F.length(F.replace("t", F.lit(ch), F.lit(""))) for ch in COUNTED])
+    text = groups.select("ord", "t", n.alias("n"), counts.alias("cs"))
+    side = lambda k: text.select(*[F.col(c).alias(k if c == "ord" else k + c) for c in text.columns])
+    differ = F.aggregate(F.zip_with("acs", "bcs", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    full = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= (1 - share) * (F.col("an") + F.col("bn")) + 1e-6).select("a", "b", F.col("at").alias("ta"), F.col("bt").alias("tb"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,13 +113,10 @@ def title_pairs(titles: DataFrame, least: float = 88.0) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable lineage cut in the folder that the session names; one of our own only where it names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
-    return df.checkpoint()
+    """A lineage cut that outlives executors: a table in the shared folder, read back."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fuzzy_leaders(papers: DataFrame, least: float = 88.0) -> DataFrame:

@@ -83,17 +83,47 @@ def chemical_nodes(entities: DataFrame) -> DataFrame:
     return out.select("node_id", "label", "role", lookup(COLOURS, F.col("role"), COLOURS["UNKNOWN"]).alias("color"), "reaction_count", F.least(F.lit(5) + 2 * F.col("reaction_count"), F.lit(50)).alias("size"))
 
 
-def solvents_for_products(entities: DataFrame) -> DataFrame:
-    """Of each product: its solvents with frequency, share in percent and first recipe. Two hops over role edges."""
-    edges = role_edges(entities)
-    made = edges.where("relationship_type = 'PRODUCES'").select(F.col("source").alias("rxn"), F.col("target").alias("product_id"))
-    used = edges.where("relationship_type = 'IS_SOLVENT_IN'").select(F.col("target").alias("rxn"), F.col("source").alias("solvent_id"), "recipe_id")
+def solvents_for_products(entities: DataFrame, examples: int = 3) -> DataFrame:
+    """Of each product: its solvents with frequency, share in percent and the first `examples` recipes.
+
+    Both hops over role edges stay inside a recipe, so products and solvents meet in its own arrays.
+    """
+    last = role_edges(entities).where(F.col("relationship_type").isin("PRODUCES", "IS_SOLVENT_IN"))
+    made = F.col("relationship_type") == "PRODUCES"
+    inside = last.groupBy("recipe_id").agg(F.collect_list(F.when(made, F.col("target"))).alias("products"), F.collect_list(F.when(~made, F.col("source"))).alias("solvents"))
+    met = inside.select("recipe_id", F.explode("products").alias("product_id"), "solvents").select("recipe_id", "product_id", F.explode("solvents").alias("solvent_id"))
+    first = met.withColumn("k", F.row_number().over(Window.partitionBy("product_id", "solvent_id").orderBy("recipe_id"))).where(F.col("k") <= examples)
+    first = first.groupBy("product_id", "solvent_id").agg(F.array_sort(F.collect_list("recipe_id")).alias("example_recipe_ids"))
+    out = met.groupBy("product_id", "solvent_id").agg(F.count("*").alias("frequency")).join(first, ["product_id", "solvent_id"])
     names = chemical_nodes(entities).select("node_id", "label")
-    out = made.join(used, "rxn").groupBy("product_id", "solvent_id").agg(F.count("*").alias("frequency"), F.min("recipe_id").alias("first_recipe_id"))
     share = 100.0 * F.col("frequency") / F.sum("frequency").over(Window.partitionBy("product_id"))
     out = out.withColumn("percentage", F.round(share, 1))
     out = out.join(names.withColumnsRenamed({"node_id": "solvent_id", "label": "solvent_name"}), "solvent_id").join(names.withColumnsRenamed({"node_id": "product_id", "label": "product_name"}), "product_id")
-    return out.select("product_name", "solvent_name", "frequency", "percentage", "first_recipe_id")
+    return out.select("product_name", "solvent_name", "frequency", "percentage", "example_recipe_ids")
+
+
+def listed(pairs: DataFrame, keys: list[str], width: int = 1000) -> DataFrame:
+    """Sorted, distinct recipe ids of each key in parts of at most `width` numbers: keys, part, recipe_ids.
+
+    A part holds the ids of one range, so parts in order are the sorted list, and no key's list is gathered whole.
+    """
+    part = F.floor(F.col("recipe_id") / width)
+    return pairs.groupBy(*keys, part.alias("part")).agg(F.array_sort(F.collect_set("recipe_id")).alias("recipe_ids"))
+
+
+def node_recipes(entities: DataFrame) -> DataFrame:
+    """node_id, part, recipe_ids of each chemical."""
+    return listed(entities.select(chemical_id(F.col("name")).alias("node_id"), "recipe_id"), ["node_id"])
+
+
+def edge_recipes(entities: DataFrame) -> DataFrame:
+    """source, target, part, recipe_ids of each co-occurrence edge."""
+    return listed(cooccurrence_pairs(entities).select("source", "target", "recipe_id"), ["source", "target"])
+
+
+def label_search(nodes: DataFrame, part: str) -> DataFrame:
+    """Nodes whose label holds `part`, in any case."""
+    return nodes.where(F.contains(F.lower("label"), F.lit(part.lower())))
 
 
 def recipes_for_chemical(recipes: DataFrame, entities: DataFrame, name: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import words
+
 
 def snapshot(runs: DataFrame) -> DataFrame:
     """One row, zeros for an empty table."""
@@ -80,9 +82,19 @@ def recipe_list(recipes: DataFrame, status: str | None = None, limit: int = 50,
 
 
 def recipe_summary(rows: DataFrame) -> DataFrame:
-    """Counts by role and product names of each recipe row (with its entities array)."""
-    of = lambda role: F.filter("entities", lambda e: e["role"] == role)
+    """The twelve facts of a recipe row that a list shows; rows have entities, conditions, warnings and n_corrections."""
+    products = F.transform(F.filter("entities", lambda e: e["role"] == "PRODUCT"), lambda e: e["name"])
     return rows.select(
-        "recipe_id", "validation_status", F.size("entities").alias("n_entities"), F.size(of("REACTANT")).alias("n_reactants"), F.size(of("SOLVENT")).alias("n_solvents"),
-        F.array_join(F.transform(of("PRODUCT"), lambda e: e["name"]), ",").alias("products"),
+        "recipe_id", "title", "validation_status", F.size("entities").alias("entity_count"), "correction_count", F.size("warnings").alias("warning_count"),
+        "conditions.temperature_celsius", "conditions.duration_hours", products.alias("product_names"), "latency_seconds", "cost_usd", F.date_format("extracted_at", "yyyy-MM-dd'T'HH:mm:ss").alias("extracted_at"),
     )
+
+
+def note_counts(notes: DataFrame) -> DataFrame:
+    """Notes and their words by type."""
+    return notes.groupBy("note_type").agg(F.count("*").alias("notes"), F.sum(F.size(words(F.col("content")))).cast("long").alias("words"))
+
+
+def cleaned_list(values: Column) -> Column:
+    """A list that is kept: trimmed, without blanks, each once."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))

@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import graph
 from paperloom.plans.registry import CO_EDGES, ENTITIES, NODES, RECIPES, ROLE_EDGES, having, query
 from paperloom.sources import surrogates as tables
 
+def said(column: str) -> Column:
+    """A list of numbers as text."""
+    return F.array_join(F.col(column).cast("array<string>"), ",")
+
+
 NAME = "blue bolt"
 ME = "chem::blue_bolt"
 
 
 @query(having(ENTITIES, ROLE_EDGES, NODES, select="""
-, used AS (SELECT p.target AS product_id, s.source AS solvent_id, count(*) AS frequency, min(s.recipe_id) AS first_recipe_id FROM redges p JOIN redges s ON p.source = s.target
+, used AS (SELECT p.target AS product_id, s.source AS solvent_id, count(*) AS frequency, array_to_string(list_slice(list(s.recipe_id ORDER BY s.recipe_id), 1, 3), ',') AS example_recipe_ids FROM redges p JOIN redges s ON p.source = s.target
   WHERE p.relationship_type = 'PRODUCES' AND s.relationship_type = 'IS_SOLVENT_IN' GROUP BY 1, 2)
-SELECT pn.label AS product_name, sn.label AS solvent_name, frequency, round(100.0::DOUBLE * frequency / sum(frequency) OVER (PARTITION BY product_id), 1) AS percentage, first_recipe_id
+SELECT pn.label AS product_name, sn.label AS solvent_name, frequency, round(100.0::DOUBLE * frequency / sum(frequency) OVER (PARTITION BY product_id), 1) AS percentage, example_recipe_ids
 FROM used JOIN nodes pn ON pn.node_id = product_id JOIN nodes sn ON sn.node_id = solvent_id"""))
 def solvents_for_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.solvents_for_products(tables.entities(spark, sf_dir))
+    return graph.solvents_for_products(tables.entities(spark, sf_dir)).withColumn("example_recipe_ids", said("example_recipe_ids"))
+
+
+@query(having(ENTITIES, select="""
+SELECT node_id, part, array_to_string(list(recipe_id ORDER BY recipe_id), ',') AS recipe_ids FROM (SELECT DISTINCT chem AS node_id, recipe_id // 1000 AS part, recipe_id FROM ents) GROUP BY 1, 2"""))
+def node_recipe_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_recipes(tables.entities(spark, sf_dir)).withColumn("recipe_ids", said("recipe_ids"))
+
+
+@query(having(ENTITIES, CO_EDGES, select="""
+SELECT source, target, recipe_id // 1000 AS part, array_to_string(list(recipe_id ORDER BY recipe_id), ',') AS recipe_ids FROM pairs GROUP BY 1, 2, 3"""))
+def edge_recipe_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edge_recipes(tables.entities(spark, sf_dir)).withColumn("recipe_ids", said("recipe_ids"))
+
+
+@query(having(ENTITIES, NODES, select="SELECT node_id, label FROM nodes WHERE contains(lower(label), 'bolt')"))
+def node_label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.label_search(graph.chemical_nodes(tables.entities(spark, sf_dir)), "Bolt").select("node_id", "label")
+
+
+@query("""SELECT o_orderkey AS recipe_id, CASE WHEN length(t) > 40 THEN substr(t, 1, 40) || '...' ELSE t END AS label
+FROM (SELECT o_orderkey, o_orderpriority || ' ' || repeat('x', o_orderkey % 50) AS t FROM orders)""")
+def paper_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of 8 to 60 characters."""
+    title = F.concat_ws(" ", "o_orderpriority", F.repeat(F.lit("x"), (F.col("o_orderkey") % 50).cast("int")))
+    return tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recipe_id"), graph.paper_label(title).alias("label"))
 
 
 @query(having(ENTITIES, RECIPES, select=f"SELECT recipe_id, validation_status FROM recipes WHERE recipe_id IN (SELECT recipe_id FROM ents WHERE chem = '{ME}')"))
@@ -105,9 +135,21 @@ def chemical_reverse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(having(ENTITIES, NODES, select="""
-SELECT node_id AS id, length(node_id) + length(label) AS size FROM nodes"""))
+SELECT node_id AS id, label, CASE role WHEN 'REACTANT' THEN '#4A90D9' WHEN 'SOLVENT' THEN '#7ED321' ELSE '#D0021B' END AS color, least(5 + 2 * reaction_count, 50) AS size FROM nodes"""))
 def graph_json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node rows of the graph's JSON shape; the JSON is checked by what can be read back from it."""
+    """Node rows of the graph's JSON shape, read back from it."""
     rows = tables.entities(spark, sf_dir)
     out = graph.graph_json(graph.chemical_nodes(rows), graph.all_edges(rows)).where("kind = 'node'")
-    return out.select("id", (F.length(F.get_json_object("json", "$.id")) + F.length(F.get_json_object("json", "$.label"))).cast("long").alias("size"))
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    return out.select(field("id").alias("id"), field("label").alias("label"), field("color").alias("color"), field("size").cast("long").alias("size"))
+
+
+@query(having(ENTITIES, ROLE_EDGES, CO_EDGES, select="""
+SELECT source, target, relationship_type AS label, CASE WHEN writes = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS width FROM redges
+UNION ALL SELECT source, target, 'CO_OCCURS_WITH', width FROM cedges"""))
+def graph_json_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge rows of the graph's JSON shape, read back from it."""
+    rows = tables.entities(spark, sf_dir)
+    out = graph.graph_json(graph.chemical_nodes(rows), graph.all_edges(rows)).where("kind = 'edge'")
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    return out.select(field("from").alias("source"), field("to").alias("target"), field("label").alias("label"), field("width").cast("double").alias("width"))

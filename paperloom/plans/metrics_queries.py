@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import metrics, validate
-from paperloom.plans.registry import ENTITIES, PAPERS, RECIPES, RUNS, having, query
+from paperloom.plans.registry import CONDITIONS, ENTITIES, PAPERS, RECIPES, RUNS, having, query
+from paperloom.plans.validate_queries import FOUND
 from paperloom.sources import events as log
 from paperloom.sources import notes as note_files
 from paperloom.sources import surrogates as tables
@@ -59,13 +58,16 @@ def recipe_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recipe_list(tables.recipes(spark, sf_dir), "CORRECTED", 50, "cost_usd", True).select("recipe_id", "validation_status", "cost_usd")
 
 
-@query(having(ENTITIES, RECIPES, select="""
-SELECT r.recipe_id, validation_status, count(e.recipe_id) AS n_entities, count(*) FILTER (role = 'REACTANT') AS n_reactants, count(*) FILTER (role = 'SOLVENT') AS n_solvents,
-  coalesce(string_agg(name, ',' ORDER BY pos) FILTER (role = 'PRODUCT'), '') AS products FROM recipes r LEFT JOIN ents e USING (recipe_id) GROUP BY 1, 2"""))
+@query(having(ENTITIES, RECIPES, CONDITIONS, FOUND, RUNS, select="""
+SELECT r.recipe_id, r.title, r.validation_status, coalesce(e.n, 0) AS entity_count, n.correction_count, s.n_warning AS warning_count, c.temperature_celsius, c.duration_hours,
+  coalesce(e.products, '') AS product_names, round(n.latency_seconds, 6) AS latency_seconds, r.cost_usd, strftime(r.extracted_at, '%Y-%m-%dT%H:%M:%S') AS extracted_at
+FROM recipes r JOIN runs n USING (recipe_id) JOIN summed s USING (recipe_id) LEFT JOIN conds c USING (recipe_id)
+LEFT JOIN (SELECT recipe_id, count(*) AS n, string_agg(name, ',' ORDER BY pos) FILTER (role = 'PRODUCT') AS products FROM ents GROUP BY 1) e USING (recipe_id)"""))
 def recipe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = tables.runs(spark, sf_dir).select("recipe_id", "correction_count", F.round("latency_seconds", 6).alias("latency_seconds"))
     rows = validate.assemble(tables.recipes(spark, sf_dir), tables.entities(spark, sf_dir), tables.conditions(spark, sf_dir))
-    out = metrics.recipe_summary(rows)
-    return out.select("recipe_id", "validation_status", *[F.col(c).cast("long").alias(c) for c in ("n_entities", "n_reactants", "n_solvents")], "products")
+    out = metrics.recipe_summary(validate.summary(validate.with_findings(rows)).join(run, "recipe_id"))
+    return out.withColumns({"product_names": F.array_join("product_names", ",")} | {c: F.col(c).cast("long") for c in ("entity_count", "correction_count", "warning_count")})
 
 
 @query(having(RECIPES, select="SELECT recipe_id, title FROM recipes WHERE contains(lower(title), 'urgent') AND validation_status = 'PASSED'"))
@@ -127,24 +129,6 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.window("ts", "1 hour"), "stage").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "stage", "n")
 
 
-@query()
-def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job fold as a stream over the events file, state kept per job; its last rows per job. Same as job_status_fold."""
-    from paperloom.streaming.jobs import progress
-
-    whole = spark.read.parquet(f"{sf_dir}/events.parquet")
-    # The file is one of many in its folder, so the stream is told its name.
-    stream = spark.readStream.schema(whole.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stage = F.when(F.col("event_type") == "purchase", "stored").when(F.col("event_type") == "signup", "complete").otherwise(F.col("event_type"))
-    rows = stream.select(F.col("user_id").alias("job_id"), "ts", "event_id", stage.alias("stage"))
-    name = f"job_progress_{uuid4().hex}"
-    run = progress(rows).writeStream.outputMode("update").format("memory").queryName(name).trigger(once=True).start()
-    run.awaitTermination()
-    latest = F.struct("last_ts", F.col("chunks_done") + F.col("errors"))
-    done = spark.table(name).groupBy("job_id").agg(F.max_by(F.struct("chunks_done", "errors", "status", "last_ts"), latest).alias("s"))
-    return done.select("job_id", "s.*")
-
-
 @query(having(ENTITIES, RECIPES, select="""
 SELECT 'recipe' AS note_type, 'rxn_' || r.recipe_id || '.md' AS file_name, count(e.recipe_id) AS n_rows FROM recipes r LEFT JOIN ents e USING (recipe_id) GROUP BY r.recipe_id"""))
 def note_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,13 +137,15 @@ def note_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return note_files.recipe_notes(rows).select("note_type", "file_name", F.regexp_count("content", F.lit(r"(?m)^\| \[\[")).cast("long").alias("n_rows"))
 
 
-@query(having(ENTITIES, RECIPES, select="""
-SELECT CAST(r.recipe_id AS VARCHAR) AS recipe_id, validation_status, count(e.recipe_id) AS n_entities, coalesce(string_agg(role, ',' ORDER BY pos), '') AS roles FROM recipes r LEFT JOIN ents e USING (recipe_id) GROUP BY r.recipe_id, validation_status"""))
+@query(having(ENTITIES, RECIPES, CONDITIONS, select="""
+SELECT CAST(r.recipe_id AS VARCHAR) AS recipe_id, validation_status, count(e.recipe_id) AS n_entities, coalesce(string_agg(name || ':' || role, ',' ORDER BY pos), '') AS entities,
+  temperature_celsius, duration_hours FROM recipes r LEFT JOIN ents e USING (recipe_id) LEFT JOIN conds c USING (recipe_id) GROUP BY r.recipe_id, validation_status, temperature_celsius, duration_hours"""))
 def note_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes are written as text and parsed back."""
     rows = validate.assemble(tables.recipes(spark, sf_dir), tables.entities(spark, sf_dir), tables.conditions(spark, sf_dir))
     back = note_files.parsed_notes(note_files.recipe_notes(rows))
-    return back.select("recipe_id", "validation_status", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["role"]), ",").alias("roles"))
+    entities = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["name"], e["role"])), ",")
+    return back.select("recipe_id", "validation_status", F.size("entities").cast("long").alias("n_entities"), entities.alias("entities"), "temperature_celsius", "duration_hours")
 
 
 @query(having(PAPERS, select="""

@@ -62,7 +62,7 @@ runs AS (
     o_orderdate AS extracted_at, o_orderpriority AS error, correction_count, total_tokens, latency_seconds FROM orders JOIN byrun ON o_orderkey = l_orderkey)"""
 PAPERS = """
 papers AS (
-  SELECT doc_id AS ord, substr(string_split(text, chr(10))[1], 1, 200) AS title, CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS doi, CAST(n_chars AS INTEGER) AS citation_count,
+  SELECT doc_id AS ord, string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS doi, CAST(n_chars AS INTEGER) AS citation_count,
     CAST(doc_id % 30 + 1995 AS INTEGER) AS year, source AS source_db, text AS abstract, doc_id % 2 = 0 AS open_access, doc_id % 5 = 0 AS has_experimental_section FROM documents)"""
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}
+
 
 def build(app: str = "paperloom", **conf: str) -> SparkSession:
     """UTC, adaptive execution; everything else is the cluster's or the caller's."""
@@ -11,3 +16,19 @@ def build(app: str = "paperloom", **conf: str) -> SparkSession:
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; one of our own only where it is unset and Spark runs on one machine."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or _own.get(sc.applicationId)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+    return named.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/paperloom-{kind}-{uuid.uuid4().hex}"

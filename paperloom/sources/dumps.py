@@ -30,10 +30,17 @@ def shaped(rows: DataFrame, source: str) -> DataFrame:
     return rows.select(*columns).where(F.coalesce("title", F.lit("")) != "")
 
 
-def xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """One row `x` per element of the tag; files are read whole, elements are cut out by pattern."""
+def elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """One row `x` per element of the tag, and whether it is well formed; files are read whole, elements are cut out by pattern."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}\b.*?</{tag}>"), F.lit(0))).alias("x"))
+    rows = files.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}\b.*?</{tag}>"), F.lit(0))).alias("x"))
+    read = F.from_xml("x", "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return rows.select("x", read["_corrupt_record"].isNull().alias("good"))
+
+
+def xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """The well-formed elements; what isn't becomes null before anything looks into it."""
+    return elements(spark, path, tag).select(F.when(F.col("good"), F.col("x")).alias("x")).where("x is not null")
 
 
 def pubmed(spark: SparkSession, path: str) -> DataFrame:
@@ -69,17 +76,22 @@ def arxiv(spark: SparkSession, path: str) -> DataFrame:
 
 
 OPENALEX = (
-    "results array<struct<id:string,title:string,display_name:string,doi:string,publication_year:int,cited_by_count:int,open_access:struct<is_oa:boolean,oa_url:string>,"
+    "_corrupt_record string, results array<struct<id:string,title:string,display_name:string,doi:string,publication_year:int,cited_by_count:int,open_access:struct<is_oa:boolean,oa_url:string>,"
     "authorships:array<struct<author:struct<display_name:string>>>,abstract_inverted_index:map<string,array<int>>>>"
 )
 SCHOLAR = (
-    "data array<struct<paperId:string,title:string,abstract:string,url:string,year:int,citationCount:int,isOpenAccess:boolean,openAccessPdf:struct<url:string>,"
+    "_corrupt_record string, data array<struct<paperId:string,title:string,abstract:string,url:string,year:int,citationCount:int,isOpenAccess:boolean,openAccessPdf:struct<url:string>,"
     "externalIds:struct<DOI:string,ArXiv:string,PubMed:string>,authors:array<struct<name:string>>>>"
 )
 
 
-def openalex(spark: SparkSession, path: str) -> DataFrame:
-    w = spark.read.schema(OPENALEX).json(path, multiLine=True).select(F.explode("results").alias("w")).select("w.*")
+def responses(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Responses of a JSON service, one a file or one a line; a broken one stays as its text in _corrupt_record."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
+
+
+def openalex(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    w = responses(spark, path, OPENALEX, lines).select(F.explode("results").alias("w")).select("w.*")
     rows = w.select(
         F.coalesce(F.nullif("title", F.lit("")), "display_name").alias("title"), "doi", F.col("id").alias("openalex_id"), F.col("publication_year").alias("year"),
         F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda n: F.coalesce(n, F.lit("")) != "").alias("authors"), F.nullif(abstract_from_index(F.col("abstract_inverted_index")), F.lit("")).alias("abstract"),
@@ -88,8 +100,8 @@ def openalex(spark: SparkSession, path: str) -> DataFrame:
     return shaped(rows.withColumn("has_experimental_section", experimental(F.coalesce("abstract", F.lit("")))), "openalex")
 
 
-def semantic_scholar(spark: SparkSession, path: str) -> DataFrame:
-    p = spark.read.schema(SCHOLAR).json(path, multiLine=True).select(F.explode("data").alias("p")).select("p.*")
+def semantic_scholar(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    p = responses(spark, path, SCHOLAR, lines).select(F.explode("data").alias("p")).select("p.*")
     page = F.coalesce("openAccessPdf.url", "url", F.concat(F.lit("https://www.semanticscholar.org/paper/"), "paperId"))
     rows = p.select(
         "title", F.nullif(F.lower("externalIds.DOI"), F.lit("")).alias("doi"), F.col("externalIds.ArXiv").alias("arxiv_id"), F.col("externalIds.PubMed").alias("pubmed_id"), F.col("paperId").alias("semantic_scholar_id"),
@@ -102,14 +114,28 @@ def semantic_scholar(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"pubmed": pubmed, "arxiv": arxiv, "openalex": openalex, "semantic_scholar": semantic_scholar}
 
 
-def collect_sources(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
-    """All papers in source order with `source_ord`, and the error of each source that can't be read; it gives no rows."""
+def broken(spark: SparkSession, name: str, path: str, lines: bool = False) -> DataFrame:
+    """source_db and broken_n: records or responses of a source that can't be read."""
+    if name in ("pubmed", "arxiv"):
+        bad = elements(spark, path, "PubmedArticle" if name == "pubmed" else "entry").where("not good")
+    else:
+        schema, data = (OPENALEX, "results") if name == "openalex" else (SCHOLAR, "data")
+        bad = responses(spark, path, schema, lines).where(F.col("_corrupt_record").isNotNull() & F.col(data).isNull())
+    return bad.agg(F.count("*").alias("broken_n")).select(F.lit(name).alias("source_db"), "broken_n")
+
+
+def collect_sources(spark: SparkSession, paths: dict[str, str], lines: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """All papers in source order with `source_ord`, and the error of each source that isn't there; it gives no rows.
+
+    Broken records of a source give no rows either; broken() counts them.
+    """
     out, errors = None, {}
     for k, name in enumerate(SOURCES):
         if name not in paths:
             continue
         try:
-            rows = READERS[name](spark, paths[name]).withColumn("source_ord", F.lit(k)).withColumn("doi", normalize_doi(F.col("doi")))
+            more = {"lines": lines} if name in ("openalex", "semantic_scholar") else {}
+            rows = READERS[name](spark, paths[name], **more).withColumn("source_ord", F.lit(k)).withColumn("doi", normalize_doi(F.col("doi")))
         except Exception as exc:  # a missing dump: others go on
             errors[name] = str(exc).split("\n")[0][:300]
             continue

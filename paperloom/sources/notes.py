@@ -51,7 +51,10 @@ def reverse_links(entities: DataFrame) -> DataFrame:
 
 
 def paper_notes(papers: DataFrame) -> DataFrame:
-    content = F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.concat(F.lit("DOI: "), F.coalesce("doi", F.lit("unknown"))), F.concat(F.lit("Source: "), "source_db"))
+    """A note per paper; what isn't known says so."""
+    said = lambda label, c: F.concat(F.lit(f"**{label}:** "), F.coalesce(c.cast("string"), F.lit("unknown")))
+    url = link(F.col("open_access_url")) if "open_access_url" in papers.columns else link(F.lit(None).cast("string"))
+    content = F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.lit(""), said("DOI", F.col("doi")), said("Year", F.col("year")), said("Source DB", F.col("source_db")), F.concat(F.lit("**URL:** "), url))
     return papers.select(F.lit("paper").alias("note_type"), F.concat(file_name(F.substring("title", 1, 60)), F.lit(".md")).alias("file_name"), content.alias("content"))
 
 

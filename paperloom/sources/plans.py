@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,14 @@ from pyspark.sql import functions as F
 STOPWORDS = "synthesis of how to make prepare synthesize show me find routes for".split()
 
 
-def search_plans(questions: DataFrame, sources: DataFrame, id_col: str, text_col: str, own: DataFrame | None = None) -> DataFrame:
+def search_plans(questions: DataFrame, sources: Sequence[str], id_col: str, text_col: str, own: DataFrame | None = None) -> DataFrame:
     """(id, source, target, query): stopwords removed; sources without a query of their own get one made from the target.
 
-    `sources` (one column, source) is the registry, a few rows; it is exploded as a list, so nothing is joined.
+    `sources` is the registry: the names of all readers there are. It is exploded as a list, so nothing is joined.
     """
-    names = [r.source for r in sources.select("source").distinct().orderBy("source").limit(1000).collect()]
     tokens = F.array_remove(F.split(F.lower(F.trim(text_col)), r"\s+"), "")
     target = F.array_join(F.filter(tokens, lambda t: ~t.isin(*STOPWORDS)), " ")
-    plans = questions.select(F.col(id_col), F.coalesce(F.nullif(target, F.lit("")), F.trim(text_col)).alias("target"), F.explode(F.array(*map(F.lit, names))).alias("source"))
+    plans = questions.select(F.col(id_col), F.coalesce(F.nullif(target, F.lit("")), F.trim(text_col)).alias("target"), F.explode(F.array(*map(F.lit, sorted(set(sources))))).alias("source"))
     made = F.concat("target", F.lit(" synthesis experimental methods"))
     if own is None:
         return plans.select(id_col, "source", "target", made.alias("query"))

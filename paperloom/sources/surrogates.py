@@ -43,7 +43,7 @@ def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
-        F.col("doc_id").alias("ord"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 200).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.md5("text")).alias("doi"),
+        F.col("doc_id").alias("ord"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.md5("text")).alias("doi"),
         F.col("n_chars").cast("int").alias("citation_count"), (F.col("doc_id") % 30 + 1995).cast("int").alias("year"), F.col("source").alias("source_db"), F.col("text").alias("abstract"),
         (F.col("doc_id") % 2 == 0).alias("open_access"), (F.col("doc_id") % 5 == 0).alias("has_experimental_section"),
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paperloom.functions.text import gate
 from paperloom.operators.extract import extracted
@@ -65,17 +66,40 @@ def once(recipes: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def upsert_sink(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the table at `path`_<batch> holds the latest row of each key so far; a repeated batch changes nothing."""
-    from paperloom.operators.metrics import upsert_latest
+    """For foreachBatch: each batch writes its latest row of each key to a folder of its own, so a repeated batch changes nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}_{epoch - 1}") if epoch else batch.limit(0)
-        upsert_latest(old, batch, key, order).write.mode("overwrite").parquet(f"{path}_{epoch}")
+        latest_rows(batch, key, order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 
 
+def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key that is greatest in `order`."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def upserted(spark: SparkSession, path: str, schema: StructType, key: str, order: str) -> DataFrame:
+    """What upsert_sink() has written so far: the latest row of each key over all batches."""
+    kept = spark.read.schema(StructType([*schema, StructField("epoch", LongType())])).parquet(path)
+    return latest_rows(kept, key, order).drop("epoch")
+
+
+def run_once(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], folder: str, one_batch: bool = False) -> None:
+    """All that is there now goes through the stream in batches; offsets and state lie in the shared folder.
+
+    Streams with timeouts by the clock ask for batches without end, so theirs is one batch.
+    """
+    how = {"once": True} if one_batch else {"availableNow": True}
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(**how).foreachBatch(sink).start()
+    run.awaitTermination()
+
+
+def batches_to(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows of each batch in a folder of its own; a repeated batch replaces itself."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
 def timed_out(attempts: DataFrame, limit_seconds: float) -> DataFrame:
     """Adds `outcome`: a chunk beyond its time budget counts as failed, others go on."""
     return attempts.withColumn("outcome", F.when(F.col("latency_seconds") > limit_seconds, "chunk_timeout").otherwise("ok"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import chem, model_json, text, urls
-from paperloom.operators import dedup, extract, graph, metrics, validate
+from paperloom.operators import chunking, dedup, extract, graph, metrics, validate
 from paperloom.sources import dumps, events, notes, pages
 
 ZNO = (
@@ -20,7 +20,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("said, value, unit", [("2.195 g", 2.195, "g"), ("1.2e-3 mol", 0.0012, "mol"), ("50 ML", 50.0, "mL"), ("3 mm", 3.0, "mM"), ("65°C", None, None), ("garbage", None, None)])
+@pytest.mark.parametrize("said, value, unit", [("2.195 g", 2.195, "g"), ("1.2e-3 mol", 0.0012, "mol"), ("50 ML", 50.0, "mL"), ("3 mm", 3.0, "mM"), ("65°C", None, None), ("garbage", None, None), ("-5 g", -5.0, "g"), (".5 g", 0.5, "g"), ("+5 MG", 5.0, "mg"), ("-5g", None, None), ("-5 bananas", None, None)])
 def test_quantity(spark, said, value, unit):
     got = one(spark, chem.quantity(F.col("t")), t=said)
     assert (got and (got.value, got.unit)) == (value and (value, unit))
@@ -73,8 +73,9 @@ def test_attempts(spark):
 @pytest.mark.parametrize(
     "raw, names",
     [
-        ('```json\n{"entities": [{"name": "ZnO", "role": "product"}]}\n```', ["ZnO"]), ('Here: [{"name": "A1", "role": "solvent"}] done', ["A1"]), ('{"chemicals": [{"name": "B", "role": "reactant", "quantity": "2 g"},]}', ["B"]),
-        ("{'entities': [{name: 'C', 'role': 'x', 'quantity': None}", ["C"]), ('{"name": "D", "role": "product"}', ["D"]), ('{"entities": [{"name": "unknown", "role": "x"}]}', None), ("garbage", None),
+        ('```json\n{"entities": [{"name": "ZnO", "role": "PRODUCT"}]}\n```', ["ZnO"]), ('Here: [{"name": "A1", "role": "SOLVENT"}] done', ["A1"]), ('{"chemicals": [{"name": "B", "role": "REACTANT", "quantity": "2 g"},]}', ["B"]),
+        ("{'entities': [{name: 'C', 'role': 'CATALYST', 'quantity': None}", ["C"]), ('{"name": "D", "role": "PRODUCT"}', ["D"]), ('{"entities": [{"name": "unknown", "role": "SOLVENT"}]}', None), ("garbage", None), ('{"entities": [{"name": "E", "role": "solvent"}]}', None),
+        ('{"entities": [{"name": "F", "role": "x"}, {"name": "G", "role": "SOLVENT", "quantity": 2.84}]}', ["G"]), ('{"note": "[x]"} and [{"name": "H", "role": "SOLVENT"}]', None),
     ],
 )
 def test_model_json(spark, raw, names):
@@ -83,6 +84,34 @@ def test_model_json(spark, raw, names):
     assert ([e.name for e in rows[0].entities] if rows else None) == names and failed.count() == (names is None)
 
 
+def test_ladder_goes_on_until_entities_are_good():
+    raw = 'draft {"entities": "none"} final'
+    assert model_json.ladder(raw)[1] == 2 and model_json.ladder(raw, model_json.all_good) == (None, 0)
+    found, step = model_json.ladder('{"entities": [{"name": "Zn", "role": "REACTANT", "quantity": {"value": "2.50", "unit": " g "}, "moles": "10 mmol"}]}', model_json.all_good)
+    assert step == 1 and found[0]["quantity"] == {"value": 2.5, "unit": "g"} and found[0]["moles"] == {"value": 10.0, "unit": "mmol"}
+    assert model_json.coerced({"a": ["1", "2.5", "x", {"b": "3e2"}]}) == {"a": [1, 2.5, "x", {"b": 300.0}]}
+    assert model_json.tolerant("{'a': 'it\\'s \"x\"', b: [1, 2,], \"c\": None, d: {e: True") == {"a": 'it\'s "x"', "b": [1, 2], "c": None, "d": {"e": True}}
+    for bad in ("{a 1}", "{'a': 'open", "[1 2]", "{} more", "plain"):
+        with pytest.raises(ValueError):
+            model_json.tolerant(bad)
+    assert model_json.payload("x `[1]` y") == "[1]" and model_json.payload('say {"a": "}"} {') == '{"a": "}"}'
+
+
+def test_file_names_of_formulas(spark):
+    assert one(spark, text.file_name(F.col("t")), t="[Zn(OAc)2]·2H2O: a/b?.x ") == "Zn_OAc_2_·2H2O_a_b_x"
+    assert len(one(spark, text.file_name(F.col("t")), t="y" * 300)) == 100
+
+
+def test_sections_of_handmade_documents(spark):
+    body = "\n".join(f"line {k} " + "word " * 6 for k in range(9))
+    doc = f"Intro\n# Experimental Section\n{body}\n2.1 Synthesis of ZnO\n{body}\n# Results\nshort"
+    rows = chunking.experimental_sections(spark.createDataFrame([(1, doc), (2, None), (3, "no heading")], "doc_id long, text string"), "doc_id", "text").collect()
+    assert [(r.doc_id, r.section, r.name) for r in rows] == [(1, 0, "Experimental Section"), (1, 1, "2.1 Synthesis of ZnO")] and "Results" not in rows[1].text
+    many = "\n".join(f"# Experimental\n" + ("word " * 60 if k in (3, 11) else "few") + "\n1.1 Other" for k in range(13))
+    rows = chunking.experimental_sections(spark.createDataFrame([(1, many)], "doc_id long, text string"), "doc_id", "text").collect()
+    assert [r.section for r in rows] == [3]  # the first ten count, of these the long one
+
+
 def test_papers(spark, tmp_path):
     (tmp_path / "p.xml").write_text("<S><PubmedArticle><PMID>7</PMID><ArticleTitle>Zn <i>O</i> x</ArticleTitle><Abstract><AbstractText>One part</AbstractText><AbstractText>was heated.</AbstractText></Abstract><Author><LastName>Doe</LastName><ForeName>Ann</ForeName></Author><PubDate><Year>2020</Year></PubDate><ArticleId IdType='doi'>10.1/A</ArticleId><ArticleId IdType='pmc'>PMC1</ArticleId></PubmedArticle><PubmedArticle><ArticleTitle></ArticleTitle></PubmedArticle></S>")
     (tmp_path / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2101.1v2</id><title>On\n  things</title><summary>Was stirred and refluxed.</summary><author><name>B C</name></author><published>2021-01-01</published><link title="doi" href="10.1/b"/></entry></feed>')
