@@ -121,26 +121,117 @@ def signatures(items: np.ndarray, shells: Shells) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def sets(docs: DataFrame, n: int, num: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set (its 128-bit digest, null if empty), keys (signatures; once a batch for equal sets)."""
+def planes(x: np.ndarray) -> bytes:
+    """Sorted whole numbers as the bytes of their differences, first bytes first, so that zeros are together."""
+    gaps = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def packed(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> tuple[int, int, bytes]:
+    """Sorted keys with the ids of their owners as one string; how many keys and ids it has."""
+    used, at = np.unique(owner, return_inverse=True)
+    named = np.sort(ids[used])
+    place = np.searchsorted(named, ids[used])[at]
+    data = planes(keys) + planes(named.view(np.uint64)) + place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(keys), len(named), pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(n: int, m: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(data, 12 * n + 8 * m, "zstd", asbytes=True)
+    place = np.frombuffer(raw[8 * (n + m) :], np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
+    return unplaned(raw[: 8 * n], n), unplaned(raw[8 * n : 8 * (n + m)], m).view(np.int64)[place]
+
+
+def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id, other id) of the owners of each key, once each; which rows hold a key's smallest id."""
+    order = np.lexsort((ids, keys))
+    first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    pairs = np.stack([ids[order[head]], ids[order]], 1)[~first]
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return np.unique(pairs, axis=0) if len(pairs) else pairs, order[first]
+
+
+FOUND = "id long, n_shingles long, set binary, bucket long, n_keys int, n_ids int, packed binary"
+CHUNK_CHARS, DOCS_PER_BUCKET = 8_000_000, 2000
+
+
+def sets(docs: DataFrame, n: int, num: int, id_col: str, text_col: str, n_buckets: int) -> DataFrame:
+    """Three kinds of rows. A document: id, n_shingles, set (its 128-bit digest, null if empty). Keys of a chunk of
+    documents for one bucket, packed: each key once, with its smallest owner in the chunk. Pairs (bucket null) of
+    documents of a chunk that share keys: the smallest owner and another one. Equal sets of a chunk have keys once.
+    """
     shells = Shells(num)
 
+    def found(ids: list, sizes: list, digests: list, keys: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
+        rows = [(i, k, d, None, None, None, None) for i, k, d in zip(ids, sizes, digests)]
+        if keys:
+            own = np.repeat(np.arange(len(owners)), [len(k) for k in keys])
+            names, all_keys = np.array(owners, np.int64), np.concatenate(keys)
+            pairs, heads = stars(all_keys, names[own])
+            if len(pairs):
+                rows.append((None, None, None, None, len(pairs), None, pa.compress(pairs.tobytes(), "zstd", asbytes=True)))
+            all_keys, own = all_keys[heads], own[heads]
+            to = (mixed(all_keys) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.lexsort((all_keys, to))
+            all_keys, own, to = all_keys[order], own[order], to[order]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if hi > lo:
+                    rows.append((None, None, None, int(to[lo]), *packed(all_keys[lo:hi], own[lo:hi], names)))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        for k in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000]), types)], names=[f.split()[0] for f in FOUND.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, seen, size = Hashes(), set(), 0
+        ids, sizes, digests, keys, owners = part = ([], [], [], [], [])
         for batch in batches:
-            seen: set[tuple] = set()
-            sizes, digests, keys = [], [], []
-            for text in batch.column(1):
-                items = shingle_set(text.as_py(), n, hashes)
+            for i, text in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                items = shingle_set(text, n, hashes)
                 digest = xxh3_128_digest(items.tobytes()) if len(items) else None
+                ids.append(i)
                 sizes.append(len(items))
                 digests.append(digest)
-                keys.append(signatures(items, shells).view(np.int64) if len(items) and digest not in seen else np.zeros(0, np.int64))
-                seen.add(digest)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "set", "keys"])
+                if digest is not None and i is not None and digest not in seen:
+                    seen.add(digest)
+                    keys.append(signatures(items, shells))
+                    owners.append(i)
+                size += len(text or "")
+                if size >= CHUNK_CHARS:
+                    yield from found(*part)
+                    seen, size = set(), 0
+                    for column in part:
+                        column.clear()
+        if ids:
+            yield from found(*part)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return text_batches(rows).mapInArrow(run, "id long, n_shingles long, set binary, keys array<long>")
+    return text_batches(rows).mapInArrow(run, FOUND)
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(a, b) of documents that share a key: the key's smallest owner, of a chunk or of all of them, and another one."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pairs = np.frombuffer(pa.decompress(data.as_py(), 16 * n, "zstd", asbytes=True), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def far(table: pa.Table) -> pa.Table:
+        got = [unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("n_keys", "n_ids", "packed")))]
+        pairs, _ = stars(np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got]))
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    inside = rows.where("packed is not null and bucket is null").select("n_keys", "packed").mapInArrow(near, "a long, b long")
+    across = rows.where("bucket is not null").select("bucket", "n_keys", "n_ids", "packed").groupBy("bucket").applyInArrow(far, "a long, b long")
+    return inside.unionByName(across).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -370,11 +461,13 @@ def region_links(regions: DataFrame, num: int, task_rows: int, levels: int) -> D
 
 def regions_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """region, node, items of the nodes that share a key with another one, directly or over others."""
-    known = rows.where("id is not null and set is not null")
-    named = known.select("id", "set", "keys").where(F.size("keys") > 0).join(nodes, "set").select("node", "keys")
-    meets = named.select("node", F.explode("keys").alias("key"))
-    first = meets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    met = meets.join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    met = materialize(meetings(rows))
+    # A set's keys may have come under several of its ids.
+    ids = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
+    names = rows.where("set is not null").select("id", "set").join(ids, "id", "left_semi").distinct().join(nodes, "set").select("id", "node")
+    names = materialize(names)
+    met = met.join(names.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
+    met = met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     regions = components(met).select("node", F.col("root").alias("region"))
     regions = materialize(regions)
     # The sets of nodes in regions are made anew from their texts, rather than kept for all documents.
@@ -394,11 +487,11 @@ def regions_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_co
 
 def link(docs: DataFrame, n: int = 3, num: int = 90, id_col: str = "doc_id", text_col: str = "text", task_rows: int = TASK_ROWS, levels: int = 3) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    rows = materialize(sets(docs, n, num, id_col, text_col))
+    rows = materialize(sets(docs, n, num, id_col, text_col, max(8, docs.count() // DOCS_PER_BUCKET)))
     known = rows.where("id is not null and set is not null")
     nodes = materialize(known.groupBy("set").agg(F.min("id").alias("node")))
     found = components(region_links(regions_of(docs, rows, nodes, n, id_col, text_col), num, task_rows, levels))
-    out = rows.join(nodes, "set", "left").join(found, "node", "left")
+    out = rows.where("packed is null").join(nodes, "set", "left").join(found, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
 
 

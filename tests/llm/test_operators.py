@@ -515,7 +515,7 @@ def test_regions_are_cut_by_pivots(num):
 def test_tables_are_cut_by_pivots(spark):
     """On the table as it is, regions of three nodes and more are cut."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = jaccard.materialize(jaccard.sets(docs, 3, 90, "doc_id", "text"))
+    rows = jaccard.materialize(jaccard.sets(docs, 3, 90, "doc_id", "text", 8))
     nodes = jaccard.materialize(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("node")))
     regions = collections.defaultdict(list)
     for r in jaccard.regions_of(docs, rows, nodes, 3, "doc_id", "text").collect():
