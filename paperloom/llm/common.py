@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom import session
+
 _written: list[str] = []
-_local: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset and Spark runs on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-    return named.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, kind: str = "table") -> str:
     """A new path in the shared folder, which purge() will delete."""
-    path = f"{shared_dir(spark)}/paperloom-{kind}-{uuid.uuid4().hex}"
+    path = session.scratch_path(spark, kind)
     _written.append(path)
     return path
 
