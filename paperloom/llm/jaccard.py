@@ -6,10 +6,10 @@ eps = 1 - num/100 of a metric. Four steps, each exact:
 1. Equal sets become one node, named by its smallest id.
 2. Nodes without a partner leave. Seen from the empty set as pivot, a set's symmetric
    difference distance is its size, so linked sets lie in the same or neighbouring size
-   shells; sets near a shell's border are copied to the next one. In a shell, linked sets
-   differ in at most T elements. Shingles are dealt into T + 2 parts by hash, so linked sets
-   agree on at least two whole parts. A node that shares no part with another one has no
-   link. The others, with all that they share parts with, form regions; no link crosses them.
+   shells; sets near a shell's border are copied to the next one. In a shell, shingles are
+   dealt into parts by hash, more of them than linked sets have differences, so linked sets
+   agree on a whole part. A node that shares no part with another one has no link. The
+   others, with all that they share parts with, form regions; no link crosses them.
 3. In each region of more than two nodes, pivots (members with the smallest hashes) make
    Voronoi cells. A node is copied to every cell whose pivot is at most 2 eps further than its
    own; by the triangle inequality each linked pair meets in the cell of either one. One more
@@ -91,33 +91,51 @@ class Shells:
         # |A xor B| <= (|A| + |B|) (1 - j) / (1 + j) for similarity j
         self.most = [2 * h * (100 - num) // (100 + num) for h in self.hi]
 
-    def of(self, size: int) -> Iterator[tuple[int, int]]:
-        """(shell, parts) of a set: its own shell, and the next if a larger linked set can be there."""
+        # So many that a set in the shell has some 1.2 times as many non-empty parts as it can have differences.
+        self.parts = [2 + lo * 16 * (100 - num) // (10 * num) for lo in self.lo]
+
+    def of(self, size: int) -> Iterator[int]:
+        """Shells of a set: its own, and the next if a larger linked set can be there; none where only equal sets are linked."""
         k = int(np.searchsorted(self.lo, size, side="right")) - 1
         for s in (k, k + 1):
-            if s == k or size * 100 // self.num >= self.lo[s]:
-                if self.most[s]:
-                    yield s, self.most[s] + 2
+            if (s == k or size * 100 // self.num >= self.lo[s]) and self.most[s]:
+                yield s
+
+
+ROUNDS = 6
 
 
 def signatures(items: np.ndarray, shells: Shells) -> np.ndarray:
-    """Keys of a set: one per shell and part that isn't empty; of empty parts, one per pair of them.
+    """Keys of a set, one per shell and part that isn't empty.
 
-    Linked sets agree on two parts at least: on one that isn't empty, or on two that are.
+    A set of s elements differs from a linked one in at most d = s (100 - num) / num. Of its
+    parts that aren't empty all but d are equal in both, so if there are more than d, the two
+    share a key. Sets with fewer deal their elements again by another hash; if both are such
+    sets, they meet there. Sets that have too few in all rounds take T + 2 parts, T being the
+    most differences in the shell, and pairs of empty parts as keys too: they agree on two parts.
     """
     out = []
-    for shell, parts in shells.of(len(items)):
-        salt = np.uint64((shell + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
-        part = ((items >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    most = len(items) * (100 - shells.num) // shells.num
+
+    def deal(salt: int, parts: int) -> np.ndarray:
+        """Adds the keys of one deal, and gives the parts that aren't empty."""
+        part = ((mixed(items + np.uint64(salt)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         heads = np.flatnonzero(np.diff(part[order], prepend=-1))
         ids = part[order][heads].astype(np.uint64)
-        sums = np.add.reduceat(mixed(items[order] ^ salt), heads)
-        out.append(mixed(sums * BASE + ids + salt))
-        if len(heads) < parts - 1:
-            gone = np.setdiff1d(np.arange(parts, dtype=np.uint64), ids)
+        sums = np.add.reduceat(mixed(items[order] ^ np.uint64(salt)), heads)
+        out.append(mixed(sums * BASE + ids + np.uint64(salt)))
+        return ids
+
+    for shell in shells.of(len(items)):
+        for k in range(ROUNDS):
+            if len(deal(((shell * 8 + k) + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF, shells.parts[shell])) > most:
+                break
+        else:
+            salt, parts = ((shell * 8 + 7) + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF, shells.most[shell] + 2
+            gone = np.setdiff1d(np.arange(parts, dtype=np.uint64), deal(salt, parts))
             a, b = np.triu_indices(len(gone), 1)
-            out.append(mixed(mixed(gone[a] + salt) * SQUARE + gone[b]))
+            out.append(mixed(mixed(gone[a] + np.uint64(salt)) * SQUARE + gone[b]))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 

@@ -534,22 +534,27 @@ def test_jaccard_cases(spark, corpus):
     assert jaccard.link(df.limit(0)).count() == 0
 
 
-def test_shells_cover_all_links():
+@pytest.mark.parametrize("num", [60, 80, 90])
+def test_shells_cover_all_links(num):
     rng = random.Random(9)
-    shells = jaccard.Shells(90)
-    for _ in range(300):
-        n = rng.randint(9, 200)
+    shells, n_linked, n_met = jaccard.Shells(num), 0, 0
+    for _ in range(1500):
+        n = rng.choice([rng.randint(2, 12), rng.randint(9, 200)])
         a = {rng.getrandbits(64) for _ in range(n)}
         b = set(a)
-        for _ in range(rng.randint(0, max(1, n // 12))):
+        for _ in range(rng.randint(0, max(1, n * (100 - num) // 90))):
             if rng.random() < 0.5:
                 b.discard(next(iter(b)))
             else:
                 b.add(rng.getrandbits(64))
+        c = {rng.getrandbits(64) for _ in range(n)}
+        keys = [set(jaccard.signatures(np.array(sorted(x), np.uint64), shells).tolist()) if x else set() for x in (a, b, c)]
         both = len(a & b)
-        if a != b and 100 * both >= 90 * (len(a) + len(b) - both):
-            keys = [set(jaccard.signatures(np.array(sorted(x), np.uint64), shells).tolist()) for x in (a, b)]
+        if b and a != b and 100 * both >= num * (len(a) + len(b) - both):
+            n_linked += 1
             assert keys[0] & keys[1]
+        n_met += n > 20 and bool(keys[0] & keys[2])
+    assert n_linked > 200 and (num < 80 or n_met < 8)  # strangers hardly ever meet
 
 
 @pytest.mark.parametrize("num", [50, 60, 80])
