@@ -75,7 +75,9 @@ def fit(
     """Trigram counts by language over the bounded sample; only rows that aren't held out are read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    # Sent to all tasks, so that rows are thinned out before they are dealt by language.
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     # About half as many again by hash first, so that ranking never gathers a whole language.
     some = rows.select("id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.col("n")) < 1.5 * sample_per_lang)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
