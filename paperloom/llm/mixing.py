@@ -74,7 +74,7 @@ def permuted(rows: DataFrame, index: str, n: str, key: list[Column], out: str) -
     hash of one digit to the other, which is a bijection of a * b indices. Those that
     leave 0 to n-1 go on until they are back, which takes less than a steps.
     """
-    a, b, size = F.col("_a"), F.col("_b"), F.col(n)
+    a, b, size = F.col("_a"), F.col("_b"), F.greatest(F.col(n), F.lit(1))  # nothing is drawn from no blocks, but plans of it are made
 
     def turn(x: Column, y: Column, k: int) -> Column:
         """Digit x after round k, with a hash of y added."""
