@@ -377,9 +377,6 @@ class Region:
                 self.cut(rows[cell], own[cell] & (home[cell] == k))
 
 
-CELLS = "region long, cell long, node long, own boolean, items binary"
-
-
 def joined_cells(cells: DataFrame, num: int, n_tasks: int) -> DataFrame:
     """Links (a, b) that connect what is linked in each cell; small cells share tasks."""
 
@@ -403,7 +400,8 @@ def joined_cells(cells: DataFrame, num: int, n_tasks: int) -> DataFrame:
 def voronoi(cells: DataFrame, sizes: DataFrame, num: int, level: int, task_rows: int) -> DataFrame:
     """Cuts large cells (sizes: region, cell, m) by the pivots of their own rows with the smallest hashes.
 
-    Gives parent (the cell that was cut) and CELLS, and near: on the row at its home, the pivot that links it.
+    Gives region, parent (the cell that was cut), cell, node, own and near: on the row at its home, the
+    pivot that links it. The sets stay behind, as a cut that makes nothing smaller would copy them in vain.
     """
     order = Window.partitionBy("region", "cell").orderBy(F.xxhash64("node", F.lit(level)), "node")
     first = cells.where("own").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
@@ -425,11 +423,11 @@ def voronoi(cells: DataFrame, sizes: DataFrame, num: int, level: int, task_rows:
                 for k in np.flatnonzero(reach[i]).tolist():
                     at_home = k == home[i]
                     near = sites[k]["node"] if at_home and k < n and linked[i, k] else None
-                    out.append({"region": r["region"], "parent": r["cell"], "cell": r["cell"] * (PIVOTS + 2) + k + 1, "node": r["node"], "own": r["own"] and at_home, "items": r["items"], "near": near})
-        return pa.Table.from_pylist(out, schema=pa.schema([("region", pa.int64()), ("parent", pa.int64()), ("cell", pa.int64()), ("node", pa.int64()), ("own", pa.bool_()), ("items", pa.binary()), ("near", pa.int64())]))
+                    out.append({"region": r["region"], "parent": r["cell"], "cell": r["cell"] * (PIVOTS + 2) + k + 1, "node": r["node"], "own": r["own"] and at_home, "near": near})
+        return pa.Table.from_pylist(out, schema=pa.schema([("region", pa.int64()), ("parent", pa.int64()), ("cell", pa.int64()), ("node", pa.int64()), ("own", pa.bool_()), ("near", pa.int64())]))
 
     key = ("region", "cell", "part")
-    return rows.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(run, f"region long, parent long, {CELLS.removeprefix('region long, ')}, near long")
+    return rows.groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(run, "region long, parent long, cell long, node long, own boolean, near long")
 
 
 def block_pairs(cells: DataFrame, cut: DataFrame, half: int) -> DataFrame:
@@ -473,7 +471,8 @@ def region_links(regions: DataFrame, num: int, task_rows: int, levels: int) -> D
         if level == levels or now.top > 0.8 * total.top or now.rows > 4 * total.rows:
             join_all(materialize(block_pairs(rest, cut, task_rows // 2)))
             break
-        cells = cut.select("region", "cell", "node", "own", "items")
+        items = rest.select("region", F.col("cell").alias("parent"), "node", "items")
+        cells = materialize(cut.join(items, ["region", "parent", "node"]).select("region", "cell", "node", "own", "items"))
     return materialize(reduce(DataFrame.unionByName, found).distinct())
 
 
