@@ -48,8 +48,8 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 DICTIONARY = 300_000
 #: Largest cell that one task joins, most pivots of a larger one, and rows up to which a semi join may broadcast its ids.
 TASK_ROWS, PIVOTS, BROADCAST_ROWS = 2048, 64, 500_000
-#: Distance of the outside in eps: above 2, so that what a pivot links is in no reach of it.
-OUTSIDE = 3
+#: Distance of the outside in eps: above 2, so that a pivot is in no reach of it; little above, so that strangers (distance 1) are in no reach of a pivot.
+OUTSIDE = 2.25
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
