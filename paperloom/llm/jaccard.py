@@ -8,8 +8,10 @@ eps = 1 - num/100 of a metric. Four steps, each exact:
    difference distance is its size, so linked sets lie in the same or neighbouring size
    shells; sets near a shell's border are copied to the next one. In a shell, shingles are
    dealt into parts by hash, more of them than linked sets have differences, so linked sets
-   agree on a whole part. A node that shares no part with another one has no link. The
-   others, with all that they share parts with, form regions; no link crosses them.
+   agree on a whole part. Owners of a part meet pair by pair if they are few; pairs whose
+   parity bitmaps differ in more bits than linked sets have differences go. Owners of a part
+   that many share all meet its smallest owner. What is left in pairs, with all that it has
+   pairs with, forms regions; no link crosses them.
 3. In each region of more than two nodes, pivots (members with the smallest hashes) make
    Voronoi cells. A node is copied to every cell whose pivot is at most 2 eps further than its
    own; by the triangle inequality each linked pair meets in the cell of either one. One more
@@ -31,8 +33,8 @@ one node; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,9 +107,12 @@ class Shells:
 ROUNDS = 6
 
 
-def signatures(items: np.ndarray, shells: Shells) -> np.ndarray:
+def signatures(items: np.ndarray, shells: Shells, frequent: np.ndarray | None = None) -> np.ndarray:
     """Keys of a set, one per shell and part that isn't empty.
 
+    Shingles of `frequent` (sorted) are left out at first, so that strangers don't meet in a passage that very many
+    documents have: what two sets differ in gets no more by that.
+
     A set of s elements differs from a linked one in at most d = s (100 - num) / num. Of its
     parts that aren't empty all but d are equal in both, so if there are more than d, the two
     share a key. Sets with fewer deal their elements again by another hash; if both are such
@@ -116,9 +121,14 @@ def signatures(items: np.ndarray, shells: Shells) -> np.ndarray:
     """
     out = []
     most = len(items) * (100 - shells.num) // shells.num
+    rare = items
+    if frequent is not None and len(frequent):
+        rare = items[frequent[np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)] != items]
 
-    def deal(salt: int, parts: int) -> np.ndarray:
+    def deal(salt: int, parts: int, items: np.ndarray = items) -> np.ndarray:
         """Adds the keys of one deal, and gives the parts that aren't empty."""
+        if not len(items):
+            return items
         part = ((mixed(items + np.uint64(salt)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         heads = np.flatnonzero(np.diff(part[order], prepend=-1))
@@ -128,6 +138,8 @@ def signatures(items: np.ndarray, shells: Shells) -> np.ndarray:
         return ids
 
     for shell in shells.of(len(items)):
+        if len(deal((shell + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF, shells.parts[shell], rare)) > most:
+            continue
         for k in range(ROUNDS):
             if len(deal(((shell * 8 + k) + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF, shells.parts[shell])) > most:
                 break
@@ -139,6 +151,25 @@ def signatures(items: np.ndarray, shells: Shells) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+#: One in so many documents is surveyed; a shingle that so many of these have is frequent; most that are kept.
+SURVEYED, FREQUENT, MOST_FREQUENT = 16, 8, 200_000
+
+
+def frequent_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
+    """Sorted hashes of the shingles that most documents have. They steer which keys sets meet by, never what is linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), n, hashes).view(np.int64))], names=["h"])
+
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SURVEYED)) == 0)
+    counts = text_batches(some).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()
+    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
+
+
 def planes(x: np.ndarray) -> bytes:
     """Sorted whole numbers as the bytes of their differences, first bytes first, so that zeros are together."""
     gaps = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
@@ -164,50 +195,87 @@ def unpacked(n: int, m: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unplaned(raw[: 8 * n], n), unplaned(raw[8 * n : 8 * (n + m)], m).view(np.int64)[place]
 
 
-def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest id, other id) of the owners of each key, once each; which rows hold a key's smallest id."""
+#: Owners of a key up to which each two of them are a pair.
+PAIRED = 48
+
+
+def met_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, larger id) of owners of a key, once each: all pairs of up to PAIRED owners, in a second list all with the smallest of more."""
     order = np.lexsort((ids, keys))
-    first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    pairs = np.stack([ids[order[head]], ids[order]], 1)[~first]
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return np.unique(pairs, axis=0) if len(pairs) else pairs, order[first]
+    keys, ids = keys[order], ids[order]
+    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+    keys, ids = keys[fresh], ids[fresh]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    starts = np.flatnonzero(first)
+    count = np.diff(np.append(starts, len(keys)))
+    size, head = np.repeat(count, count), np.repeat(starts, count)
+    many = (size > PAIRED) & ~first
+    stars = np.stack([ids[head[many]], ids[many]], 1)
+    few = np.flatnonzero((size > 1) & (size <= PAIRED))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for step in range(1, PAIRED):
+        at = few[few + step < head[few] + size[few]]
+        if not len(at):
+            break
+        pairs.append(np.unique(np.stack([ids[at], ids[at + step]], 1), axis=0))
+    return np.unique(np.concatenate(pairs), axis=0), np.unique(stars, axis=0) if len(stars) else stars
+
+
+def parity_bits(items: np.ndarray) -> bytes:
+    """A bit for each place, of a power of two of at least 64 and the set's size: whether an odd number of hashes fall there.
+
+    Each difference of two sets turns one bit, so they have at least as many differences as bits that differ.
+    """
+    n = max(64, 1 << (len(items) - 1).bit_length())
+    odd = np.bincount((mixed(items) >> np.uint64(17)).astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, n: int) -> int:
+    """The bitmap of the same set with n places."""
+    x, m = int.from_bytes(bits, "little"), 8 * len(bits)
+    while m > n:
+        m //= 2
+        x = (x >> m) ^ (x & (1 << m) - 1)
+    return x
+
 
+def may_link(a: int, a_bits: bytes, b: int, b_bits: bytes, num: int) -> bool:
+    """Whether sets of these sizes and bitmaps can be linked; halves of the longer bitmap are laid on each other first."""
+    if 100 * min(a, b) < num * max(a, b):
+        return False
+    n = 8 * min(len(a_bits), len(b_bits))
+    return (folded(a_bits, n) ^ folded(b_bits, n)).bit_count() * (100 + num) <= (a + b) * (100 - num)
 
-FOUND = "id long, n_shingles long, set binary, bucket long, n_keys int, n_ids int, packed binary"
+
+FOUND = "id long, n_shingles long, set binary, bits binary, bucket long, n_keys int, n_ids int, packed binary"
 CHUNK_CHARS, DOCS_PER_BUCKET = 8_000_000, 2000
 
 
-def sets(docs: DataFrame, n: int, num: int, id_col: str, text_col: str, n_buckets: int) -> DataFrame:
-    """Three kinds of rows. A document: id, n_shingles, set (its 128-bit digest, null if empty). Keys of a chunk of
-    documents for one bucket, packed: each key once, with its smallest owner in the chunk. Pairs (bucket null) of
-    documents of a chunk that share keys: the smallest owner and another one. Equal sets of a chunk have keys once.
+def sets(docs: DataFrame, n: int, keys_of: Callable[[np.ndarray], np.ndarray], id_col: str, text_col: str, n_buckets: int) -> DataFrame:
+    """Two kinds of rows. A document: id, n_shingles, set (its 128-bit digest, null if empty) and bits. Keys of a chunk of
+    documents for one bucket with their owners, packed. Equal sets of a chunk have keys once, under their first id.
     """
-    shells = Shells(num)
 
-    def found(ids: list, sizes: list, digests: list, keys: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
-        rows = [(i, k, d, None, None, None, None) for i, k, d in zip(ids, sizes, digests)]
+    def found(ids: list, sizes: list, digests: list, bits: list, keys: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
+        rows = [(*x, None, None, None, None) for x in zip(ids, sizes, digests, bits)]
         if keys:
             own = np.repeat(np.arange(len(owners)), [len(k) for k in keys])
             names, all_keys = np.array(owners, np.int64), np.concatenate(keys)
-            pairs, heads = stars(all_keys, names[own])
-            if len(pairs):
-                rows.append((None, None, None, None, len(pairs), None, pa.compress(pairs.tobytes(), "zstd", asbytes=True)))
-            all_keys, own = all_keys[heads], own[heads]
             to = (mixed(all_keys) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((all_keys, to))
             all_keys, own, to = all_keys[order], own[order], to[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 if hi > lo:
-                    rows.append((None, None, None, int(to[lo]), *packed(all_keys[lo:hi], own[lo:hi], names)))
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    rows.append((None, None, None, None, int(to[lo]), *packed(all_keys[lo:hi], own[lo:hi], names)))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for k in range(0, len(rows), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000]), types)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, size = Hashes(), set(), 0
-        ids, sizes, digests, keys, owners = part = ([], [], [], [], [])
+        ids, sizes, digests, bits, keys, owners = part = ([], [], [], [], [], [])
         for batch in batches:
             for i, text in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1)):
                 text = text.as_py()
@@ -216,9 +284,10 @@ def sets(docs: DataFrame, n: int, num: int, id_col: str, text_col: str, n_bucket
                 ids.append(i)
                 sizes.append(len(items))
                 digests.append(digest)
+                bits.append(parity_bits(items) if len(items) else None)
                 if digest is not None and i is not None and digest not in seen:
                     seen.add(digest)
-                    keys.append(signatures(items, shells))
+                    keys.append(keys_of(items))
                     owners.append(i)
                 size += len(text or "")
                 if size >= CHUNK_CHARS:
@@ -234,22 +303,29 @@ def sets(docs: DataFrame, n: int, num: int, id_col: str, text_col: str, n_bucket
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(a, b) of documents that share a key: the key's smallest owner, of a chunk or of all of them, and another one."""
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                pairs = np.frombuffer(pa.decompress(data.as_py(), 16 * n, "zstd", asbytes=True), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    """(a, b, star) of documents that share a key; star tells that b stands for others, too, that have the key."""
 
     def far(table: pa.Table) -> pa.Table:
         got = [unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("n_keys", "n_ids", "packed")))]
-        pairs, _ = stars(np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got]))
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        pairs, stars = met_pairs(np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got]))
+        both = np.concatenate([pairs, stars])
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "star": pa.array(np.arange(len(both)) >= len(pairs))})
+
+    across = rows.where("bucket is not null").select("bucket", "n_keys", "n_ids", "packed").groupBy("bucket").applyInArrow(far, "a long, b long, star boolean")
+    return across.groupBy("a", "b").agg(F.max("star").alias("star"))
+
 
-    inside = rows.where("packed is not null and bucket is null").select("n_keys", "packed").mapInArrow(near, "a long, b long")
-    across = rows.where("bucket is not null").select("bucket", "n_keys", "n_ids", "packed").groupBy("bucket").applyInArrow(far, "a long, b long")
-    return inside.unionByName(across).distinct()
+def linkable(pairs: DataFrame, rows: DataFrame, num: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sizes and bitmaps let them be linked."""
+    of = lambda k: rows.where("set is not null").select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [may_link(*x, num) for x in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    met = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -476,17 +552,25 @@ def region_links(regions: DataFrame, num: int, task_rows: int, levels: int) -> D
     return materialize(reduce(DataFrame.unionByName, found).distinct())
 
 
-def regions_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """region, node, items of the nodes that share a key with another one, directly or over others."""
-    met = materialize(meetings(rows))
-    # A set's keys may have come under several of its ids.
-    ids = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
-    names = rows.where("set is not null").select("id", "set").join(ids, "id", "left_semi").distinct().join(nodes, "set").select("id", "node")
-    names = materialize(names)
-    met = met.join(names.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
-    met = met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    regions = components(met).select("node", F.col("root").alias("region"))
-    regions = materialize(regions)
+def named(met: DataFrame, rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """`met` with each column's ids replaced by their nodes; a set's keys may have come under several of its ids."""
+    ids = reduce(DataFrame.union, [met.select(F.col(c).alias("id")) for c in columns]).distinct()
+    names = materialize(rows.where("set is not null").select("id", "set").join(ids, "id", "left_semi").distinct().join(nodes, "set").select("id", "node"))
+    for c in columns:
+        met = met.join(names.select(F.col("id").alias(c), F.col("node").alias("_node")), c).drop(c).withColumnRenamed("_node", c)
+    return met
+
+
+def edges_of(rows: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
+    """(a, b) of nodes: pairs that can be linked, and owners of a key of many, each with the smallest of them."""
+    met = named(materialize(meetings(rows)), rows, nodes, "a", "b").where("a <> b")
+    met = materialize(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star")))
+    return linkable(met.where("not star"), rows, num).unionByName(met.where("star").select("a", "b"))
+
+
+def regions_of(docs: DataFrame, edges: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """region, node, items of the nodes joined by edges, directly or over others."""
+    regions = materialize(components(edges).select("node", F.col("root").alias("region")))
     # The sets of nodes in regions are made anew from their texts, rather than kept for all documents.
     wanted = regions.select(F.col("node").alias("id"))
     hint = F.broadcast if regions.count() <= BROADCAST_ROWS else lambda x: x
@@ -502,14 +586,23 @@ def regions_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_co
     return items.join(hint(regions), "node")
 
 
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(set, node): the smallest id of each set."""
+    return materialize(rows.where("id is not null and set is not null").groupBy("set").agg(F.min("id").alias("node")))
+
+
+def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """Per document of `rows`: id, n_shingles, component_id by the links (a, b) of nodes."""
+    out = rows.where("packed is null").join(nodes, "set", "left").join(components(links), "node", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
+
+
 def link(docs: DataFrame, n: int = 3, num: int = 90, id_col: str = "doc_id", text_col: str = "text", task_rows: int = TASK_ROWS, levels: int = 3) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    rows = materialize(sets(docs, n, num, id_col, text_col, max(8, docs.count() // DOCS_PER_BUCKET)))
-    known = rows.where("id is not null and set is not null")
-    nodes = materialize(known.groupBy("set").agg(F.min("id").alias("node")))
-    found = components(region_links(regions_of(docs, rows, nodes, n, id_col, text_col), num, task_rows, levels))
-    out = rows.where("packed is null").join(nodes, "set", "left").join(found, "node", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
+    keys_of = partial(signatures, shells=Shells(num), frequent=frequent_shingles(docs, n, text_col))
+    rows = materialize(sets(docs, n, keys_of, id_col, text_col, max(8, docs.count() // DOCS_PER_BUCKET)))
+    nodes = nodes_of(rows)
+    return labelled(rows, nodes, region_links(regions_of(docs, edges_of(rows, nodes, num), n, id_col, text_col), num, task_rows, levels), id_col)
 
 
 def keep_one(docs: DataFrame, n: int = 3, num: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and planted cases."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -515,10 +516,9 @@ def test_regions_are_cut_by_pivots(num):
 def test_tables_are_cut_by_pivots(spark):
     """On the table as it is, regions of three nodes and more are cut."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = jaccard.materialize(jaccard.sets(docs, 3, 90, "doc_id", "text", 8))
-    nodes = jaccard.materialize(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("node")))
+    rows = jaccard.materialize(jaccard.sets(docs, 3, functools.partial(jaccard.signatures, shells=jaccard.Shells(90)), "doc_id", "text", 8))
     regions = collections.defaultdict(list)
-    for r in jaccard.regions_of(docs, rows, nodes, 3, "doc_id", "text").collect():
+    for r in jaccard.regions_of(docs, jaccard.edges_of(rows, jaccard.nodes_of(rows), 90), 3, "doc_id", "text").collect():
         regions[r.region].append((r.node, np.frombuffer(r["items"], np.uint64)))
     joined = [jaccard.Region([n for n, _ in rows], [x for _, x in rows], np.ones(len(rows), bool), 90) for rows in regions.values()]
     assert sum(r.n_cuts for r in joined) >= sum(len(rows) > 2 for rows in regions.values()) > 0
