@@ -43,26 +43,29 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_remo
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
-JACCARD = rf"""
+def jaccard(n: int, num: int, more: str = "") -> str:
+    """Components of documents whose n-word shingles are alike by num hundredths."""
+    return rf"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
 ),
-{flat_windows(3)},
-shingles AS (SELECT DISTINCT doc_id, text FROM windows UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM docs WHERE len(words) IN (1, 2)),
+{flat_windows(n)},
+shingles AS (SELECT DISTINCT doc_id, text FROM windows UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM docs WHERE len(words) BETWEEN 1 AND {n - 1}),
 sets AS (SELECT d.doc_id, coalesce(s.items, []) AS items FROM docs d LEFT JOIN (SELECT doc_id, list(text ORDER BY text) AS items FROM shingles GROUP BY doc_id) s ON d.doc_id = s.doc_id),
 nodes AS (SELECT items, min(doc_id) AS node, len(items) AS n FROM sets WHERE len(items) > 0 GROUP BY items),
 held AS (SELECT node, n, unnest(items) AS item FROM nodes),
 pairs AS (
-  SELECT a.node AS a, b.node AS b FROM held a JOIN held b ON a.item = b.item AND a.node < b.node AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
-  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+  SELECT a.node AS a, b.node AS b FROM held a JOIN held b ON a.item = b.item AND a.node < b.node AND 100 * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {num} * (a.n + b.n - count(*))
 ),
 edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.root = e.a),
 roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
-SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id
+SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id{more}
 FROM sets s LEFT JOIN nodes n ON s.items = n.items LEFT JOIN roots r ON n.node = r.node
 """
 
+
 CHARS = r"""
   length(t0) - length(t1) AS letters, length(t1) - length(t2) AS digits, length(t2) - length(t3) AS spaces,
   length(t3) - length(t4) AS symbols, length(t4) - length(t5) AS marks, length(t5) AS others
@@ -159,10 +162,29 @@ SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHE
 FROM docs d LEFT JOIN named n ON d.doc_id = n.doc_id GROUP BY d.doc_id
 """
 
+NEGATIVES = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON len(a.x) = len(r.x) WHERE a.vec_id % 100 = 0 AND NOT (a.vec_id = r.vec_id AND a.label = r.label)
+),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op3_warc_chain": WARC,
     "op5_secret_links": SECRETS,
     "op6_window_dedup": WINDOWS,
     "op7_quality_divergence": QUALITY,
-    "op9_jaccard_join": JACCARD,
+    "op9_jaccard_join": jaccard(3, 90),
+    "op11_hard_negatives": NEGATIVES,
+    "op13_minhash_near": jaccard(5, 85, ", s.doc_id = coalesce(r.root, s.doc_id) AS kept"),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, decontam, jaccard, langid, mixing, pii, quality, secrets, substring, warc
+from paperloom.llm import bpe, decontam, jaccard, langid, minhash, mixing, negatives, pii, quality, secrets, substring, warc, whitening
 from paperloom.llm.common import read_table
 from paperloom.llm.oracles import ORACLE  # noqa: F401
 
@@ -59,6 +59,21 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(read_table(spark, sf_dir, "documents"), path(TOKENIZER))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii_surrogates,
     "op2_language_spans": language_spans,
@@ -70,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_blocks": mixing_blocks,
     "op9_jaccard_join": jaccard_join,
     "op10_token_counts": token_counts,
+    "op11_hard_negatives": hard_negatives,
+    "op12_embedding_whitening": embedding_whitening,
+    "op13_minhash_near": minhash_near,
 }
