@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import normalize_title
+from paperloom.operators import titles
 from paperloom.session import scratch_path
 
-#: Letters whose counts are compared before titles are.
-COUNTED = "etaoinshrdlucmfwypvbgkqjxz "
 FIELDS = ("title", "doi", "source_db", "citation_count", "year", "abstract")
 
 
@@ -53,65 +49,6 @@ def exact_dedup(papers: DataFrame) -> DataFrame:
     return merged(papers.where(F.col("doi").isNotNull()), "doi")
 
 
-def ratio(a: str, b: str, least: float) -> float:
-    """Indel similarity in per cent: 2 LCS / (len a + len b), 0 as soon as it is below `least` for sure.
-
-    The longest common subsequence is counted by bits of whole numbers, a character of b at a time.
-    """
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 100.0
-    if 200.0 * min(len(a), len(b)) / (len(a) + len(b)) < least:
-        return 0.0
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
-    for ch in b:
-        u = s & places.get(ch, 0)
-        s = (s + u) | (s - u)
-        s &= full
-    return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
-
-
-def title_pairs(titles: DataFrame, least: float = 88.0) -> DataFrame:
-    """(a, b, score), a before b, of normalised titles (ord, t) with a ratio of `least` or more.
-
-    Equal titles meet by equality. Others share one of their rarest bigrams: a pair above
-    the bound shares at least (l1 - 1) - 2 del - ins bigrams, so it shares one of the
-    l - 1 - that + 1 rarest of either; and their lengths differ by a bounded factor. Each
-    insertion or deletion changes one letter's count, so counts that differ by more in all
-    than the bound allows end a pair before its titles are compared.
-    """
-    share = least / 100
-    groups = titles.where("t <> ''").groupBy("t").agg(F.min("ord").alias("ord"))
-    n = F.length("t")
-    grams = groups.select("ord", "t", n.alias("n"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.col("t").substr(i, F.lit(2)))).alias("gs"))
-    rarity = grams.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    by_title = grams.select("ord", "n", F.size("gs").alias("m"), F.explode("gs").alias("g")).join(rarity, "g")
-    rank = Window.partitionBy("ord").orderBy("df", "g")
-    # Of a title of n characters at most (1 - share) n / share are inserted or deleted, each destroying two bigrams at most.
-    lost = F.ceil(2 * F.col("n") * (2 * (1 - share) / share)).cast("int")
-    prefix = by_title.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= F.least(F.col("m"), lost + 1)).select("ord", "n", "g")
-    one, two = prefix.alias("one"), prefix.alias("two")
-    near = F.col("two.n") <= F.col("one.n") * (2 - share) / share
-    pairs = one.join(two, (F.col("one.g") == F.col("two.g")) & (F.col("one.n") <= F.col("two.n")) & near & (F.col("one.ord") != F.col("two.ord"))).select(F.least("one.ord", "two.ord").alias("a"), F.greatest("one.ord", "two.ord").alias("b")).distinct()
-    counts = F.array(*[n - F.length(F.replace("t", F.lit(ch), F.lit(""))) for ch in COUNTED])
-    text = groups.select("ord", "t", n.alias("n"), counts.alias("cs"))
-    side = lambda k: text.select(*[F.col(c).alias(k if c == "ord" else k + c) for c in text.columns])
-    differ = F.aggregate(F.zip_with("acs", "bcs", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    full = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= (1 - share) * (F.col("an") + F.col("bn")) + 1e-6).select("a", "b", F.col("at").alias("ta"), F.col("bt").alias("tb"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [ratio(x, y, least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["a", "b", "score"]).filter(pa.array([g >= least for g in got], pa.bool_()))
-
-    return full.mapInArrow(score, "a long, b long, score double")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """A lineage cut that outlives executors: a table in the shared folder, read back."""
     path = scratch_path(df.sparkSession)
@@ -132,7 +69,7 @@ def fuzzy_leaders(papers: DataFrame, least: float = 88.0) -> DataFrame:
     first = rows.where("t <> ''").groupBy("t").agg(F.min(F.when(F.col("lead"), F.col("ord"))).alias("led"), F.min(F.when(~F.col("lead"), F.col("ord"))).alias("free"))
     # Each distinct title stands as its DOI group's first row and as its first free row.
     names = first.select(F.col("t"), F.least("led", "free").alias("rep"), "led", "free")
-    pairs = cut(title_pairs(rows.select("ord", "t"), least))
+    pairs = cut(titles.similar(rows.select("ord", "t"), least))
     named = names.select("rep", "led", "free")
     two_way = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = two_way.join(named.withColumnsRenamed({"rep": "a", "led": "_l", "free": "me"}), "a").join(named.withColumnsRenamed({"rep": "b"}), "b").select("me", "led", "free")

@@ -94,13 +94,21 @@ def collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four services as one table of papers, DOIs normalised; broken records are counted, the rest is read."""
     rows = parts(spark, sf_dir)
     paths = {"pubmed": dumped(PUBMED(), rows, "pubmed"), "arxiv": dumped(ARXIV(), rows, "arxiv"), "openalex": dumped(OPENALEX(), rows, "openalex"), "semantic_scholar": dumped(SCHOLAR(), rows, "scholar")}
-    papers, _ = dumps.collect_sources(spark, paths, lines=True)
-    bad = None
-    for name, path in paths.items():
-        one = dumps.broken(spark, name, path, lines=True)
-        bad = one if bad is None else bad.unionByName(one)
-    prefix = papers.groupBy("source_db").agg(F.max("source_ord").cast("long").alias("source_ord"), F.min(F.regexp_extract("doi", r"^10\.\d/", 0)).alias("doi_prefix"))
-    return dumps.source_stats(papers).join(prefix, "source_db").join(bad, "source_db")
+    landed = dumps.land(spark, paths, lines=True)
+    bad = spark.createDataFrame([(name, n) for name, (_, n) in landed.counts.items()], "source_db string, broken_n long")
+    prefix = landed.papers.groupBy("source_db").agg(F.max("source_ord").cast("long").alias("source_ord"), F.min(F.regexp_extract("doi", r"^10\.\d/", 0)).alias("doi_prefix"))
+    return dumps.source_stats(landed.papers).join(prefix, "source_db").join(bad, "source_db")
+
+
+@query("""SELECT 'pubmed' AS source_db, p_partkey AS k, 'record' AS kind FROM part WHERE p_partkey % 50 = 7 UNION ALL SELECT 'openalex', p_partkey, 'record' FROM part WHERE p_partkey % 50 = 7
+UNION ALL SELECT 'semantic_scholar', NULL, 'source' """)
+def source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for what can't be read: broken records with their text, and a source whose dump isn't there."""
+    rows = parts(spark, sf_dir)
+    paths = {"pubmed": dumped(PUBMED(), rows, "pubmed"), "arxiv": dumped(ARXIV(), rows, "arxiv"), "openalex": dumped(OPENALEX(), rows, "openalex"), "semantic_scholar": f"{sf_dir}/no such dump"}
+    faults = dumps.land(spark, paths, lines=True).faults
+    number = F.regexp_extract(F.coalesce("record", F.lit("")), r"10\.\d/[XYZ](\d+)", 1).try_cast("long")
+    return faults.select("source_db", number.alias("k"), F.when(F.col("record").isNull(), "source").otherwise("record").alias("kind"))
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS key, 'Synthesis of ' || p_name AS section, 11::BIGINT + 2 * len(string_split(p_name, ' ')) + len(string_split(p_type, ' ')) AS n_words FROM part

@@ -13,7 +13,7 @@ from paperloom.plans.registry import ORACLE, RUNS, having, query
 from paperloom.session import scratch_path
 from paperloom.sources import events as log
 from paperloom.sources import surrogates as tables
-from paperloom.streaming import jobs
+from paperloom.streaming import jobs, progress
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,62 @@ def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by(F.struct("chunks_done", "errors", "status", "last_ts"), order).alias("s")).select("job_id", "s.*")
 
 
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of runs, on a clock that runs 600 times as fast, so that gaps lie about the limits."""
+    rows = tables.table(spark, sf_dir, "events")
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000).cast("long")
+    status = F.element_at(F.array(F.lit("PASSED"), F.lit("CORRECTED"), F.lit("FAILED")), (F.col("event_id") % 3 + 1).cast("int"))
+    return rows.select(
+        F.col("user_id").cast("long").alias("job_id"), F.timestamp_millis(at).alias("ts"), F.col("event_id").cast("long").alias("event_id"), progress.stage_of(F.col("event_type")).alias("stage"),
+        (F.col("event_id") % 50).cast("long").alias("chunks_total"), status.alias("validation_status"), F.concat(F.lit("failed in "), F.col("event_id").cast("string")).alias("message"),
+    )
+
+
+@query("""
+WITH RECURSIVE ev AS (
+  SELECT user_id AS job_id, CAST(epoch_us(ts) // 600000 AS BIGINT) AS t, event_id, CASE event_type WHEN 'purchase' THEN 'stored' WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'error' WHEN 'click' THEN 'fetched' ELSE 'extracting' END AS stage FROM events
+), e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, event_id) AS k, stage IN ('error', 'complete') AS ends FROM ev),
+f AS (
+  SELECT job_id, k, t, event_id, stage, t AS started, CASE WHEN ends THEN t END AS closed, CASE WHEN ends THEN stage END AS closed_by FROM e WHERE k = 1
+  UNION ALL
+  SELECT job_id, k, t, event_id, stage, CASE WHEN gone THEN t ELSE started END, CASE WHEN before IS NOT NULL AND NOT gone THEN before WHEN ends THEN t END, CASE WHEN before IS NOT NULL AND NOT gone THEN why WHEN ends THEN stage END
+  FROM (SELECT *, before IS NOT NULL AND t > before + 300000 AS gone FROM (
+    SELECT e.*, f.started, coalesce(f.closed, CASE WHEN e.t > f.t + 120000 THEN f.t + 120000 END) AS before, coalesce(f.closed_by, CASE WHEN e.t > f.t + 120000 THEN 'idle' END) AS why FROM f JOIN e ON e.job_id = f.job_id AND e.k = f.k + 1))
+), mark AS (SELECT max(t) - 60000 AS w FROM ev),
+lives AS (
+  SELECT job_id, started, max(t) AS last_t, count(*) AS events, arg_max(event_id % 50, k) FILTER (stage = 'fetched') AS chunks_total, count(*) FILTER (stage = 'stored') AS chunks_done, count(*) FILTER (stage = 'stored' AND event_id % 3 < 2) AS recipes_passed,
+    coalesce(arg_max(CASE stage WHEN 'error' THEN 'failed' ELSE 'complete' END, k) FILTER (stage IN ('error', 'complete')), 'running') AS status, arg_max('failed in ' || event_id, k) FILTER (stage = 'error') AS message,
+    arg_max(closed, k) FILTER (closed IS NOT NULL) AS closed, arg_max(closed_by, k) FILTER (closed IS NOT NULL) AS closed_by, count(*) FILTER (stage = 'extracting') AS extracting, lead(started) OVER (PARTITION BY job_id ORDER BY started) AS next_t
+  FROM f GROUP BY job_id, started
+), ended AS (SELECT *, coalesce(closed, CASE WHEN next_t IS NOT NULL OR last_t + 120001 <= w THEN last_t + 120000 END) AS c FROM lives, mark)
+SELECT job_id, started, events, chunks_total, chunks_done, chunks_done AS recipes_extracted, recipes_passed, status, message, extracting, c AS closed,
+  CASE WHEN closed_by IS NOT NULL THEN closed_by WHEN c IS NOT NULL THEN 'idle' END AS closed_by, next_t IS NOT NULL OR coalesce(c + 300001 <= w, false) AS removed FROM ended""")
+def stream_job_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lives of jobs with their counters, closed by an end or an idle time and removed by timers; the events come in three parts, each by a run that goes on from the state of the one before."""
+    folder = scratch_path(spark, "lives")
+    rows = run_events(spark, sf_dir)
+    third = rows.agg(F.max("event_id")).first()[0] or 0
+    for k in range(3):
+        part = rows.where((F.col("event_id") > third * k // 3) & (F.col("event_id") <= third * (k + 1) // 3) | (F.lit(k == 0) & (F.col("event_id") <= 0)))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        stream = progress.lives(spark.readStream.schema(rows.schema).parquet(f"{folder}/events"))
+        jobs.run_once(stream, "update", jobs.batches_to(f"{folder}/rows"), folder)
+    last = progress.latest(spark.read.schema(stream.schema).parquet(f"{folder}/rows"))
+    shown = ("job_id", "started", "events", "chunks_total", "chunks_done", "recipes_extracted", "recipes_passed", "status", "message")
+    return last.select(*shown, F.coalesce(F.col("stages")["extracting"], F.lit(0)).alias("extracting"), "closed", "closed_by", "removed")
+
+
+@query("SELECT user_id AS job_id, count(*) AS n FROM events GROUP BY 1")
+def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events are delivered twice, the second time to a run that goes on from the first one's state; each passes once."""
+    folder = scratch_path(spark, "deliveries")
+    for _ in range(2):
+        run_events(spark, sf_dir).write.mode("append").parquet(f"{folder}/events")
+        stream = progress.delivered_once(spark.readStream.schema(run_events(spark, sf_dir).schema).parquet(f"{folder}/events"))
+        jobs.run_once(stream, "append", jobs.batches_to(f"{folder}/rows"), folder, one_batch=True)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").groupBy("job_id").agg(F.count("*").alias("n"))
+
+
 @query(having(texts.GATED, select=f"""
 SELECT doc_id, CASE WHEN coalesce(({texts.hits(texts.VOCABULARY)} > 0 OR {texts.hits(texts.UNITS)} > 0 OR formulas > 0 OR ({texts.hits(texts.NOUNS)} >= 2 AND {texts.hits(texts.OFF)} = 0)) AND NOT ({texts.hits(texts.OFF)} > 3 AND score < 1.0) AND score >= 5, false) THEN 'extracting' ELSE 'skipped' END AS stage FROM s"""))
 def stream_chunk_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import chem, model_json, text, urls
-from paperloom.operators import chunking, dedup, extract, graph, metrics, validate
+from paperloom.operators import chunking, dedup, extract, graph, metrics, titles, validate
 from paperloom.sources import dumps, events, notes, pages
 
 ZNO = (
@@ -117,9 +117,9 @@ def test_papers(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2101.1v2</id><title>On\n  things</title><summary>Was stirred and refluxed.</summary><author><name>B C</name></author><published>2021-01-01</published><link title="doi" href="10.1/b"/></entry></feed>')
     (tmp_path / "o.json").write_text(json.dumps({"results": [{"id": "W1", "display_name": "Work", "doi": "https://doi.org/10.1/C", "open_access": {"is_oa": True}, "abstract_inverted_index": {"b": [1], "a": [0, 2]}}, {"title": ""}]}))
     (tmp_path / "s.json").write_text(json.dumps({"data": [{"paperId": "x", "title": "T", "externalIds": {"DOI": "10.1/D"}}]}))
-    got, errors = dumps.collect_sources(spark, {"pubmed": str(tmp_path / "p.xml"), "arxiv": str(tmp_path / "a.xml"), "openalex": str(tmp_path / "o.json"), "semantic_scholar": str(tmp_path / "missing.json")})
-    rows = {r.source_db: r for r in got.collect()}
-    assert list(errors) == ["semantic_scholar"] and len(rows) == 3
+    landed = dumps.land(spark, {"pubmed": str(tmp_path / "p.xml"), "arxiv": str(tmp_path / "a.xml"), "openalex": str(tmp_path / "o.json"), "semantic_scholar": str(tmp_path / "missing.json")})
+    rows = {r.source_db: r for r in landed.papers.collect()}
+    assert [r.source_db for r in landed.faults.collect()] == ["semantic_scholar"] and len(rows) == 3 and landed.counts == {"pubmed": (1, 0), "arxiv": (1, 0), "openalex": (1, 0), "semantic_scholar": (0, 1)}
     p = rows["pubmed"]
     assert (p.title, p.doi, p.pubmed_central_id, p.authors, p.year, p.abstract, p.open_access, p.has_experimental_section) == ("Zn O x", "10.1/a", "PMC1", ["Ann Doe"], 2020, "One part was heated.", True, True)
     a = rows["arxiv"]
@@ -167,7 +167,7 @@ def test_fuzzy_titles_as_one_by_one(spark):
                 leaders[o] = t
             want[o] = o if lead is None else lead
     assert got == want
-    assert dedup.ratio("abcd", "abxd", 0) == pytest.approx(lcs_ratio("abcd", "abxd"))
+    assert titles.ratio("abcd", "abxd", 70) == pytest.approx(lcs_ratio("abcd", "abxd"))
 
 
 def test_urls(spark):
