@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom import session
@@ -43,6 +45,16 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` makes, materialized; all other tables that it wrote on the way are deleted."""
+    before = len(_written)
+    out = materialize(build())
+    for path in _written[before:-1]:
+        delete(out.sparkSession, path)
+    del _written[before:-1]
+    return out
+
+
 def purge(spark: SparkSession) -> None:
     """Delete what is left of the scratch paths. For the caller, once results that read them are written."""
     while _written:

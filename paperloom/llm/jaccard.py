@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from paperloom.llm.common import materialize, text_batches
+from paperloom.llm.common import materialize, settled, text_batches
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SQUARE = np.uint64(0x9E3779B97F4A7C15**2 & 0xFFFFFFFFFFFFFFFF)
@@ -610,7 +610,7 @@ def keep_one(docs: DataFrame, n: int = 3, num: int = 90, id_col: str = "doc_id",
 
     Rows with a null id stay. Of rows that share an id one stays.
     """
-    found = materialize(link(docs, n, num, id_col, text_col))
+    found = settled(lambda: link(docs, n, num, id_col, text_col))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
     small = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x

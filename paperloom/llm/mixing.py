@@ -122,13 +122,14 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
     def cut(words: Column, block: Column) -> Column:
         first = F.greatest(F.col("start"), block * block_words)
         n = F.least(end, (block + 1) * block_words) - first
-        return F.struct(block.alias("block"), F.slice(words, (first - F.col("start") + 1).cast("int"), n.cast("int")).alias("words"))
+        # As one string: an array of words takes several times its bytes in a shuffle.
+        return F.struct(block.alias("block"), n.alias("n"), F.array_join(F.slice(words, (first - F.col("start") + 1).cast("int"), n.cast("int")), " ").alias("words"))
 
     # The array around the words binds them to a name, so that they are split once a document, not once a block.
     words = F.array(F.array_remove(F.split("text", SPACE), ""))
     parts = F.flatten(F.transform(words, lambda w: F.transform(touched, lambda b: cut(w, b))))
     same = ("sid", "bucket", "base", "id", "size", "source_size", "target", "start")
-    return placed.select(*same, F.explode(parts).alias("part")).select(*same, "part.block", "part.words")
+    return placed.select(*same, F.explode(parts).alias("part")).select(*same, "part.block", "part.n", "part.words")
 
 
 def packed(
@@ -158,9 +159,9 @@ def packed(
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # Pieces of a block are in one partition already. A block has at most block_words of them, since each has a word of its own.
     cut = pieces(rows, block_words)
-    doc = F.struct("start", "id", "size", "source_size", "target", F.size("words").cast("long").alias("n"))
+    doc = F.struct("start", "id", "size", "source_size", "target", F.col("n").cast("long").alias("n"))
     content = cut.groupBy("sid", "bucket", "block", "base").agg(F.sort_array(F.collect_list(doc)).alias("parts"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("text"))
-    content = content.select("sid", "bucket", (F.col("base") + F.col("block")).alias("block"), "parts", F.flatten("text.words").alias("words"))
+    content = content.select("sid", "bucket", (F.col("base") + F.col("block")).alias("block"), "parts", F.array_join("text.words", " ").alias("words"))
     return known(sized.where("size = 0")), content, drawn(of, n_slots, shard_slots, seed)
 
 
@@ -171,8 +172,8 @@ def blocks(
     """The mixture, a row per slot: shard, slot, source, block (its index in the source), the ids of its documents in order, words."""
     _, content, draws = packed(docs, block_words, shard_slots, max_repeat, seed, stream_words, id_col, text_col, source_col)
     # The size of what is expanded isn't known to the planner, so it must not think of sending it to all tasks.
-    out = draws.hint("merge").join(content, ["sid", "block"])
-    return out.select("shard", "slot", "source", "block", F.col("parts.id").alias(f"{id_col}s"), "words")
+    out = draws.hint("merge").join(content.select("sid", "block", F.col("parts.id").alias("ids"), "words"), ["sid", "block"])
+    return out.select("shard", "slot", "source", "block", F.col("ids").alias(f"{id_col}s"), F.split("words", " ").alias("words"))
 
 
 def mix(
