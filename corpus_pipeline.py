@@ -3,6 +3,10 @@
 Languages that can't be told go, one document of each near-duplicate group stays, leaked
 benchmark passages take their documents with them, personal data get surrogates, and what
 is left is mixed to the sources' target weights.
+
+Defined results: null and blank texts have no language and go with the first stage; repeated rows and
+repeated texts leave one document; columns that a stage doesn't know stay as they are up to the mixture;
+an empty table gives an empty mixture.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontam, jaccard, langid, mixing, pii
-from paperloom.llm.common import materialize, read_table
+from paperloom.llm.common import discard, read_table, settled
 from paperloom.llm.queries import PII_KEY
 
 #: Least share of a document's letters in one language.
@@ -57,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed corpus that the stages make of `documents`."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:  # one copy of the texts at a time
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
