@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom import schemas
 from paperloom.functions import chem, model_json, text, urls
-from paperloom.operators import chunking, extract, metrics, rank
+from paperloom.operators import chunking, dictionary, extract, metrics, rank
 from paperloom.operators import validate as rules
 from paperloom.plans.registry import ENTITIES, PAPERS, RECIPES, having, query
 from paperloom.session import scratch_path
@@ -279,6 +279,37 @@ def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.term_matches(tables.table(spark, sf_dir, "documents"), "doc_id", "text", words)
 
 
+PHRASES = """
+phrases AS (SELECT DISTINCT unnest([w[1] || ' ' || w[2], w[1] || ' ' || w[2] || ' ' || w[3], w[2] || ' ' || w[3] || ' ' || w[4] || ' ' || w[5]]) AS term FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+') AS w FROM benchmark) WHERE len(w) >= 5),
+flat AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+') AS w FROM documents)),
+ahead AS (SELECT doc_id, k, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+hits AS (SELECT doc_id, k - 1 AS word_start, n, term FROM (SELECT doc_id, k, unnest([2, 3, 4]) AS n, unnest([a || ' ' || b, a || ' ' || b || ' ' || c, a || ' ' || b || ' ' || c || ' ' || d]) AS term FROM ahead) JOIN phrases USING (term))"""
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two, three and four words from the beginnings of the benchmark's items."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}\p{Pc}]+"), F.lit(0))
+    rows = tables.table(spark, sf_dir, "benchmark").select(w.alias("w")).where(F.size("w") >= 5)
+    some = lambda first, n: F.array_join(F.slice("w", first, n), " ")
+    return rows.select(F.explode(F.array(some(1, 2), some(1, 3), some(2, 4))).alias("term"))
+
+
+@query(having(PHRASES, select="SELECT doc_id, term, word_start::BIGINT AS word_start FROM hits"))
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of the phrases in all documents."""
+    found = dictionary.find_terms(tables.table(spark, sf_dir, "documents"), "doc_id", "text", phrases(spark, sf_dir), overlapping=True)
+    return found.select("doc_id", "term", F.col("word_start").cast("long").alias("word_start"))
+
+
+@query(having("RECURSIVE " + PHRASES.strip(), """longest AS (SELECT doc_id, word_start, max(n) AS n, arg_max(term, n) AS term FROM hits GROUP BY 1, 2),
+kept AS (SELECT doc_id, word_start, n, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY word_start) AS r FROM longest) WHERE r = 1
+  UNION ALL SELECT doc_id, word_start, n, term FROM (SELECT l.*, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.word_start) AS r FROM kept k JOIN longest l ON l.doc_id = k.doc_id AND l.word_start >= k.word_start + k.n) WHERE r = 1)""", select="SELECT doc_id, term, word_start::BIGINT AS word_start FROM kept"))
+def longest_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the phrases that don't overlap, the leftmost and longest first."""
+    found = dictionary.find_terms(tables.table(spark, sf_dir, "documents"), "doc_id", "text", phrases(spark, sf_dir))
+    return found.select("doc_id", "term", F.col("word_start").cast("long").alias("word_start"))
+
+
 @query("""SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'Hint ' || page_id END, 'my file ' || page_id) AS title FROM pages""")
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Hint "), F.col("page_id").cast("string"))).alias("hint"), F.concat(F.lit("/up/my_file-"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("path"))
