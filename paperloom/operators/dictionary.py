@@ -97,4 +97,6 @@ def find_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, o
             return pa.Table.from_pylist([dict(zip(table.schema.names, r)) for r in rows], schema=table.schema)
 
         out = out.groupBy("id").applyInArrow(settle, out.schema)
+    elif n_parts > 1:
+        out = out.distinct()  # a term may be in several parts, spelled otherwise
     return out.withColumnRenamed("id", id_col)

@@ -158,6 +158,37 @@ def note_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("recipe_id", "validation_status", F.size("entities").cast("long").alias("n_entities"), entities.alias("entities"), "temperature_celsius", "duration_hours")
 
 
+#: Amounts of an entity as they come back from a payload, and from a table's cells.
+AMOUNTS = """
+said AS (SELECT recipe_id, pos, name || '/' || coalesce(CASE WHEN value IS NOT NULL THEN CAST(value AS DOUBLE) || ' ' || coalesce(unit, '') END, '-') || '/' || moles_value::DOUBLE || ' mmol' AS whole,
+  name || '/' || coalesce(CASE WHEN value >= 0 AND unit IS NOT NULL THEN CAST(value AS DOUBLE) || ' ' || unit END, '-') || '/' || moles_value::DOUBLE || ' mmol' AS cells FROM ents)"""
+
+
+@query(having(ENTITIES, RECIPES, AMOUNTS, select="""
+SELECT CAST(r.recipe_id AS VARCHAR) AS recipe_id, coalesce(string_agg(whole, ',' ORDER BY pos), '') AS payload, coalesce(string_agg(cells, ',' ORDER BY pos), '') AS cells FROM recipes r LEFT JOIN said s ON s.recipe_id = r.recipe_id GROUP BY r.recipe_id"""))
+def note_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities and moles of notes read back, from the payload, and from the tables of notes that have lost it."""
+    rows = validate.assemble(tables.recipes(spark, sf_dir), tables.entities(spark, sf_dir), tables.conditions(spark, sf_dir))
+    written = note_files.recipe_notes(rows)
+    amount = lambda q: F.coalesce(F.concat(q["value"].cast("string"), F.lit(" "), F.coalesce(q["unit"], F.lit(""))), F.lit("-"))
+    said = F.array_join(F.transform("entities", lambda e: F.concat_ws("/", e["name"], amount(e["quantity"]), amount(e["moles"]))), ",")
+    whole = note_files.parsed_notes(written).select("recipe_id", said.alias("payload"))
+    cut = written.withColumn("content", F.regexp_replace("content", rf"(?s)```{note_files.FENCE}.*?```", ""))
+    return whole.join(note_files.parsed_notes(cut).select("recipe_id", said.alias("cells")), "recipe_id")
+
+
+@query(having(ENTITIES, RECIPES, select="""
+, cells AS (SELECT recipe_id, string_agg('| [[' || name || ']] | ' || CASE WHEN value IS NULL THEN '-' ELSE concat_ws(' ', CAST(value AS DOUBLE), unit) END || ' | ' || moles_value::DOUBLE || ' mmol | ' || role || ' |', chr(10) ORDER BY pos) AS t FROM ents GROUP BY 1)
+SELECT recipe_id, '# ' || title || chr(10) || chr(10) || '**Status:** ' || CASE validation_status WHEN 'PASSED' THEN '✅ PASSED' WHEN 'CORRECTED' THEN '⚠️ CORRECTED' ELSE '❌ FAILED' END || chr(10) || '**Source:** [[Unknown source]]' || chr(10) || chr(10)
+  || '## Reactants' || chr(10) || '| Chemical | Quantity | Moles | Role |' || chr(10) || '|---|---|---|---|' || chr(10) || coalesce(t, '') || chr(10) || chr(10) AS body FROM recipes LEFT JOIN cells USING (recipe_id)"""))
+def note_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of notes from the title to the end of the table of reactants."""
+    rows = validate.assemble(tables.recipes(spark, sf_dir), tables.entities(spark, sf_dir), tables.conditions(spark, sf_dir))
+    body = F.regexp_extract("content", r"(?s)(# .*?)## Reaction Conditions", 1)
+    number = F.regexp_extract("file_name", r"(\d+)", 1).cast("long")
+    return note_files.recipe_notes(rows).select(number.alias("recipe_id"), body.alias("body"))
+
+
 @query(having(PAPERS, select="""
 SELECT ord, list_filter([CASE WHEN title IS NULL OR trim(title) = '' THEN 'title' END, CASE WHEN year NOT BETWEEN 1900 AND 2100 THEN 'year' END, CASE WHEN citation_count < 0 THEN 'citation_count' END], lambda x: x IS NOT NULL)[1] AS fault FROM papers"""))
 def paper_faults(spark: SparkSession, sf_dir: str) -> DataFrame:

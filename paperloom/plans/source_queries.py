@@ -11,7 +11,7 @@ from paperloom.operators import chunking, dictionary, extract, metrics, rank
 from paperloom.operators import validate as rules
 from paperloom.plans.registry import ENTITIES, PAPERS, RECIPES, having, query
 from paperloom.session import scratch_path
-from paperloom.sources import dumps, events, notes
+from paperloom.sources import dumps, events, notes, pages
 from paperloom.sources import surrogates as tables
 
 
@@ -350,3 +350,30 @@ def stored_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.write_recipes(notes.safe_ids(named.unionByName(unsafe)), path)
     wanted = named.where(F.col("recipe_id").cast("long") % 97 == 5).select("recipe_id").unionByName(unsafe.select("recipe_id"))
     return spark.read.parquet(path).join(wanted, "recipe_id", "left_semi").select(F.col("recipe_id").cast("long").alias("recipe_id"), "validation_status", "cost_usd")
+
+
+@query("""WITH p AS (SELECT p_partkey AS page_id, p_partkey % 8 AS s FROM part)
+SELECT page_id, unnest(generate_series(1, least(s, 5))) AS place, 'experimental_section' AS section, 904::BIGINT AS n_words FROM p WHERE s > 0
+UNION ALL SELECT page_id, unnest([1, 2, 3]), unnest(['paragraph_2', 'paragraph_4', 'paragraph_0']), unnest([503, 502, 501])::BIGINT FROM p WHERE s = 0""")
+def page_chunk_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article texts with up to seven procedures, of which five count; pages without any give their three densest paragraphs."""
+    s = F.col("k") % 8
+    filler = F.trim(F.repeat(F.lit("w "), 900))
+    procedure = lambda j: F.concat_ws("\n\n", F.concat(F.lit("Synthesis of sample "), j.cast("string")), filler)
+    plain = lambda n: F.concat(F.repeat(F.lit("zinc "), n), F.trim(F.repeat(F.lit("w "), 500)))
+    dull = F.concat_ws("\n\n", plain(1), F.lit("too short"), plain(3), plain(0), plain(2))
+    said = F.when(s == 0, dull).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(s, F.lit(1))), procedure), "\n\n"))
+    found = pages.page_chunks(parts(spark, sf_dir).select(F.col("k").alias("page_id"), said.alias("text")), vocabulary=["zinc"])
+    return found.select("page_id", F.col("place").cast("long").alias("place"), "section", F.col("n_words").cast("long").alias("n_words"))
+
+
+@query("""WITH d AS (SELECT doc_id AS ord, text, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)
+SELECT ord, CASE WHEN ord % 3 = 0 AND n >= 49 THEN 'Experimental' ELSE 'abstract' END AS section, CASE WHEN ord % 3 = 0 AND n >= 49 THEN 'ARXIV_HTML' ELSE 'ABSTRACT_ONLY' END AS method,
+  CASE WHEN ord % 3 = 0 AND n >= 49 THEN n + 1 ELSE n END AS n_words FROM d WHERE ord % 3 = 0 AND n >= 49 OR length(text) > 50""".replace("\\\\", "\\"))
+def fulltext_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document has a page with its text under a heading; where that is missing or too short the abstract counts."""
+    docs = tables.table(spark, sf_dir, "documents")
+    plain = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("ord"), F.concat(F.lit("<h1>Paper</h1><p>x</p><h2>Experimental</h2><p>"), plain, F.lit("</p><h2>Results</h2><p>none</p>")).alias("html"))
+    found = pages.fulltext_chunks(docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("abstract")), html)
+    return found.select("ord", "section", "method", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("n_words"))

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import density
 from paperloom.functions.urls import domain
+from paperloom.sources.dumps import abstract_chunks
 
 #: Parts that are dropped, and where articles stand, by domain.
 DROPPED = ("nav", "header", "footer", "aside", "script", "style", "noscript", ".references", "#references")
@@ -214,3 +215,38 @@ def page_sections(found: DataFrame, id_col: str = "page_id", min_words: int = 50
     return got.join(top, id_col).where((F.col("top") < 4) | (F.col("priority") == 4)).drop("top")
 
 
+
+
+#: Sections and fallback paragraphs of a page at most, and the density that these must pass.
+PAGE_SECTIONS, PAGE_PARAGRAPHS, PARAGRAPH_DENSITY = 5, 3, 0.05
+
+
+def page_chunks(found: DataFrame, id_col: str = "page_id", min_words: int = 50, vocabulary: list[str] | None = None) -> DataFrame:
+    """(id, place, section, text, n_words) of article texts: the best sections of a page, or its densest paragraphs if it has none.
+
+    The best PAGE_SECTIONS by priority and density are taken first; those that are too short then go.
+    """
+    score = lambda c: density(c, vocabulary) if vocabulary is not None else density(c)
+    sections = page_sections(found, id_col, vocabulary=vocabulary)
+    best = Window.partitionBy(id_col).orderBy(F.desc("priority"), F.desc("density"), "section")
+    named = sections.withColumn("place", F.row_number().over(best)).select(id_col, "place", F.lit("experimental_section").alias("section"), "text")
+    parts = found.select(F.col(id_col).cast("long").alias(id_col), F.posexplode(F.split("text", r"\n{2,}")).alias("k", "text")).join(sections.select(id_col).distinct(), id_col, "left_anti")
+    parts = parts.where(word_count("text") >= 50).withColumn("density", score(F.col("text"))).where(F.col("density") > PARAGRAPH_DENSITY)
+    densest = Window.partitionBy(id_col).orderBy(F.desc("density"), "k")
+    fallback = parts.withColumn("place", F.row_number().over(densest)).where(F.col("place") <= PAGE_PARAGRAPHS).select(id_col, "place", F.concat(F.lit("paragraph_"), F.col("k").cast("string")).alias("section"), "text")
+    rows = named.unionByName(fallback).where(F.col("place") <= PAGE_SECTIONS)
+    return rows.withColumn("n_words", word_count("text")).where(F.col("n_words") >= min_words)
+
+
+def word_count(column: str) -> Column:
+    return F.size(F.regexp_extract_all(column, F.lit(r"(?U)\S+"), F.lit(0)))
+
+
+def fulltext_chunks(papers: DataFrame, pages: DataFrame, least: int = 50) -> DataFrame:
+    """(ord, section, method, text) of papers with a page (ord, html): its experimental sections, or the abstract where it has none, or no page.
+
+    An abstract of `least` characters or fewer gives nothing.
+    """
+    sections = headed_sections(pages.withColumn("html", F.coalesce("html", F.lit(""))), "ord", min_words=50).select("ord", "section", F.lit("ARXIV_HTML").alias("method"), "text")
+    told = sections.select("ord").distinct()
+    return sections.join(papers.select("ord"), "ord", "left_semi").unionByName(abstract_chunks(papers.join(told, "ord", "left_anti"), least))
