@@ -20,12 +20,18 @@ def missing(c: Column, kind: str) -> Column:
 def merged(papers: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, order: str = "ord") -> DataFrame:
     """One row per key: records folded in order. The richer one wins, a tie goes to the earlier, gaps are filled from the other.
 
-    source_db of both are put together as an ordered, distinct list with +.
+    source_db of both are put together as an ordered, distinct list with +. What is folded has all the fields that any
+    record so far had, so a record that has the same fields as an earlier one neither wins nor fills a gap; it counts by
+    its source only. So the first record of each set of fields and source is all that a key's fold needs, however many
+    records there are, and these are found before the shuffle.
     """
     kinds = dict(papers.dtypes)
-    records = papers.select(key, F.struct(order, *[f for f in fields if f != key]).alias("r"))
     inside = [f for f in fields if f != key]
-    lists = records.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))  # copies of one paper
+    there = sum([F.when(missing(F.col(f), kinds[f]), 0).otherwise(1 << i) for i, f in enumerate(inside)], F.lit(0))
+    source = F.col("source_db") if "source_db" in inside else F.lit("")
+    records = papers.select(key, there.alias("there"), source.alias("source"), F.struct(order, *inside).alias("r"))
+    firsts = records.groupBy(key, "there", "source").agg(F.min_by("r", F.col(f"r.{order}")).alias("r"), F.count("*").alias("n"))
+    lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"), F.sum("n").cast("int").alias("n_merged"))
     rich = lambda r: sum([F.when(missing(r[f], kinds[f]), 0).otherwise(1) for f in inside], F.lit(0))
 
     def fold(a: Column, b: Column) -> Column:
@@ -41,7 +47,7 @@ def merged(papers: DataFrame, key: str, fields: tuple[str, ...] = FIELDS, order:
         return F.struct(*out)
 
     folded = F.aggregate(F.slice("rs", 2, F.greatest(F.size("rs") - 1, F.lit(0))), F.get("rs", 0), fold)
-    return lists.select(key, folded.alias("r"), F.size("rs").alias("n_merged")).select(key, "r.*", "n_merged")
+    return lists.select(key, folded.alias("r"), "n_merged").select(key, "r.*", "n_merged")
 
 
 def exact_dedup(papers: DataFrame) -> DataFrame:

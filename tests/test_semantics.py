@@ -89,7 +89,7 @@ def test_ladder_goes_on_until_entities_are_good():
     assert model_json.ladder(raw)[1] == 2 and model_json.ladder(raw, model_json.all_good) == (None, 0)
     found, step = model_json.ladder('{"entities": [{"name": "Zn", "role": "REACTANT", "quantity": {"value": "2.50", "unit": " g "}, "moles": "10 mmol"}]}', model_json.all_good)
     assert step == 1 and found[0]["quantity"] == {"value": 2.5, "unit": "g"} and found[0]["moles"] == {"value": 10.0, "unit": "mmol"}
-    assert model_json.coerced({"a": ["1", "2.5", "x", {"b": "3e2"}]}) == {"a": [1, 2.5, "x", {"b": 300.0}]}
+    assert [model_json.spelled(x) for x in ("1", "2.5", "x", "3e2", "")] == [1, 2.5, None, 300.0, None]
     assert model_json.tolerant("{'a': 'it\\'s \"x\"', b: [1, 2,], \"c\": None, d: {e: True") == {"a": 'it\'s "x"', "b": [1, 2], "c": None, "d": {"e": True}}
     for bad in ("{a 1}", "{'a': 'open", "[1 2]", "{} more", "plain"):
         with pytest.raises(ValueError):
@@ -134,6 +134,47 @@ def test_merge_prefers_the_richer(spark):
     assert (got.title, got.source_db, got.n_merged) == ("T long", "semantic_scholar+openalex", 2)
 
 
+def test_merge_of_many_records(spark):
+    """Hundreds of records of a key, folded one by one in Python; few of them come to the fold."""
+    rng = random.Random(6)
+    some = lambda *c: rng.choice([None, *c])
+    fields = ("title", "doi", "source_db", "citation_count", "year", "abstract")
+    rows = [(i, some("", f"t{i}"), f"10.1/{rng.choice([0, 0, 0, 1, 2])}", some("", "a", "b", "c"), some(0, i), some(2000 + i % 9), some(f"abstract {i}", "")) for i in rng.sample(range(5000), 700)]
+    want = {}
+    empty = lambda x: x is None or x == ""
+    for r in sorted(rows):
+        new = dict(zip(("ord", *fields), r))
+        old = want.get(new["doi"])
+        if old is None:
+            want[new["doi"]] = {**new, "n": 1}
+            continue
+        rich = lambda p: sum(not empty(p[f]) for f in fields if f != "doi")
+        one, two = (old, new) if rich(old) >= rich(new) else (new, old)
+        out = {f: two[f] if empty(one[f]) else one[f] for f in fields}
+        if one["source_db"] is not None and two["source_db"] is not None and one["source_db"] != two["source_db"]:
+            out["source_db"] = "+".join(dict.fromkeys(f"{one['source_db']}+{two['source_db']}".split("+")))
+        want[new["doi"]] = {**out, "ord": old["ord"], "n": old["n"] + 1}
+    got = dedup.exact_dedup(spark.createDataFrame(rows, "ord long, title string, doi string, source_db string, citation_count int, year int, abstract string")).collect()
+    assert {r.doi: (r.ord, r.n_merged, *(r[f] for f in fields)) for r in got} == {k: (v["ord"], v["n"], *(v[f] for f in fields)) for k, v in want.items()}
+
+
+def test_notes_tell_warnings_and_methods(spark):
+    schema = f"recipe_id long, validation_status string, title string, source_paper_title string, source_paper_doi string, validation_warnings array<struct<error_type:string,field_path:string,message:string>>, node_extraction_methods map<string,string>, entities array<struct<pos:int,name:string,role:string,quantity:{QUANTITY},moles:{QUANTITY}>>, conditions struct<temperature_celsius:double,duration_hours:double,technique:string,atmosphere:string,pressure_atm:double>"
+    row = (7, "PASSED", None, "P" * 70, "10.1/x", [("QUANTITY_MISSING", "entities[0]", "no\n  amount"), (None, None, None)], {"b": "MODEL", "a": "RULES"}, [(0, "Zinc", "REACTANT", (1.5, "g"), (10.0, "mmol")), (1, "Water", "SOLVENT", None, None)], (-5.0, 2.0, "sol gel", None, 1.0))
+    note = notes.recipe_notes(spark.createDataFrame([row], schema))
+    text = note.first().content
+    for line in ("# Reaction 7", "| [[Zinc]] | 1.5 g | 10.0 mmol | REACTANT |", "| [[Water]] | - | - | SOLVENT |", "| Technique | sol gel |", "| Atmosphere | unknown |", "| Pressure | 1.0 atm |", "warning_count: 2", f"**Source:** [[{'P' * 60}]]", "DOI: 10.1/x",
+                 "- **QUANTITY_MISSING** (`entities[0]`): no amount", "- **WARNING** (`unknown field`): ", "- a: RULES\n- b: MODEL", "#reaction #sol_gel #unknown"):
+        assert f"\n{line}\n" in f"\n{text}\n", line
+    for content in (text, text.split("```")[0] + "\n#x"):
+        back = notes.parsed_notes(spark.createDataFrame([(content,)], "content string")).first()
+        assert [(e.name, e.role, e.quantity and tuple(e.quantity), e.moles and tuple(e.moles)) for e in back.entities] == [("Zinc", "REACTANT", (1.5, "g"), (10.0, "mmol")), ("Water", "SOLVENT", None, None)]
+        assert (back.temperature_celsius, back.duration_hours, back.pressure_atm, back.technique, back.atmosphere) == (-5.0, 2.0, 1.0, "sol gel", None)
+        assert [w.error_type for w in back.validation_warnings] == ["QUANTITY_MISSING", None if content == text else "WARNING"]
+    bare = notes.recipe_notes(spark.createDataFrame([row], schema).select("recipe_id", "validation_status", "entities", "conditions")).first().content
+    assert "No validation warnings." in bare and "No extraction method metadata." in bare and "Paper: Unknown source" in bare
+
+
 def lcs_ratio(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
