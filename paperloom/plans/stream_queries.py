@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from paperloom.operators import chunking
+from paperloom.operators import chunking, section_table
 from paperloom.plans import text_queries as texts
 from paperloom.plans.metrics_queries import JOBS, job_events
 from paperloom.plans.registry import ORACLE, RUNS, having, query
@@ -172,3 +172,11 @@ def sql_word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.sql(f"SELECT doc_id, CAST(part AS BIGINT) AS part, chunk FROM {{docs}}, LATERAL word_chunks(text, {chunking.CHUNK_WORDS}, {chunking.OVERLAP})", docs=docs)
     words = texts.text.words(F.col("chunk"))
     return out.select("doc_id", "part", F.size(words).cast("long").alias("n_words"), F.get(words, 0).alias("first_word"), F.get(words, F.size(words) - 1).alias("last_word"))
+
+
+@query(ORACLE["document_sections"])
+def sql_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of documents by a table function over their lines. Same as document_sections."""
+    section_table.register(spark)
+    lines = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    return spark.sql(r"SELECT * FROM section_lines(TABLE({lines}) PARTITION BY doc_id ORDER BY (k), 50, r'^(?:The|Der|Les|La)\b')", lines=lines)
