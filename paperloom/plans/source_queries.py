@@ -11,7 +11,7 @@ from paperloom.operators import chunking, dictionary, extract, metrics, rank
 from paperloom.operators import validate as rules
 from paperloom.plans.registry import ENTITIES, PAPERS, RECIPES, having, query
 from paperloom.session import scratch_path
-from paperloom.sources import dumps, events, notes, pages
+from paperloom.sources import dumps, events, notes, pages, quarantine
 from paperloom.sources import surrogates as tables
 
 
@@ -377,3 +377,18 @@ def fulltext_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("ord"), F.concat(F.lit("<h1>Paper</h1><p>x</p><h2>Experimental</h2><p>"), plain, F.lit("</p><h2>Results</h2><p>none</p>")).alias("html"))
     found = pages.fulltext_chunks(docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("abstract")), html)
     return found.select("ord", "section", "method", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("n_words"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title, CASE WHEN doc_id % 13 = 0 THEN 1800 ELSE 2000 END AS year, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE 1 END AS cites FROM documents),
+f AS (SELECT doc_id, title IS NULL OR trim(title) = '' AS t, year < 1900 AS y, cites < 0 AS n FROM c)
+SELECT 'rows' AS kind, count(*) AS observed, count(*) AS kept FROM f UNION ALL SELECT 'good', count(*) FILTER (NOT (t OR y OR n)), count(*) FILTER (NOT (t OR y OR n)) FROM f
+UNION ALL SELECT 'title', count(*) FILTER (t), count(*) FILTER (t) FROM f UNION ALL SELECT 'year', count(*) FILTER (y), count(*) FILTER (y) FROM f UNION ALL SELECT 'citation_count', count(*) FILTER (n), count(*) FILTER (n) FROM f UNION ALL SELECT 'relevance_score', 0, 0""")
+def quarantined_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with planted faults: what was counted while they were written, and what the tables hold."""
+    rows = tables.papers(spark, sf_dir).select(
+        "ord", F.when(F.col("ord") % 11 != 0, F.col("title")).alias("title"), F.when(F.col("ord") % 13 == 0, 1800).otherwise(2000).alias("year"), F.when(F.col("ord") % 7 == 0, -1).otherwise(1).alias("citation_count"), F.lit(None).cast("double").alias("relevance_score"),
+    )
+    got = quarantine.sorted_papers(rows)
+    observed = spark.createDataFrame(sorted(got.counts.items()), "kind string, observed long")
+    kinds = got.rejected.select(F.explode("faults").alias("kind")).unionByName(got.good.select(F.lit("good").alias("kind"))).unionByName(got.good.select("ord").union(got.rejected.select("ord")).select(F.lit("rows").alias("kind")))
+    return observed.join(kinds.groupBy("kind").agg(F.count("*").alias("kept")), "kind", "left").select("kind", "observed", F.coalesce("kept", F.lit(0)).alias("kept"))
