@@ -38,13 +38,17 @@ EMAIL = re.compile(r"[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}")
 NUMBER = re.compile(r"(?<![\w.])[+(]?\d[\d ().-]{5,}\d(?![\w])")
 IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)")
 IPV6, HAS_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]*:[0-9A-Fa-f:]*:[0-9A-Fa-f]*(?![\w:.])"), re.compile(r"::|:[0-9A-Fa-f]{1,4}:")
-CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
+CARD = re.compile(r"(?<![\dA-Za-z.-])(?<![A-Z]{2}\d{2} )\d(?:[ -]?\d){12,18}(?![\d-])")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?!\w)|(?<![\w.+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)")
 #: What PHONE and CARD take, but is a date (with dots or hyphens, spaces may part a phone number) or a list of years.
 DATE = re.compile(r"(?<![\d.-])(?:(?:1\d|20)\d\d([.-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([.-])(?:0?[1-9]|[12]\d|3[01])\2(?:1\d|20)\d\d)(?![.-]?\d)")
 YEARS = re.compile(r"(?:(?:1[5-9]|20)\d\d[ .-])+(?:1[5-9]|20)\d\d")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Countries whose account numbers are taken for such even if their check digits are wrong.
+COUNTRIES = ("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE", "PT", "PL")
+#: Endings that a name has in other cases.
+ENDINGS = ("s", "ом", "ым", "ой", "а", "у", "е", "ы")
 #: Forms of address and the gender they tell.
 TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "г-н": "m", "господин": "m",
@@ -74,7 +78,7 @@ SYLLABLES = {
     "Han": (list("安柏昌德恩方光海嘉景康立民宁平庆仁善泰文祥新永远云泽正中"), {"m": list("刚强军勇杰"), "f": list("芳娜静丽娟"), "n": list("平文华明安")}),
     "Greek": ("βα βε γα γε δα δη ζα θε κα κε λα λε μα με νι νο πα πε ρα ρο σα σε τα τε φι χα".split(), {"m": "ς ος ης ας ων".split(), "f": "α η ια ω ίνα".split(), "n": "ι ο υ ε ου".split()}),
 }
-KINDS = ("email", "ip", "ipv6", "card", "ssn", "iban", "phone", "name")
+KINDS = ("email", "ip", "ipv6", "iban", "card", "ssn", "phone", "name")
 FOUND = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
 
 
@@ -87,6 +91,22 @@ def luhn(digits: str) -> bool:
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
+def checks(plain: str) -> bool:
+    """Whether the check digits of an account number without spaces are right."""
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def account(mention: str) -> str | None:
+    """The account number that a mention is, or begins with if words in capitals follow it."""
+    enough = lambda t: len(t.replace(" ", "")) >= 15 and sum(map(str.isdigit, t)) >= 10
+    text = mention
+    while enough(text):
+        if checks(text.replace(" ", "")):
+            return text
+        text = text.rpartition(" ")[0]
+    return mention if mention[:2] in COUNTRIES and enough(mention) else None
+
+
 def dated(mention: str, least: int) -> bool:
     """Years, or dates beside which fewer than `least` digits stand."""
     return YEARS.fullmatch(mention) is not None or DATE.search(mention) is not None and sum(map(str.isdigit, DATE.sub("", mention))) < least
@@ -141,6 +161,13 @@ def han_names(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
+def stem_in(known: dict[str, str], word: str) -> str | None:
+    """The known name that a word is, or is with an ending; names of three letters have none."""
+    if word in known:
+        return word
+    return next((word[: -len(e)] for e in ENDINGS if len(word) - len(e) > 3 and word.endswith(e) and word[: -len(e)] in known), None)
+
+
 def names(text: str) -> Iterator[tuple[int, str, str]]:
     """(start, word, canonical) of all mentions of names."""
     found = list(persons(text))
@@ -166,11 +193,13 @@ def names(text: str) -> Iterator[tuple[int, str, str]]:
                 canonical = f"family|n|{word.lower()}"
             known.setdefault(word, canonical)
             yield start, word, canonical
-    if known:  # later and earlier mentions of these names on their own
+    if known:  # later and earlier mentions of these names on their own, in any capitals, with an ending
+        low = {w.lower(): c for w, c in known.items()}
         for m in CAP.finditer(text):
             word = bare(m[0])
-            if word in known and m.start() not in firsts:
-                yield m.start(), word, known[word]
+            stem = stem_in(low, word.lower())
+            if stem and m.start() not in firsts:
+                yield m.start(), word[: len(stem)], low[stem]
     if not text.isascii():
         yield from han_names(text)
 
@@ -206,8 +235,7 @@ def find(text: str) -> list[Found]:
                     got[kind].append((m.start(), m.end(), kind, m[0]))
                 elif kind == "card" and 13 <= len(digits) <= 19 and (luhn(digits) or len(digits) == 16 and not dated(m[0], 13)) or kind == "ssn" or kind == "phone" and 7 <= len(digits) <= 15 and not dated(m[0], 7):
                     got[kind].append((m.start(), m.end(), kind, digits))
-    if any(c in text for c in ("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE", "PT", "PL")):
-        got["iban"] = [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if sum(map(str.isdigit, m[0])) >= 10]
+    got["iban"] = [(m.start(), m.start() + len(a), "iban", a.replace(" ", "")) for m in IBAN.finditer(text) if (a := account(m[0]))]
     got["name"] = [(start, start + len(word), "name", canonical) for start, word, canonical in names(text)]
     kept: list[Found] = []
     for kind in KINDS:
@@ -235,6 +263,11 @@ class Stream:
         return r
 
 
+def own_octets(a: int, b: int) -> int:
+    """Leading octets that say that an address is private or local; these stay."""
+    return 1 if a in (10, 127) else 2 if (a, b) in ((192, 168), (169, 254)) or a == 172 and 16 <= b <= 31 else 0
+
+
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     """Canonical form of the surrogate: same kind, same length where the format asks for it, longer after many attempts."""
     s = Stream(key, kind, canonical, attempt)
@@ -246,8 +279,10 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         return f"{swap(local + 'x' * more)}@{swap(name)}{dot}{top}"
     if kind == "ip" and attempt < 64:
         least = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
-        bounds = [least[len(o)] if not more else (1, 254) for o in canonical.split(".")]
-        return ".".join(str(lo + s.below(hi - lo + 1)) for lo, hi in bounds)
+        octets = canonical.split(".")
+        bounds = [least[len(o)] if not more else (1, 254) for o in octets]
+        kept = octets[: own_octets(*map(int, octets[:2]))]
+        return ".".join(kept + [str(lo + s.below(hi - lo + 1)) for lo, hi in bounds][len(kept) :])
     if kind in ("ip", "ipv6"):  # groups of zeros stay, others keep their length
         groups = IPv6Address(canonical).exploded.split(":") if kind == "ipv6" else ["ffff"] * 8
         size = lambda g: 4 if more else len(g.lstrip("0"))

@@ -282,6 +282,39 @@ def test_surrogates_when_a_kind_is_full(spark):
     assert len(set(new)) == len(found) and not set(new) & set(found) and all(x.endswith(".co") for x in new)
 
 
+def test_account_numbers(spark):
+    """Of any country, with spaces or without, among capitals; surrogates keep country and format and have right check digits."""
+    numbers = ["SE45 5000 0000 0583 9825 7466", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "SI56263300012039086", "DE89 3704 0044 0532 0130 00", "MT84MALT011000012345MTLCAST001S", "SE4550000000058398257466", "DE00 3704 0044 0532 0130 00"]
+    texts = [f"pay to {n} now" for n in numbers] + [f"PAY {numbers[0]} THE REST", "code AB12 3456 7890 123 and XY99 ABCD EFGH 1234 stay"]
+    got = pii.anonymize(frame(spark, texts), b"k").collect()
+    for r in got:
+        if r.doc_id < len(numbers) + 1:
+            old = numbers[r.doc_id % len(numbers)]
+            (e,) = r.entities
+            assert e.kind == "iban" and pii.checks(e.surrogate.replace(" ", "")) and e.surrogate[:2] == old[:2] and e.surrogate[4:] != old[4:]
+            assert [c.isspace() for c in e.surrogate] == [c.isspace() for c in old] and r.text == texts[r.doc_id].replace(old, e.surrogate)
+        else:
+            assert not any(e.kind == "iban" for e in r.entities)
+    assert got[0].entities[0].surrogate.replace(" ", "") == got[6].entities[0].surrogate
+
+
+def test_names_in_capitals_and_cases(spark):
+    texts = ["Mr John Smith. JOHN SMITH", "Frau Müller kam. Müllers Hund", "г-н Иван Петров. Письмо Петрова, Петрову", "Mr Ray Art. Rays and ARTS"]
+    got = [r.text for r in sorted(pii.anonymize(frame(spark, texts), b"k").collect(), key=lambda r: r.doc_id)]
+    words = got[0].split()
+    assert "JOHN" not in got[0] and words[1].upper() + " " + words[2].rstrip(".").upper() == " ".join(words[3:])
+    assert "Müller" not in got[1] and got[1].split()[1] + "s" == got[1].split()[3]
+    assert "Петров" not in got[2] and got[2].endswith("у") and got[2].split()[4] == got[2].split()[2].rstrip(".") + "а,"
+    assert got[3].endswith("Rays and ARTS")
+
+
+def test_private_addresses_stay_private(spark):
+    texts = ["10.0.0.1 192.168.1.20 172.20.3.4 127.0.0.1 169.254.7.7 172.32.3.4 8.8.8.8"]
+    new = [e.surrogate for e in pii.anonymize(frame(spark, texts), b"k").first().entities]
+    assert [n.split(".")[0] for n in new[:5]] == ["10", "192", "172", "127", "169"] and [n.split(".")[1] for n in new[1:5:1] if n[:3] in ("192", "172", "169")] == ["168", "20", "254"]
+    assert len(set(new)) == 7 and not set(new) & set(texts[0].split())
+
+
 def test_surrogates_in_long_texts_take_linear_time():
     text = " ".join(f"user{k}@mail{k}.example.org, 10.{k % 200}.7.{k % 250}, Mr Paul Lee{'abcdefghij'[k % 10]};" for k in range(20_000))
     assert len(pii.find(text)) == 80_000
