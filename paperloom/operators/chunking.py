@@ -79,6 +79,34 @@ def experimental_sections(docs: DataFrame, id_col: str, text_col: str, min_words
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"`{id_col}` long, section int, name string, text string")
 
 
+#: Chunks of an uploaded document at most, what its paragraphs must pass where it has no section, and what is said of it.
+UPLOAD_CHUNKS, UPLOAD_DENSITY = 10, 0.1
+UPLOAD = {"source_db": "user_upload", "open_access": True, "completeness": "FULL_TEXT", "method": "USER_UPLOAD"}
+
+
+def uploaded_chunks(docs: DataFrame, id_col: str, text_col: str, path_col: str, hint_col: str | None = None, min_words: int = 50, vocabulary: list[str] | None = None) -> DataFrame:
+    """(id, place, section, text, n_words, title, source_db, open_access, completeness, method) of uploaded documents.
+
+    Experimental sections, long ones in windows; documents without any give their paragraphs above UPLOAD_DENSITY, cut
+    likewise. Windows that are too short go, then the UPLOAD_CHUNKS densest count, equal ones in text order.
+    """
+    score = lambda c: density(c, vocabulary) if vocabulary is not None else density(c)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """Windows of rows (doc, k, section, text) with enough words."""
+        parts = word_chunks(rows.withColumn("_row", F.struct("doc", "k", "section")), "_row", "text").select("_row.*", "part", F.concat("_row.section", "suffix").alias("named"), F.col("chunk").alias("text"))
+        return parts.drop("section").withColumns({"n_words": F.size(words(F.col("text"))), "density": score(F.col("text"))}).where(F.col("n_words") >= min_words)
+
+    found = experimental_sections(docs, id_col, text_col, min_words, max_sections=1 << 30)
+    sections = cut(found.select(F.col(id_col).alias("doc"), F.col("section").alias("k"), F.col("name").alias("section"), "text"))
+    rest = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(sections.select("doc").distinct(), "doc", "left_anti")
+    paragraphs = rest.select("doc", F.posexplode(F.split("text", r"\n{2,}")).alias("k", "text")).select("doc", "k", F.concat(F.lit("paragraph_"), F.col("k").cast("string")).alias("section"), "text")
+    rows = sections.unionByName(cut(paragraphs).where(F.col("density") > UPLOAD_DENSITY))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("density"), "k", "part"))).where(F.col("place") <= UPLOAD_CHUNKS)
+    titles = docs.select(F.col(id_col).cast("long").alias("doc"), document_title(hint_col, path_col).alias("title"))
+    return rows.join(titles, "doc").select(F.col("doc").alias(id_col), "place", F.col("named").alias("section"), "text", "n_words", "title", *[F.lit(v).alias(c) for c, v in UPLOAD.items()])
+
+
 def document_title(hint: str | None, path: str):
     """The hint, or the file's name with spaces for _ and -."""
     stem = F.regexp_replace(F.regexp_extract(F.col(path), r"([^/]+?)(?:\.[^./]+)?$", 1), "[_-]", " ")

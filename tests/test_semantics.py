@@ -158,6 +158,19 @@ def test_merge_of_many_records(spark):
     assert {r.doi: (r.ord, r.n_merged, *(r[f] for f in fields)) for r in got} == {k: (v["ord"], v["n"], *(v[f] for f in fields)) for k, v in want.items()}
 
 
+def test_uploaded_documents(spark):
+    """Sections with enough words, the first ten; long ones in windows; densest paragraphs where there is no section."""
+    words = lambda n, w="word": " ".join([w] * n)
+    many = "\n".join(f"2.{k} Synthesis of sample\n{words(60) + ' zinc' * (k == 29) if k % 2 else 'short'}" for k in range(1, 31))
+    rows = [(1, f"## Experimental\n{words(3200)}\n# Results", "/up/my_file-1.pdf", None), (2, many, "/up/two.pdf", "Hint"), (3, f"{words(60)}\n\n{words(5, 'zinc')} {words(60)}\n\nshort\n\n{words(9, 'zinc')} {words(600)}", "three", None), (4, None, "/x.md", None)]
+    got = chunking.uploaded_chunks(spark.createDataFrame(rows, "doc_id long, text string, path string, hint string"), "doc_id", "text", "path", "hint", vocabulary=["zinc"]).collect()
+    found = {i: [(r.section, r.n_words, r.title) for r in sorted(got, key=lambda r: r.place) if r.doc_id == i] for i in (1, 2, 3, 4)}
+    assert found[1] == [("Experimental", 1500, "my file 1"), ("Experimental_part_2", 1500, "my file 1"), ("Experimental_part_3", 502, "my file 1")]
+    assert [s for s, _, _ in found[2]] == [f"2.{k} Synthesis of sample" for k in (29, *range(1, 18, 2))] and {t for _, _, t in found[2]} == {"Hint"}
+    assert found[3] == [("paragraph_1", 65, "three"), ("paragraph_3", 609, "three")] and found[4] == []
+    assert {(r.source_db, r.open_access, r.completeness, r.method) for r in got} == {("user_upload", True, "FULL_TEXT", "USER_UPLOAD")}
+
+
 def test_notes_tell_warnings_and_methods(spark):
     schema = f"recipe_id long, validation_status string, title string, source_paper_title string, source_paper_doi string, validation_warnings array<struct<error_type:string,field_path:string,message:string>>, node_extraction_methods map<string,string>, entities array<struct<pos:int,name:string,role:string,quantity:{QUANTITY},moles:{QUANTITY}>>, conditions struct<temperature_celsius:double,duration_hours:double,technique:string,atmosphere:string,pressure_atm:double>"
     row = (7, "PASSED", None, "P" * 70, "10.1/x", [("QUANTITY_MISSING", "entities[0]", "no\n  amount"), (None, None, None)], {"b": "MODEL", "a": "RULES"}, [(0, "Zinc", "REACTANT", (1.5, "g"), (10.0, "mmol")), (1, "Water", "SOLVENT", None, None)], (-5.0, 2.0, "sol gel", None, 1.0))
