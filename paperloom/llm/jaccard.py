@@ -152,7 +152,7 @@ def signatures(items: np.ndarray, shells: Shells, frequent: np.ndarray | None =
 
 
 #: One in so many documents is surveyed; a shingle that so many of these have is frequent; most that are kept.
-SURVEYED, FREQUENT, MOST_FREQUENT = 16, 8, 200_000
+SURVEYED, FREQUENT, MOST_FREQUENT = 16, 3, 200_000
 
 
 def frequent_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
@@ -195,12 +195,12 @@ def unpacked(n: int, m: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unplaned(raw[: 8 * n], n), unplaned(raw[8 * n : 8 * (n + m)], m).view(np.int64)[place]
 
 
-#: Owners of a key up to which each two of them are a pair.
-PAIRED = 48
+#: Owners of a key up to which each two of them are a pair. A pair comes from as many buckets as it shares keys in, so few.
+PAIRED = 16
 
 
-def met_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, larger id) of owners of a key, once each: all pairs of up to PAIRED owners, in a second list all with the smallest of more."""
+def met_pairs(keys: np.ndarray, ids: np.ndarray, paired: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, larger id) of owners of a key, once each: all pairs of up to `paired` owners, in a second list all with the smallest of more."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
@@ -209,11 +209,11 @@ def met_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(first)
     count = np.diff(np.append(starts, len(keys)))
     size, head = np.repeat(count, count), np.repeat(starts, count)
-    many = (size > PAIRED) & ~first
+    many = (size > paired) & ~first
     stars = np.stack([ids[head[many]], ids[many]], 1)
-    few = np.flatnonzero((size > 1) & (size <= PAIRED))
+    few = np.flatnonzero((size > 1) & (size <= paired))
     pairs = [np.zeros((0, 2), np.int64)]
-    for step in range(1, PAIRED):
+    for step in range(1, paired):
         at = few[few + step < head[few] + size[few]]
         if not len(at):
             break
@@ -307,7 +307,7 @@ def meetings(rows: DataFrame) -> DataFrame:
 
     def far(table: pa.Table) -> pa.Table:
         got = [unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("n_keys", "n_ids", "packed")))]
-        pairs, stars = met_pairs(np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got]))
+        pairs, stars = met_pairs(np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got]), PAIRED)
         both = np.concatenate([pairs, stars])
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "star": pa.array(np.arange(len(both)) >= len(pairs))})
 

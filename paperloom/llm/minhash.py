@@ -6,7 +6,7 @@ value that the second one, pi, has at these places once it is shifted by k place
 min pi(sigma(x) - k), so no third permutation is needed. `rows` coordinates in a row make a
 band; equal bands of two documents make them candidates.
 
-Candidates are confirmed on full sets. Up to jaccard.PAIRED owners of a band are candidates two by
+Candidates are confirmed on full sets. Up to PAIRED owners of a band are candidates two by
 two; those that the bitmaps of their sets tell apart for sure go. Of bands with more owners the
 bitmaps are searched in blocks, each document that is reached only once, so near copies of one
 text cost no more than their number. What is left forms small regions, in which exact Jaccard
@@ -36,6 +36,8 @@ from paperloom.llm.common import materialize
 BANDS, ROWS = 28, 5
 #: The first permutation's key, and the second's two odd factors.
 SIGMA, PI = np.uint64(0x8F1BBCDCCA62C1D6), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Owners of a band up to which each two of them are candidates.
+PAIRED = 48
 #: Documents of a band in a block, and hashes times coordinates that are counted at once.
 BLOCK, GRID = 2048, 1 << 17
 
@@ -79,10 +81,10 @@ def owners(rows: DataFrame) -> DataFrame:
     def far(table: pa.Table) -> pa.Table:
         got = [jaccard.unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("n_keys", "n_ids", "packed")))]
         keys, ids = np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got])
-        pairs, _ = jaccard.met_pairs(keys, ids)
+        pairs, _ = jaccard.met_pairs(keys, ids, PAIRED)
         order = np.argsort(keys, kind="stable")
         count = np.unique(keys, return_counts=True)[1]
-        many = order[np.repeat(count > jaccard.PAIRED, count)]
+        many = order[np.repeat(count > PAIRED, count)]
         n, m = len(pairs), len(many)
         return pa.table({
             "key": pa.array(np.concatenate([np.zeros(n, np.int64), keys[many].view(np.int64)]), pa.int64(), mask=np.arange(n + m) < n),

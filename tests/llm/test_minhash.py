@@ -46,7 +46,7 @@ def test_bands_recall_and_chunks(monkeypatch):
 @pytest.mark.parametrize("paired", [48, 3])
 def test_near_duplicates(spark, corpus, monkeypatch, paired):  # noqa: F811
     """Families of near copies, odd rows, clashing columns; bands of many owners take the other way."""
-    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "PAIRED", paired)
     monkeypatch.setattr(minhash, "BLOCK", 2048 if paired > 3 else 4)
     rng = random.Random(4)
     base = prose(rng, 120, [f"w{k}" for k in range(900)]).split()
