@@ -62,7 +62,7 @@ def test_phrases(spark, monkeypatch):
 def test_a_hundred_thousand_terms(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
-    terms = sorted({" ".join(word() for _ in range(rng.choice([1, 2, 3]))) for _ in range(110_000)})
+    terms = sorted({" ".join(word() for _ in range(rng.choice([1, 2, 2, 3]))) for _ in range(130_000)})
     assert len(terms) >= 100_000
     docs = [(i, " ".join(word() for _ in range(200)) + " " + rng.choice(terms)) for i in range(50)]
     known = set(terms)

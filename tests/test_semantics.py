@@ -165,7 +165,7 @@ def test_uploaded_documents(spark):
     rows = [(1, f"## Experimental\n{words(3200)}\n# Results", "/up/my_file-1.pdf", None), (2, many, "/up/two.pdf", "Hint"), (3, f"{words(60)}\n\n{words(5, 'zinc')} {words(60)}\n\nshort\n\n{words(9, 'zinc')} {words(600)}", "three", None), (4, None, "/x.md", None)]
     got = chunking.uploaded_chunks(spark.createDataFrame(rows, "doc_id long, text string, path string, hint string"), "doc_id", "text", "path", "hint", vocabulary=["zinc"]).collect()
     found = {i: [(r.section, r.n_words, r.title) for r in sorted(got, key=lambda r: r.place) if r.doc_id == i] for i in (1, 2, 3, 4)}
-    assert found[1] == [("Experimental", 1500, "my file 1"), ("Experimental_part_2", 1500, "my file 1"), ("Experimental_part_3", 502, "my file 1")]
+    assert found[1] == [("Experimental", 1500, "my file 1"), ("Experimental_part_2", 1500, "my file 1"), ("Experimental_part_3", 504, "my file 1")]
     assert [s for s, _, _ in found[2]] == [f"2.{k} Synthesis of sample" for k in (29, *range(1, 18, 2))] and {t for _, _, t in found[2]} == {"Hint"}
     assert found[3] == [("paragraph_1", 65, "three"), ("paragraph_3", 609, "three")] and found[4] == []
     assert {(r.source_db, r.open_access, r.completeness, r.method) for r in got} == {("user_upload", True, "FULL_TEXT", "USER_UPLOAD")}
