@@ -17,9 +17,9 @@ from paperloom.streaming import jobs, progress
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file as a stream. It is one of many in its folder, so the stream is told its name."""
+    """A table as a stream, be it one file or a folder of them: streams take a single file by a pattern only."""
     whole = tables.table(spark, sf_dir, name)
-    return spark.readStream.schema(whole.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(whole.schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def through(spark: SparkSession, stream: DataFrame, mode: str, one_batch: bool = False) -> DataFrame:
