@@ -33,9 +33,10 @@ DENSITY = (
     r"(?U)\b[A-Z][a-z]?\d*(?:[A-Z][a-z]?\d*)*\b",
     r"(?iU)\b\d+\.?\d*\s*(?:mg|g|kg|mL|L|mmol|mol|M|wt%|vol%)\b",
     r"(?iU)\b\d+\s*°C\b",
-    r"(?iU)\b(?:dissolved|stirred|heated|refluxed|filtered|washed|dried|added|mixed)\b",
-    r"(?iU)\b(?:solution|mixture|suspension|precipitate|catalyst|solvent|reactant)\b",
+    r"(?iU)\b(?:dissolved|stirred|heated|refluxed|filtered|washed|dried|added|mixed|solution|mixture|suspension|precipitate|catalyst|solvent|reactant)\b",
 )
+#: What a text must hold for these of the patterns to be looked for.
+NEEDED = {1: r"(?U)\d", 2: "°"}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -75,9 +76,12 @@ def density(text: Column, vocabulary: Sequence[str] = CHEMISTRY_WORDS) -> Column
     """Pattern and vocabulary hits per hundred words, 1 at most."""
     all_words = F.regexp_extract_all(text, F.lit(r"(?U)\b\w+\b"), F.lit(0))
     lexicon = F.array(*map(F.lit, vocabulary))
-    patterns = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in DENSITY])
-    listed = F.size(F.filter(all_words, lambda w: F.array_contains(lexicon, F.lower(w))))
-    return F.when(F.size(all_words) > 0, F.least((patterns * 0.3 + listed * 0.5) / F.size(all_words) * 100, F.lit(1.0))).otherwise(F.lit(0.0))
+    count = lambda k, p: F.when(F.rlike(text, F.lit(NEEDED[k])), F.regexp_count(text, F.lit(p))).otherwise(0) if k in NEEDED else F.regexp_count(text, F.lit(p))
+    patterns = reduce(lambda a, b: a + b, [count(k, p) for k, p in enumerate(DENSITY)])
+    listed = lambda ws: F.size(F.filter(ws, lambda w: F.array_contains(lexicon, F.lower(w))))
+    share = lambda ws: F.when(F.size(ws) > 0, F.least((patterns * 0.3 + listed(ws) * 0.5) / F.size(ws) * 100, F.lit(1.0))).otherwise(F.lit(0.0))
+    # A list of one, so that the words are looked for once.
+    return F.get(F.transform(F.array(all_words), share), 0)
 
 
 def vocabulary_union(*lexicons: Sequence[str]) -> list[str]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom import session
+from paperloom.session import ARROW_ROWS, text_batches  # noqa: F401
 
 _written: list[str] = []
 
@@ -59,15 +60,3 @@ def purge(spark: SparkSession) -> None:
     """Delete what is left of the scratch paths. For the caller, once results that read them are written."""
     while _written:
         delete(spark, _written.pop())
-
-
-#: Rows that go to a Python worker at once. Texts can be long, and a worker holds some copies of a batch.
-ARROW_ROWS = 1000
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """`df`, with Arrow batches of at most ARROW_ROWS rows in its session."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
-    return df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import normalize_title
 from paperloom.operators import titles
-from paperloom.session import scratch_path
+from paperloom.session import cut
 
 FIELDS = ("title", "doi", "source_db", "citation_count", "year", "abstract")
 
@@ -55,13 +55,6 @@ def exact_dedup(papers: DataFrame) -> DataFrame:
     return merged(papers.where(F.col("doi").isNotNull()), "doi")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A lineage cut that outlives executors: a table in the shared folder, read back."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fuzzy_leaders(papers: DataFrame, least: float = 88.0) -> DataFrame:
     """(ord, leader): a paper without DOI belongs to the first DOI group with a similar title, else to the first
     earlier leader without DOI that is similar, else it leads. DOI groups lead themselves, known by their first ord.

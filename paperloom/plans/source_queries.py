@@ -352,6 +352,10 @@ def stored_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).join(wanted, "recipe_id", "left_semi").select(F.col("recipe_id").cast("long").alias("recipe_id"), "validation_status", "cost_usd")
 
 
+#: Pages made of parts in a task.
+PAGES_A_TASK = 1000
+
+
 @query("""WITH p AS (SELECT p_partkey AS page_id, p_partkey % 8 AS s FROM part)
 SELECT page_id, unnest(generate_series(1, least(s, 5))) AS place, 'experimental_section' AS section, 904::BIGINT AS n_words FROM p WHERE s > 0
 UNION ALL SELECT page_id, unnest([1, 2, 3]), unnest(['paragraph_2', 'paragraph_4', 'paragraph_0']), unnest([503, 502, 501])::BIGINT FROM p WHERE s = 0""")
@@ -363,7 +367,10 @@ def page_chunk_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = lambda n: F.concat(F.repeat(F.lit("zinc "), n), F.trim(F.repeat(F.lit("w "), 500)))
     dull = F.concat_ws("\n\n", plain(1), F.lit("too short"), plain(3), plain(0), plain(2))
     said = F.when(s == 0, dull).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(s, F.lit(1))), procedure), "\n\n"))
-    found = pages.page_chunks(parts(spark, sf_dir).select(F.col("k").alias("page_id"), said.alias("text")), vocabulary=["zinc"])
+    rows = parts(spark, sf_dir).select("k")
+    # A part makes some 14 KB of text, so a small file of parts is dealt to many tasks before.
+    rows = rows.repartition(-(-rows.count() // PAGES_A_TASK) or 1, "k")
+    found = pages.page_chunks(rows.select(F.col("k").alias("page_id"), said.alias("text")), vocabulary=["zinc"])
     return found.select("page_id", F.col("place").cast("long").alias("place"), "section", F.col("n_words").cast("long").alias("n_words"))
 
 

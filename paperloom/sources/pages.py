@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import density
 from paperloom.functions.urls import domain
+from paperloom.session import cut, text_batches
 from paperloom.sources.dumps import abstract_chunks
 
 #: Parts that are dropped, and where articles stand, by domain.
@@ -121,7 +122,7 @@ def articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
             n = [len(g[0].split()) for g in got]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[0] for g in got], pa.string()), pa.array(n, pa.int32()), pa.array([x >= 100 for x in n], pa.bool_())], names=[id_col, "title", "text", "n_words", "ok"])
 
-    return pages.select(id_col, domain(F.col(url_col)).alias("d"), html_col).mapInArrow(run, f"`{id_col}` long, title string, text string, n_words int, ok boolean")
+    return text_batches(pages.select(id_col, domain(F.col(url_col)).alias("d"), html_col)).mapInArrow(run, f"`{id_col}` long, title string, text string, n_words int, ok boolean")
 
 
 class Headed(HTMLParser):
@@ -168,7 +169,7 @@ def headed_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "
             cols = zip(*out) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=[id_col, "section", "text"])
 
-    return pages.select(F.col(id_col).cast("long"), html_col).mapInArrow(run, f"`{id_col}` long, section string, text string")
+    return text_batches(pages.select(F.col(id_col).cast("long"), html_col)).mapInArrow(run, f"`{id_col}` long, section string, text string")
 
 
 def page_sections(found: DataFrame, id_col: str = "page_id", min_words: int = 50, vocabulary: list[str] | None = None, signals: tuple[str, ...] = SIGNALS, measure: re.Pattern = MEASURE, verb: re.Pattern = VERB) -> DataFrame:
@@ -209,10 +210,10 @@ def page_sections(found: DataFrame, id_col: str = "page_id", min_words: int = 50
             cols = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=[id_col, "section", "priority", "text"])
 
-    got = rows.mapInArrow(run, f"`{id_col}` long, section int, priority int, text string").withColumn("density", score(F.col("text")))
+    got = text_batches(rows).mapInArrow(run, f"`{id_col}` long, section int, priority int, text string").withColumn("density", score(F.col("text")))
     # If a page has sections of the highest priority, only those count.
-    top = got.groupBy(id_col).agg(F.max("priority").alias("top"))
-    return got.join(top, id_col).where((F.col("top") < 4) | (F.col("priority") == 4)).drop("top")
+    top = F.max("priority").over(Window.partitionBy(id_col))
+    return got.withColumn("top", top).where((F.col("top") < 4) | (F.col("priority") == 4)).drop("top")
 
 
 
@@ -224,21 +225,23 @@ PAGE_SECTIONS, PAGE_PARAGRAPHS, PARAGRAPH_DENSITY = 5, 3, 0.05
 def page_chunks(found: DataFrame, id_col: str = "page_id", min_words: int = 50, vocabulary: list[str] | None = None) -> DataFrame:
     """(id, place, section, text, n_words) of article texts: the best sections of a page, or its densest paragraphs if it has none.
 
-    The best PAGE_SECTIONS by priority and density are taken first; those that are too short then go.
+    The best PAGE_SECTIONS by priority and density are taken first; those that are too short then go. Sections are
+    written down, since pages without any are known only then; paragraphs are scored before they are dealt out, once each.
     """
     score = lambda c: density(c, vocabulary) if vocabulary is not None else density(c)
-    sections = page_sections(found, id_col, vocabulary=vocabulary)
+    sections = cut(page_sections(found, id_col, vocabulary=vocabulary))
     best = Window.partitionBy(id_col).orderBy(F.desc("priority"), F.desc("density"), "section")
     named = sections.withColumn("place", F.row_number().over(best)).select(id_col, "place", F.lit("experimental_section").alias("section"), "text")
-    parts = found.select(F.col(id_col).cast("long").alias(id_col), F.posexplode(F.split("text", r"\n{2,}")).alias("k", "text")).join(sections.select(id_col).distinct(), id_col, "left_anti")
-    parts = parts.where(word_count("text") >= 50).withColumn("density", score(F.col("text"))).where(F.col("density") > PARAGRAPH_DENSITY)
+    rest = found.withColumn(id_col, F.col(id_col).cast("long")).join(sections.select(id_col).distinct(), id_col, "left_anti")
+    long = F.filter(F.transform(F.split("text", r"\n{2,}"), lambda p, k: F.struct(k.alias("k"), p.alias("text"))), lambda p: word_count(p["text"]) >= 50)
+    parts = rest.select(id_col, F.inline(F.filter(F.transform(long, lambda p: F.struct(p["k"].alias("k"), p["text"].alias("text"), score(p["text"]).alias("density"))), lambda p: p["density"] > PARAGRAPH_DENSITY)))
     densest = Window.partitionBy(id_col).orderBy(F.desc("density"), "k")
     fallback = parts.withColumn("place", F.row_number().over(densest)).where(F.col("place") <= PAGE_PARAGRAPHS).select(id_col, "place", F.concat(F.lit("paragraph_"), F.col("k").cast("string")).alias("section"), "text")
     rows = named.unionByName(fallback).where(F.col("place") <= PAGE_SECTIONS)
     return rows.withColumn("n_words", word_count("text")).where(F.col("n_words") >= min_words)
 
 
-def word_count(column: str) -> Column:
+def word_count(column: str | Column) -> Column:
     return F.size(F.regexp_extract_all(column, F.lit(r"(?U)\S+"), F.lit(0)))
 
 
