@@ -36,30 +36,46 @@ def paper_label(title: Column) -> Column:
     return F.when(F.length(title) > 40, F.concat(F.substring(title, 1, 40), F.lit("..."))).otherwise(title)
 
 
-def role_edges(entities: DataFrame) -> DataFrame:
-    """source, target, relationship_type, recipe_id: a product's edge starts at the reaction, others end there."""
+def role_edges(entities: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """source, target, relationship_type, recipe_id, further keys: a product's edge starts at the reaction, others end there."""
     chem, rxn = chemical_id(F.col("name")), reaction_id(F.col("recipe_id"))
     product = F.col("role") == "PRODUCT"
-    written = entities.select(F.when(product, rxn).otherwise(chem).alias("source"), F.when(product, chem).otherwise(rxn).alias("target"), "recipe_id", "pos", "role")
-    last = written.groupBy("source", "target", "recipe_id").agg(F.max_by("role", "pos").alias("role"), F.count("*").alias("writes"))
-    return last.select("source", "target", lookup(RELATIONS, F.col("role"), RELATIONS["REACTANT"]).alias("relationship_type"), "recipe_id", "writes")
+    written = entities.select(F.when(product, rxn).otherwise(chem).alias("source"), F.when(product, chem).otherwise(rxn).alias("target"), "recipe_id", "pos", "role", *keys)
+    last = written.groupBy("source", "target", "recipe_id", *keys).agg(F.max_by("role", "pos").alias("role"), F.count("*").alias("writes"))
+    return last.select("source", "target", lookup(RELATIONS, F.col("role"), RELATIONS["REACTANT"]).alias("relationship_type"), "recipe_id", "writes", *keys)
 
 
-def cooccurrence_pairs(entities: DataFrame) -> DataFrame:
-    """source, target, recipe_id, writes of each pair of non-product entities, in entity order.
+def pairs_inside(entities: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """recipe_id, further keys of a recipe, and p, its array of (source, target) of non-product entities, in entity order.
 
     Pairs are made inside the recipe's own array, so there is no self-join.
     """
-    chem = entities.where(F.col("role") != "PRODUCT").select("recipe_id", F.struct("pos", chemical_id(F.col("name")).alias("id")).alias("e"))
-    inside = chem.groupBy("recipe_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    chem = entities.where(F.col("role") != "PRODUCT").select("recipe_id", *keys, F.struct("pos", chemical_id(F.col("name")).alias("id")).alias("e"))
+    inside = chem.groupBy("recipe_id", *keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
     pairs = F.flatten(F.transform("es", lambda a: F.transform(F.filter("es", lambda b: (b["pos"] > a["pos"]) & (b["id"] != a["id"])), lambda b: F.struct(a["id"].alias("source"), b["id"].alias("target")))))
-    return inside.select("recipe_id", F.explode(pairs).alias("p")).groupBy("p.source", "p.target", "recipe_id").agg(F.count("*").alias("writes"))
+    return inside.select("recipe_id", *keys, pairs.alias("p"))
+
+
+def cooccurrence_pairs(entities: DataFrame) -> DataFrame:
+    """source, target, recipe_id, writes of each pair of a recipe."""
+    return pairs_inside(entities).select("recipe_id", F.explode("p").alias("p")).groupBy("p.source", "p.target", "recipe_id").agg(F.count("*").alias("writes"))
+
+
+def cooccurrence_counts(entities: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """source, target, keys, n_recipes and writes of each pair over all recipes.
+
+    The first of equal pairs is marked inside the recipe's array, so recipes are counted without a group of each pair and recipe.
+    """
+    first = lambda ps, p, k: F.when((k > 0) & (F.get(ps, k - 1) == p), 0).otherwise(1)
+    # A list of one, so that pairs are made and sorted once.
+    marked = F.get(F.transform(F.array(F.array_sort("p")), lambda ps: F.transform(ps, lambda p, k: F.struct(p["source"].alias("source"), p["target"].alias("target"), first(ps, p, k).alias("first")))), 0)
+    rows = pairs_inside(entities, keys).select(*keys, F.explode(marked).alias("p"))
+    return rows.groupBy("p.source", "p.target", *keys).agg(F.sum("p.first").alias("n_recipes"), F.count("*").alias("writes"))
 
 
 def cooccurrence_edges(entities: DataFrame) -> DataFrame:
     """source, target, weight, width, n_recipes; an edge written once is 1 wide, else half its weight."""
-    pairs = cooccurrence_pairs(entities)
-    out = pairs.groupBy("source", "target").agg(F.count("*").alias("n_recipes"), F.sum("writes").alias("writes"))
+    out = cooccurrence_counts(entities)
     weight = F.greatest(F.col("n_recipes"), F.lit(1)).cast("double")
     return out.select("source", "target", weight.alias("weight"), F.when(F.col("writes") == 1, 1.0).otherwise(weight / 2).alias("width"), "n_recipes")
 

@@ -21,6 +21,10 @@ from paperloom.operators import graph
 from paperloom.session import scratch_path
 
 
+#: Tables of a stored graph.
+PARTS = ("nodes", "ends", "uses", "near")
+
+
 class StoredGraph:
     """Tables `<name>_nodes`, `_ends`, `_uses` and `_near` of the session's catalog, with their files in the shared folder."""
 
@@ -35,27 +39,37 @@ class StoredGraph:
         rows = rows.repartition(self.buckets, "node_id").sortWithinPartitions("node_id")
         rows.write.bucketBy(self.buckets, "node_id").sortBy("node_id").option("path", scratch_path(self.spark, part)).mode("overwrite").saveAsTable(f"{self.name}_{part}")
 
-    def write(self, entities: DataFrame, recipes: DataFrame) -> StoredGraph:
-        """All tables anew. recipes: recipe_id, validation_status and title; those that failed have no node."""
+    def write(self, entities: DataFrame, recipes: DataFrame, parts: tuple[str, ...] = PARTS) -> StoredGraph:
+        """All tables anew, or those that are named. recipes: recipe_id, validation_status and title; those that failed have no node."""
+        for part in parts:
+            self.keep(part, getattr(self, f"made_{part}")(entities, recipes))
+        return self
+
+    @staticmethod
+    def made_nodes(entities: DataFrame, recipes: DataFrame) -> DataFrame:
         stored = recipes.where("validation_status <> 'FAILED'")
-        chemicals = graph.chemical_nodes(entities)
         reactions = stored.select(graph.reaction_id(F.col("recipe_id")).alias("node_id"), F.col("title").alias("label"), F.lit("REACTION").alias("role"))
-        self.keep("nodes", chemicals.unionByName(reactions, allowMissingColumns=True))
-        edges = graph.all_edges(entities)
+        return graph.chemical_nodes(entities).unionByName(reactions, allowMissingColumns=True)
+
+    @staticmethod
+    def made_ends(entities: DataFrame, recipes: DataFrame) -> DataFrame:
         ways = F.explode(F.array(F.struct(F.col("source").alias("node_id"), F.col("target").alias("other"), F.lit(True).alias("out")), F.struct(F.col("target").alias("node_id"), F.col("source").alias("other"), F.lit(False).alias("out"))))
-        self.keep("ends", edges.select(ways.alias("w"), "relationship_type", "weight", "width", "n_recipes").select("w.*", "relationship_type", "weight", "width", "n_recipes"))
-        part = graph.participation(entities)
-        self.keep("uses", part.join(recipes, "recipe_id").select(F.col("chem").alias("node_id"), "recipe_id", "validation_status", "title"))
-        near = graph.shared_recipes(entities)
+        return graph.all_edges(entities).select(ways.alias("w"), "relationship_type", "weight", "width", "n_recipes").select("w.*", "relationship_type", "weight", "width", "n_recipes")
+
+    @staticmethod
+    def made_uses(entities: DataFrame, recipes: DataFrame) -> DataFrame:
+        return graph.participation(entities).join(recipes, "recipe_id").select(F.col("chem").alias("node_id"), "recipe_id", "validation_status", "title")
+
+    @staticmethod
+    def made_near(entities: DataFrame, recipes: DataFrame) -> DataFrame:
         both = F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))
         types = graph.cooccurrence_edges(entities).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.lit("CO_OCCURS_WITH").alias("relationship_types")).distinct()
-        near = near.join(types, ["a", "b"], "left").select(both.alias("w"), F.col("shared").alias("co_occurrence_count"), F.coalesce("relationship_types", F.lit("")).alias("relationship_types"))
-        names = chemicals.select(F.col("node_id").alias("other"), F.col("label").alias("chemical_name"))
-        self.keep("near", near.select("w.*", "co_occurrence_count", "relationship_types").join(names, "other"))
-        return self
+        near = graph.shared_recipes(entities).join(types, ["a", "b"], "left").select(both.alias("w"), F.col("shared").alias("co_occurrence_count"), F.coalesce("relationship_types", F.lit("")).alias("relationship_types"))
+        names = graph.chemical_nodes(entities).select(F.col("node_id").alias("other"), F.col("label").alias("chemical_name"))
+        return near.select("w.*", "co_occurrence_count", "relationship_types").join(names, "other")
 
     def drop(self) -> None:
-        for part in ("nodes", "ends", "uses", "near"):
+        for part in PARTS:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
 
     def hop(self, chosen: Callable[[Column], Column]) -> DataFrame:
@@ -97,14 +111,14 @@ class GraphLog:
     """Signed contributions by batch, in folders of their own; a batch that is written again replaces itself.
 
     A removed recipe is given with the entities that it was added with. `base` is the batch up to which
-    compact() has summed.
+    compact() has summed. A log keeps all kinds of counts, or those that are named.
     """
 
     KEYS = {"pairs": ["source", "target"], "roles": ["source", "target", "relationship_type", "recipe_id", "writes"], "nodes": ["node_id"], "labels": ["node_id", "recipe_id", "pos", "name", "role"]}
     COUNTS = {"pairs": ["n_recipes", "writes"], "roles": ["n"], "nodes": ["n_recipes"], "labels": ["n"]}
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, last: int = -1, base: int = -1) -> None:
-        self.spark, self.folder, self.last, self.base = spark, folder or scratch_path(spark, "graph-log"), last, base
+    def __init__(self, spark: SparkSession, folder: str | None = None, last: int = -1, base: int = -1, kinds: tuple[str, ...] = ("pairs", "roles", "labels", "nodes")) -> None:
+        self.spark, self.folder, self.last, self.base, self.kinds = spark, folder or scratch_path(spark, "graph-log"), last, base, kinds
         self.schemas: dict = {}
 
     def apply(self, changes: DataFrame, batch: int | None = None) -> int:
@@ -112,24 +126,31 @@ class GraphLog:
         batch = self.last + 1 if batch is None else batch
         if batch <= self.base:
             raise ValueError("this batch has been summed up")
-        made = None
-        for sign in (1, -1):
-            one = {k: v.withColumn("sign", F.lit(sign)) for k, v in self.contributions(changes.where(F.col("sign") == sign)).items()}
-            made = one if made is None else {k: made[k].unionByName(v) for k, v in one.items()}
-        for kind, rows in made.items():
+        for kind in sorted(self.kinds):  # labels before nodes
+            path = f"{self.folder}/{kind}/batch={batch}"
+            if kind == "nodes" and "labels" in self.kinds:
+                # A chemical of a recipe has one label, so labels tell how many recipes come and go.
+                labels = self.spark.read.schema(self.schemas["labels"]).parquet(f"{self.folder}/labels/batch={batch}")
+                rows = labels.select("node_id", F.lit(1).alias("sign"), F.col("n").alias("n_recipes"))
+            else:
+                rows = self.contributions(changes, kind)
             signed = [F.sum(F.col("sign") * (F.col(c) if c in rows.columns else 1)).cast("long").alias(c) for c in self.COUNTS[kind]]
             out = rows.groupBy(*self.KEYS[kind]).agg(*signed).where(" or ".join(f"{c} <> 0" for c in self.COUNTS[kind]))
             self.schemas[kind] = out.schema
-            out.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch}")
+            out.write.mode("overwrite").parquet(path)
         self.last = max(self.last, batch)
         return batch
 
     @staticmethod
-    def contributions(entities: DataFrame) -> dict[str, DataFrame]:
-        chem = graph.chemical_id(F.col("name"))
-        rows = entities.select(chem.alias("node_id"), "recipe_id", "pos", "name", "role")
-        last = rows.groupBy("node_id", "recipe_id").agg(F.max_by(F.struct("pos", "name", "role"), "pos").alias("l")).select("node_id", "recipe_id", "l.*")
-        return {"pairs": graph.cooccurrence_pairs(entities).select("source", "target", "writes"), "roles": graph.role_edges(entities), "nodes": last.select("node_id"), "labels": last}
+    def contributions(changes: DataFrame, kind: str) -> DataFrame:
+        """What recipes add or take away, with the sign: a recipe that is replaced has both."""
+        if kind == "pairs":
+            return graph.cooccurrence_counts(changes, ("sign",))
+        if kind == "roles":
+            return graph.role_edges(changes, ("sign",))
+        rows = changes.select(graph.chemical_id(F.col("name")).alias("node_id"), "recipe_id", "pos", "name", "role", "sign")
+        last = rows.groupBy("node_id", "recipe_id", "sign").agg(F.max_by(F.struct("pos", "name", "role"), "pos").alias("l")).select("node_id", "recipe_id", "sign", "l.*")
+        return last if kind == "labels" else last.select("node_id", "sign")
 
     def summed(self, kind: str, upto: int | None = None, since: int | None = None) -> DataFrame:
         """Counts of all batches, of those up to one, or of those since one; zeros are gone."""
@@ -166,9 +187,12 @@ class GraphLog:
 
     def compact(self) -> None:
         """Sums the batches so far into the last one; what was read before stays until the new files are there."""
-        for kind in self.KEYS:
-            path = f"{self.folder}/{kind}/batch={self.last}"
-            whole = scratch_path(self.spark, "compacted")
+        for kind in self.kinds:
+            path, whole = f"{self.folder}/{kind}/batch={self.last}", f"{self.folder}/_summed_{kind}_{uuid4().hex}"
             self.summed(kind).write.parquet(whole)
-            self.spark.read.schema(self.schemas[kind]).parquet(whole).write.mode("overwrite").parquet(path)
+            of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+            files = of(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            files.delete(of(path), True)
+            if not files.rename(of(whole), of(path)):
+                raise OSError(f"{whole} can't be moved to {path}")
         self.base = self.last

@@ -16,16 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recipe_id, pos, name, role, quantity and moles: a line item each, numbered in a fixed order; some amounts have faults."""
-    items = table(spark, sf_dir, "lineitem")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    # Names come first, so that rows stay where the numbering puts them: together by recipe.
+    items = table(spark, sf_dir, "lineitem").join(names, "l_partkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
     role = F.when(F.col("l_returnflag") == "A", "REACTANT").when(F.col("l_returnflag") == "N", "SOLVENT").otherwise("PRODUCT")
-    numbered = items.select(
-        F.col("l_orderkey").alias("recipe_id"), (F.row_number().over(order) - 1).alias("pos"), "l_partkey", role.alias("role"),
+    return items.select(
+        F.col("l_orderkey").alias("recipe_id"), (F.row_number().over(order) - 1).alias("pos"), role.alias("role"),
         F.when(F.col("l_linenumber") != 7, F.col("l_quantity") - 1).alias("value"), F.when(F.col("l_linenumber") == 5, "stone").when(F.col("l_linenumber") != 3, "g").alias("unit"),
-        F.col("l_discount").alias("moles_value"), F.lit("mmol").alias("moles_unit"),
+        F.col("l_discount").alias("moles_value"), F.lit("mmol").alias("moles_unit"), "name",
     )
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
-    return numbered.join(names, "l_partkey").drop("l_partkey")
 
 
 def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
