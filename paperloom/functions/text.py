@@ -120,6 +120,18 @@ def chunk_id(key: Column, section: Column) -> Column:
     return F.substring(F.sha2(F.concat(key, F.lit("::"), F.lower(F.trim(section))), 256), 1, 16)
 
 
+def inverted_index(ws: Column) -> Column:
+    """Positions of each word of a list, in order: words are sorted with their places, and each run is a word's entry."""
+
+    def runs(pairs: Column) -> Column:
+        starts = F.filter(F.transform(pairs, lambda x, k: F.when((k > 0) & (F.get(pairs, k - 1)["w"] == x["w"]), -1).otherwise(k)), lambda k: k >= 0)
+        entry = lambda s, end: F.struct(F.get(pairs, s)["w"].alias("w"), F.transform(F.slice(pairs, s + 1, end - s), lambda x: x["p"]).alias("ps"))
+        return F.get(F.transform(F.array(starts), lambda ss: F.transform(ss, lambda s, k: entry(s, F.coalesce(F.get(ss, k + 1), F.size(pairs))))), 0)
+
+    placed = F.array_sort(F.transform(ws, lambda w, k: F.struct(w.alias("w"), k.alias("p"))))
+    return F.map_from_entries(F.get(F.transform(F.array(placed), runs), 0))
+
+
 def abstract_from_index(index: Column) -> Column:
     """Words of an inverted index (word -> positions) in the order of their positions."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -58,11 +58,15 @@ def differences(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return lost.withColumn("missing_from", F.lit("stored")).unionByName(extra.withColumn("missing_from", F.lit("expected")))
 
 
+#: Rows whose keys a task of snapshot_delta() holds.
+DELTA_ROWS = 1_000_000
+
+
 def snapshot_delta(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
-    """One row: keys added and removed between two snapshots."""
-    both = before.select(*key).distinct().withColumn("b", F.lit(1)).unionByName(after.select(*key).distinct().withColumn("a", F.lit(1)), allowMissingColumns=True)
-    sides = both.groupBy(*key).agg(F.max("b").alias("b"), F.max("a").alias("a"))
-    return sides.agg(F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a").isNull()).alias("removed"))
+    """One row: keys added and removed between two snapshots. Tasks grow in number with the rows, not in size."""
+    both = before.select(*key).withColumn("_b", F.lit(1)).unionByName(after.select(*key).withColumn("_a", F.lit(1)), allowMissingColumns=True)
+    sides = both.repartition(-(-both.count() // DELTA_ROWS) or 1, *key).groupBy(*key).agg(F.max("_b").alias("_b"), F.max("_a").alias("_a"))
+    return sides.agg(F.count_if(F.col("_b").isNull()).alias("added"), F.count_if(F.col("_a").isNull()).alias("removed"))
 
 
 def job_status(events: DataFrame) -> DataFrame:

@@ -8,14 +8,13 @@ shuffle a few thousand sums.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 #: Bits of the key's hash that a level of the tree takes, levels at most, and rows up to which differing ranges are compared.
 BITS, LEVELS, ROWS = 12, 4, 1_000_000
-SUMS = ("n", "a_low", "a_high", "b_low", "b_high")
 
 
 def range_of(key: list[str], level: int) -> Column:
@@ -23,23 +22,19 @@ def range_of(key: list[str], level: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*key), 64 - BITS * level)
 
 
-def sums(rows: DataFrame, key: list[str], level: int) -> DataFrame:
-    """at, n and the sums of the halves of two hashes; nulls count by their column."""
+def hashes(rows: DataFrame, key: list[str], level: int, sign: int) -> DataFrame:
+    """at and two hashes of each row, with its table's sign; nulls count by their column."""
     marked = [x for c in rows.columns for x in (F.col(c), F.col(c).isNull())]
-    a, b = F.xxhash64(*marked), F.xxhash64(F.lit(1), *marked)
-    low, high = (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda h: F.shiftrightunsigned(h, 32))
-    hashed = rows.select(range_of(key, level).alias("at"), a.alias("a"), b.alias("b"))
-    parts = {"a_low": low(F.col("a")), "a_high": high(F.col("a")), "b_low": low(F.col("b")), "b_high": high(F.col("b"))}
-    return hashed.groupBy("at").agg(F.count("*").alias("n"), *[F.sum(x).alias(c) for c, x in parts.items()])
+    return rows.select(range_of(key, level).alias("at"), F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit(1), *marked).alias("b"), F.lit(sign).alias("sign"))
 
 
 def differing(expected: DataFrame, stored: DataFrame, key: list[str], level: int) -> DataFrame:
-    """Ranges whose sums differ, with the rows of either side."""
-    one, two = sums(expected, key, level), sums(stored, key, level)
-    names = lambda df, k: df.select("at", *[F.col(c).alias(f"{c}_{k}") for c in SUMS])
-    both = names(one, 1).join(names(two, 2), "at", "full")
-    same = reduce(Column.__and__, [F.col(f"{c}_1").eqNullSafe(F.col(f"{c}_2")) for c in SUMS])
-    return both.where(~same).select("at", (F.coalesce("n_1", F.lit(0)) + F.coalesce("n_2", F.lit(0))).alias("n"))
+    """Ranges whose sums differ, with the rows of either side: the halves of hashes, added for one table and taken off for the other, don't make 0."""
+    both = hashes(expected, key, level, 1).unionByName(hashes(stored, key, level, -1))
+    low, high = (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda h: F.shiftrightunsigned(h, 32))
+    parts = {"a_low": low(F.col("a")), "a_high": high(F.col("a")), "b_low": low(F.col("b")), "b_high": high(F.col("b"))}
+    sums = both.groupBy("at").agg(F.count("*").alias("n"), F.sum("sign").alias("rows"), *[F.sum(F.col("sign") * x).alias(c) for c, x in parts.items()])
+    return sums.where(" or ".join(f"{c} <> 0" for c in ("rows", *parts))).select("at", "n")
 
 
 def inside(rows: DataFrame, key: list[str], level: int, ranges: DataFrame) -> DataFrame:
@@ -56,12 +51,13 @@ def differences(expected: DataFrame, stored: DataFrame, key: list[str] | None =
     while level < LEVELS:
         level += 1
         # The first levels' ranges are at most 2^BITS; later ones at most as many as there are rows to compare.
-        found = differing(one, two, key, level)
+        found = cut(differing(one, two, key, level))
         total = found.agg(F.count("*").alias("ranges"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         if not total.ranges:
             return expected.limit(0).withColumn("missing_from", F.lit("stored"))
         one, two = inside(expected, key, level, found), inside(stored, key, level, found)
         if total.rows <= ROWS:
             break
-    lost, extra = one.exceptAll(two), two.exceptAll(one)
-    return lost.withColumn("missing_from", F.lit("stored")).unionByName(extra.withColumn("missing_from", F.lit("expected")))
+    counts = one.withColumn("_n", F.lit(1)).unionByName(two.withColumn("_n", F.lit(-1))).groupBy(*expected.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "stored").otherwise("expected")
+    return counts.withColumn("missing_from", F.explode(F.array_repeat(side, F.abs("_n").cast("int")))).drop("_n")

@@ -172,9 +172,9 @@ def note_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = note_files.recipe_notes(rows)
     amount = lambda q: F.coalesce(F.concat(q["value"].cast("string"), F.lit(" "), F.coalesce(q["unit"], F.lit(""))), F.lit("-"))
     said = F.array_join(F.transform("entities", lambda e: F.concat_ws("/", e["name"], amount(e["quantity"]), amount(e["moles"]))), ",")
-    whole = note_files.parsed_notes(written).select("recipe_id", said.alias("payload"))
-    cut = written.withColumn("content", F.regexp_replace("content", rf"(?s)```{note_files.FENCE}.*?```", ""))
-    return whole.join(note_files.parsed_notes(cut).select("recipe_id", said.alias("cells")), "recipe_id")
+    bare = F.regexp_replace("content", rf"(?s)```{note_files.FENCE}.*?```", "")
+    whole = note_files.parsed_notes(written, ("content",)).select(F.col("recipe_id").alias("id"), said.alias("payload"), bare.alias("content"))
+    return note_files.parsed_notes(whole, ("id", "payload")).where("recipe_id = id").select("recipe_id", "payload", said.alias("cells"))
 
 
 @query(having(ENTITIES, RECIPES, select="""

@@ -122,8 +122,7 @@ def unit_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, array_to_string({WORDS}, ' ') AS abstract FROM documents")
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are turned into inverted indexes, word to positions, and back."""
-    ws = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(text.words(F.col("text"))).alias("p", "w"))
-    index = ws.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("w", "ps")), lambda e: e["w"].isNotNull())).alias("index"))
+    index = documents(spark, sf_dir).select("doc_id", text.inverted_index(text.words(F.col("text"))).alias("index"))
     return index.select("doc_id", text.abstract_from_index(F.col("index")).alias("abstract"))
 
 

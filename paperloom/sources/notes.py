@@ -125,14 +125,14 @@ def read_amount(cell: Column) -> Column:
     return F.when(part(2) != "", F.struct(part(1).cast("double").alias("value"), part(2).alias("unit")))
 
 
-def parsed_notes(notes: DataFrame) -> DataFrame:
-    """recipe_id, status, entities with their amounts, conditions, warnings and methods of each note, and whether it could be read.
+def parsed_notes(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """recipe_id, status, entities with their amounts, conditions, warnings and methods of each note, and whether it could be read; then the columns to keep.
 
     The embedded payload counts; without a good one, front matter and tables do.
     """
     body = F.regexp_extract("content", rf"(?s)```{FENCE}\s*\n(.*?)\n```", 1)
     data = F.from_json(F.nullif(body, F.lit("")), PAYLOAD)
-    lines = F.split("content", "\n")
+    lines = F.col("lines")  # a column, so that a note is split once
     row = lambda name: F.get(F.filter(lines, lambda x: x.startswith(f"| {name} |")), 0)
     head = lambda k: F.nullif(F.regexp_extract("content", rf"(?s)^---.*?\n{k}: ([^\n]*)\n.*?---", 1), F.lit(""))
     value = lambda name: F.trim(F.get(F.split(row(name), r"\|"), 2))
@@ -141,14 +141,14 @@ def parsed_notes(notes: DataFrame) -> DataFrame:
     table = F.transform(cells, lambda c: F.struct(
         F.regexp_replace(F.get(c, 1), r"^\[\[|\]\]$", "").alias("name"), F.lit(None).cast("string").alias("formula"), F.get(c, 4).alias("role"), read_amount(F.get(c, 2)).alias("quantity"), read_amount(F.get(c, 3)).alias("moles"), F.lit(None).cast("string").alias("notes")))
     found = F.transform(F.filter(lines, lambda x: x.rlike(r"^- \*\*[^*]+\*\* \(`")), lambda x: F.struct(*[F.regexp_extract(x, r"^- \*\*([^*]+)\*\* \(`([^`]*)`\): (.*)$", k + 1).alias(n) for k, n in enumerate(("error_type", "field_path", "message"))]))
-    rows = notes.withColumn("data", data)
+    rows = notes.withColumns({"data": data, "lines": F.split("content", "\n")})
     good = F.col("data.recipe_id").isNotNull()
     either = lambda name, otherwise: F.when(good, F.col(f"data.{name}")).otherwise(otherwise)
     out = rows.select(
         F.coalesce("data.recipe_id", head("recipe_id")).alias("recipe_id"), F.coalesce("data.validation_status", head("validation_status"), F.lit("PASSED")).alias("validation_status"), either("entities", table).alias("entities"),
         *[either(f"conditions.{c}", first_number(row(n))).alias(c) for c, n in (("temperature_celsius", "Temperature"), ("duration_hours", "Duration"), ("pressure_atm", "Pressure"))],
         *[either(f"conditions.{c}", told(n)).alias(c) for c, n in (("technique", "Technique"), ("atmosphere", "Atmosphere"))],
-        either("validation_warnings", found).alias("validation_warnings"), F.col("data.node_extraction_methods").alias("node_extraction_methods"),
+        either("validation_warnings", found).alias("validation_warnings"), F.col("data.node_extraction_methods").alias("node_extraction_methods"), *keep,
     )
     return out.withColumn("ok", F.col("recipe_id").isNotNull())
 
