@@ -40,20 +40,25 @@ class Progress(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", LIFE)
-        self.stages = handle.getMapState("stages", "stage string", "n long")
+        self.stages = handle.getValueState("stages", "names array<string>, n array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         life = dict(zip(NAMES, self.job.get())) if self.job.exists() else None
+        counts = self.counts() if life else {}
         for r in sorted(rows, key=lambda r: (r.at, r.event_id)):
             if life and not life["closed"] and r.at > life["last"] + self.idle_ms:
                 self.shut(life, life["last"] + self.idle_ms, "idle")
             if life and life["closed"] and r.at > life["closed"] + self.keep_ms:
-                yield self.row(key, life, True)
-                self.stages.clear()
-                life = None
+                yield self.row(key, life, counts, True)
+                life, counts = None, {}
             life = life or dict.fromkeys(NAMES) | dict.fromkeys(("chunks_done", "recipes_extracted", "recipes_passed", "events"), 0) | {"status": "running", "started": r.at, "last": r.at}
-            self.take(life, r)
-        yield from self.kept(key, life)
+            self.take(life, counts, r)
+        self.stages.update((list(counts), list(counts.values())))
+        yield from self.kept(key, life, counts)
+
+    def counts(self) -> dict[str, int]:
+        """How often each stage came, by one call to the store."""
+        return dict(zip(*self.stages.get())) if self.stages.exists() else {}
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         if not self.job.exists():
@@ -62,17 +67,16 @@ class Progress(StatefulProcessor):
         if not life["closed"]:
             self.shut(life, life["last"] + self.idle_ms, "idle")
         if life["closed"] + self.keep_ms < timerValues.getCurrentWatermarkInMs():
-            yield self.row(key, life, True)
+            yield self.row(key, life, self.counts(), True)
             self.job.clear()
             self.stages.clear()
         else:
-            yield from self.kept(key, life)
+            yield from self.kept(key, life, self.counts())
 
-    def take(self, life: dict, r: Row) -> None:
+    def take(self, life: dict, counts: dict, r: Row) -> None:
         life["events"] += 1
         life["last"] = max(life["last"], r.at)
-        n = self.stages.getValue((r.stage,)) if self.stages.containsKey((r.stage,)) else (0,)
-        self.stages.updateValue((r.stage,), (n[0] + 1,))
+        counts[r.stage] = counts.get(r.stage, 0) + 1
         if r.stage == "fetched":
             life["chunks_total"] = r.chunks_total
         elif r.stage == "stored":
@@ -89,18 +93,17 @@ class Progress(StatefulProcessor):
     def shut(life: dict, at: int, why: str) -> None:
         life |= {"closed": at, "closed_by": why}
 
-    def kept(self, key: Any, life: dict) -> Iterator[Row]:
+    def kept(self, key: Any, life: dict, counts: dict) -> Iterator[Row]:
         """Stores the life, sets its timer and gives its row."""
         self.job.update(tuple(life[n] for n in NAMES))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         # A millisecond more: an event just at the limit is in time.
         self.handle.registerTimer((life["closed"] + self.keep_ms if life["closed"] else life["last"] + self.idle_ms) + 1)
-        yield self.row(key, life, False)
+        yield self.row(key, life, counts, False)
 
-    def row(self, key: Any, life: dict, removed: bool) -> Row:
-        stages = {k[0]: v[0] for k, v in self.stages.iterator()}
-        return Row(job_id=key[0], **life, stages=stages, removed=removed)
+    def row(self, key: Any, life: dict, counts: dict, removed: bool) -> Row:
+        return Row(job_id=key[0], **life, stages=dict(counts), removed=removed)
 
 
 def lives(events: DataFrame, idle_ms: int = 120_000, keep_ms: int = 300_000, late: str = "1 minute") -> DataFrame:
@@ -126,13 +129,18 @@ class Deliveries(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "event_id long", "times int", self.ttl_ms)
+        self.seen = handle.getListState("seen", "event_id long", self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        # The ids of a job are read and added at once: a call to the store for each event costs far more.
+        seen, new = {x[0] for x in self.seen.get()}, []
         for r in rows:
-            if not self.seen.containsKey((r.event_id,)):
-                self.seen.updateValue((r.event_id,), (1,))
+            if r.event_id not in seen:
+                seen.add(r.event_id)
+                new.append((r.event_id,))
                 yield r
+        if new:
+            self.seen.appendList(new)
 
 
 def delivered_once(events: DataFrame, key: str = "job_id", ttl_ms: int = 3_600_000) -> DataFrame:

@@ -32,7 +32,7 @@ def test_ranges_are_summed_without_a_join(spark):
 
 def test_inverted_index(spark):
     rows = spark.createDataFrame([("b a b c a b",), ("",), (None,), ("é",)], "t string").select(text.inverted_index(text.words(F.col("t"))).alias("index"))
-    assert [r.index for r in rows.collect()] == [{"a": [1, 4], "b": [0, 2, 5], "c": [3]}, {}, None, {"é": [0]}]
+    assert [r["index"] for r in rows.collect()] == [{"a": [1, 4], "b": [0, 2, 5], "c": [3]}, {}, None, {"é": [0]}]
     back = spark.createDataFrame([("b a b c a b",)], "t string").select(text.abstract_from_index(text.inverted_index(text.words(F.col("t")))).alias("t"))
     assert back.first().t == "b a b c a b" and "Exchange" not in plan(QUERIES["abstract_rebuild"](spark, SF))
 
