@@ -1,4 +1,4 @@
-"""A segment-index join of similar titles.
+"""An exact join of similar titles: by an index of segments, or in blocks where segments are too short to tell.
 
 Titles are alike at an indel ratio of `least` per cent or more, so the shorter one, r, and the
 longer one, s, differ by at most t = (1 - least / 100) (|r| + |s|) inserted or deleted characters.
@@ -15,6 +15,11 @@ them. Titles meet by segment, place and length:
 
 Keys are hashes: a collision can add a candidate, never lose a pair. `least` is above 200 / 3:
 titles that are less alike need not share any segment.
+
+Segments of fewer than SELECTIVE characters stand in most titles of prose, so that each title would
+meet most others, once for each segment. Where a length band has such segments, its titles meet
+the shorter ones of near lengths in pairs of blocks instead. A pair of blocks is all that a task holds: lengths
+and letter counts of a block are compared at once, and what they leave is compared as text right there.
 """
 
 from __future__ import annotations
@@ -22,13 +27,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from paperloom.session import cut
+
 #: Letters whose counts are compared before titles are.
 COUNTED = "etaoinshrdlucmfwypvbgkqjxz "
+#: Characters of a segment from which on it is looked up; most titles and characters of a block.
+SELECTIVE, BLOCK_TITLES, BLOCK_CHARS = 6, 1000, 400_000
 
 
 def edits(a: int, b: int, least: float) -> int:
@@ -103,25 +113,32 @@ def in_place(r: str, s: str, least: float) -> bool:
     return True
 
 
-def ratio(a: str, b: str, least: float) -> float:
+def places_of(a: str) -> dict[str, int]:
+    """Bits of the places where each character stands."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    return places
+
+
+def ratio(a: str, b: str, least: float, places: dict[str, int] | None = None) -> float:
     """Indel similarity in per cent: 2 LCS / (len a + len b); 0 if it is below `least`.
 
     The longest common subsequence is counted by bits of whole numbers, a character of the longer title at a
     time, along the band that `least` leaves; it ends as soon as what is left can't make up for what was missed.
+    `places` are those of a, if it isn't the longer one.
     """
     if not a or not b:
         return 0.0
     if a == b:
         return 100.0
     if len(a) > len(b):
-        a, b = b, a
+        a, b, places = b, a, None
     n, m = len(a), len(b)
     if edits(n, m, least) < m - n:
         return 0.0
     left, right = shifts(n, m, least)
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
+    places = places or places_of(a)
     needed = least * (n + m) / 200 - 1e-9
     full = row = (1 << n) - 1
     window = (1 << left + right + 1) - 1
@@ -136,20 +153,92 @@ def ratio(a: str, b: str, least: float) -> float:
     return score if score >= least else 0.0
 
 
+def selective(k: int, least: float) -> bool:
+    return layout(k, least)[2] >= SELECTIVE
+
+
+def band_of(n: Column) -> Column:
+    starts = [1]
+    while starts[-1] < 1 << 31:
+        starts.append(max(starts[-1] + 1, starts[-1] * 6 // 5))
+    return F.size(F.filter(F.lit(starts[:-1]), lambda lo: lo <= n)) - 1
+
+
+def blocks_of(groups: DataFrame) -> dict[int, int]:
+    """How many blocks the titles of each length band make."""
+    n = F.length("t")
+    sizes = groups.groupBy(band_of(n).alias("band")).agg(F.count("*").alias("titles"), F.sum(n).alias("chars")).collect()
+    return {r.band: max(-(-r.titles // BLOCK_TITLES), -(-r.chars // BLOCK_CHARS)) for r in sizes}
+
+
+def letters(texts: list[str]) -> np.ndarray:
+    """Counts of the counted letters, and of all others, of each text."""
+    counts = np.array([[t.count(ch) for ch in COUNTED] for t in texts], np.int32).reshape(len(texts), len(COUNTED))
+    return np.column_stack([counts, np.array([len(t) for t in texts], np.int32) - counts.sum(axis=1)])
+
+
+def by_blocks(groups: DataFrame, least: float, blocks: dict[int, int], scored: bool) -> DataFrame:
+    """(r, s, score) of titles alike in letter counts, s in a band that isn't looked up; if `scored`, of those with a ratio of `least`."""
+    reach = {k: [b for b in range(k, band(longest_partner(layout(k, least)[1], least)) + 1) if b in blocks and not selective(b, least)] for k in blocks}
+    back = {b: [k for k in blocks if b in reach[k]] for b in blocks}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ord_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k = band(len(t))
+                own = key(0, 0, t) % blocks[k]
+                to = [(k, own, b, j, False) for b in reach[k] for j in range(blocks[b])]
+                to += [(b, i, k, own, True) for b in back[k] for i in range(blocks[b])]
+                if to:
+                    rb, ri, sb, si, longer = zip(*to)
+                    columns = [pa.array(c, pa.int32()) for c in (rb, ri, sb, si)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(longer, pa.bool_()), pa.array([ord_] * len(to), pa.int64()), pa.array([t] * len(to), pa.string())], names=["rb", "ri", "sb", "si", "longer", "ord", "t"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        got = sorted((len(t), ord_, longer, t) for longer, ord_, t in zip(*(table.column(c).to_pylist() for c in ("longer", "ord", "t"))))
+        short, long = [x for x in got if not x[2]], [x for x in got if x[2]]
+        # Blocks of one band meet both ways: the pair counts where the first title is shorter, or the earlier of two as long.
+        n_s, counts = np.array([x[0] for x in long], np.int64), letters([x[3] for x in long])
+        out = []
+        for (n, r, _, t), c in zip(short, letters([x[3] for x in short])):
+            lo, hi = np.searchsorted(n_s, [n, longest_partner(n, least) + 1])
+            most = (100 - least) / 100 * (n + n_s[lo:hi]) + 1e-6
+            near = np.flatnonzero(np.abs(counts[lo:hi] - c).sum(axis=1) <= most) + lo
+            places = places_of(t) if scored and len(near) else None
+            for m, s, _, u in (long[j] for j in near.tolist()):
+                if m > n or r < s:
+                    score = ratio(t, u, least, places) if scored else 0.0
+                    if score >= least or not scored:
+                        out.append((r, s, score))
+        r, s, scores = zip(*out) if out else ((), (), ())
+        return pa.table({"r": pa.array(r, pa.int64()), "s": pa.array(s, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+    task = ["rb", "ri", "sb", "si"]
+    n_tasks = sum(blocks[k] * blocks[b] for k in blocks for b in reach[k])
+    dealt = groups.select("ord", "t").mapInArrow(deal, "rb int, ri int, sb int, si int, longer boolean, ord long, t string")
+    return dealt.repartition(max(8, min(2000, n_tasks)), *task).groupBy(*task).applyInArrow(meet, "r long, s long, score double")
+
+
 def candidates(groups: DataFrame, least: float) -> DataFrame:
-    """(r, s, need) of titles (ord, t, n) that meet by a segment, alike in letter counts."""
+    """(r, s) of titles (ord, t) that meet by a segment or in blocks, alike in letter counts."""
+    blocks = blocks_of(groups)
+    return by_segments(groups, least).select("r", "s").unionByName(by_blocks(groups, least, blocks, False).select("r", "s"))
+
+
+def by_segments(groups: DataFrame, least: float) -> DataFrame:
+    """(r, s) of titles (ord, t) that meet by a segment, alike in letter counts, s in a band that is looked up."""
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ord_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = list(laid(t, least))
+                keys = list(laid(t, least)) if selective(band(len(t)), least) else []
                 yield pa.RecordBatch.from_arrays([pa.array([ord_] * len(keys), pa.int64()), pa.array(keys, pa.int64())], names=["s", "key"])
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ord_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own, n = laid(t, least), len(t)
-                rows = [(ord_, k, j, x, int(x in own), edits(n, min(layout(k, least)[1], longest_partner(n, least)), least)) for k, j, x in sought(t, least)]
+                rows = [(ord_, k, j, x, int(x in own), edits(n, min(layout(k, least)[1], longest_partner(n, least)), least)) for k, j, x in sought(t, least) if selective(k, least)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((),) * 6)], names=["r", "band", "segment", "key", "own", "edits"])
 
     texts = groups.select("ord", "t")
@@ -174,13 +263,22 @@ def similar(titles: DataFrame, least: float = 88.0) -> DataFrame:
     """(a, b, score), a before b, of distinct titles (ord, t) with a ratio of `least` or more; equal ones count as one, under their first ord."""
     if not 200 / 3 < least <= 100:
         raise ValueError("least must be above 66.67, and 100 at most")
-    groups = titles.where("t <> ''").groupBy("t").agg(F.min("ord").alias("ord"))
+    groups = cut(titles.where("t <> ''").groupBy("t").agg(F.min("ord").alias("ord")))
+    blocks = blocks_of(groups)
+    found = by_blocks(groups, least, blocks, True)
+    if any(selective(k, least) for k in blocks):
+        found = found.unionByName(looked_up(groups, least))
+    return found.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), "score")
+
+
+def looked_up(groups: DataFrame, least: float) -> DataFrame:
+    """(r, s, score) of titles (ord, t) with a ratio of `least` or more, s in a band that is looked up."""
     text = lambda k: groups.select(F.col("ord").alias(k), F.col("t").alias(f"t_{k}"))
-    full = candidates(groups, least).join(text("r"), "r").join(text("s"), "s").select("r", "s", "t_r", "t_s")
+    full = by_segments(groups, least).join(text("r"), "r").join(text("s"), "s").select("r", "s", "t_r", "t_s")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [ratio(x, y, least) if in_place(x, y, least) else 0.0 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["r", "s", "score"]).filter(pa.array([g >= least for g in got], pa.bool_()))
 
-    return full.mapInArrow(score, "r long, s long, score double").select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), "score")
+    return full.mapInArrow(score, "r long, s long, score double")
