@@ -10,8 +10,11 @@ eps = 1 - num/100 of a metric. Four steps, each exact:
    dealt into parts by hash, more of them than linked sets have differences, so linked sets
    agree on a whole part. Owners of a part meet pair by pair if they are few; pairs whose
    parity bitmaps differ in more bits than linked sets have differences go. Owners of a part
-   that many share all meet its smallest owner. What is left in pairs, with all that it has
-   pairs with, forms regions; no link crosses them.
+   that many share all meet its smallest owner. This is done twice: first with each set's
+   smallest keys, of which near copies share some, then with all keys, but only for owners
+   that the first time hasn't connected. So near copies, which share most of their keys, aren't told by
+   each of them. What is left in pairs, with all that it has pairs with, forms regions; no link
+   crosses them.
 3. In each region of more than two nodes, pivots (members with the smallest hashes) make
    Voronoi cells. A node is copied to every cell whose pivot is at most 2 eps further than its
    own; by the triangle inequality each linked pair meets in the cell of either one. One more
@@ -180,36 +183,45 @@ def unplaned(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def packed(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> tuple[int, int, bytes]:
-    """Sorted keys with the ids of their owners as one string; how many keys and ids it has."""
+def packed(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> tuple[int, int, bytes]:
+    """Sorted keys with the ids of their owners and these ids' labels as one string; how many keys and ids it has."""
     used, at = np.unique(owner, return_inverse=True)
-    named = np.sort(ids[used])
-    place = np.searchsorted(named, ids[used])[at]
-    data = planes(keys) + planes(named.view(np.uint64)) + place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    order = np.argsort(ids[used], kind="stable")
+    named, place = ids[used][order], np.argsort(order, kind="stable")[at]
+    apart = (named - labels[used][order]).view(np.uint8).reshape(-1, 8).T.tobytes()
+    data = planes(keys) + planes(named.view(np.uint64)) + apart + place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(keys), len(named), pa.compress(data, "zstd", asbytes=True)
 
 
-def unpacked(n: int, m: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = pa.decompress(data, 12 * n + 8 * m, "zstd", asbytes=True)
-    place = np.frombuffer(raw[8 * (n + m) :], np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
-    return unplaned(raw[: 8 * n], n), unplaned(raw[8 * n : 8 * (n + m)], m).view(np.int64)[place]
+def unpacked(n: int, m: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, their owners and the owners' labels."""
+    raw = pa.decompress(data, 12 * n + 16 * m, "zstd", asbytes=True)
+    place = np.frombuffer(raw[8 * n + 16 * m :], np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
+    named = unplaned(raw[8 * n : 8 * (n + m)], m).view(np.int64)
+    labels = named - np.frombuffer(raw[8 * (n + m) : 8 * n + 16 * m], np.uint8).reshape(8, m).T.copy().view(np.int64).ravel()
+    return unplaned(raw[: 8 * n], n), named[place], labels[place]
 
 
 #: Owners of a key up to which each two of them are a pair. A pair comes from as many buckets as it shares keys in, so few.
 PAIRED = 16
 
 
-def met_pairs(keys: np.ndarray, ids: np.ndarray, paired: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, larger id) of owners of a key, once each: all pairs of up to `paired` owners, in a second list all with the smallest of more."""
+def met_pairs(keys: np.ndarray, ids: np.ndarray, paired: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(id, larger id) of owners of a key with unlike labels, once each: all pairs of up to `paired` owners, in a second
+    list the smallest of more with the smallest of each other label. Without labels each id is its own.
+    """
+    labels = ids if labels is None else labels
     order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+    keys, ids, labels = keys[order], ids[order], labels[order]
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-    keys, ids = keys[fresh], ids[fresh]
+    keys, ids, labels = keys[fresh], ids[fresh], labels[fresh]
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     starts = np.flatnonzero(first)
     count = np.diff(np.append(starts, len(keys)))
     size, head = np.repeat(count, count), np.repeat(starts, count)
-    many = (size > paired) & ~first
+    many = np.flatnonzero((size > paired) & (labels != labels[head]))
+    many = many[np.lexsort((ids[many], labels[many], head[many]))]
+    many = many[np.concatenate([[True], (head[many][1:] != head[many][:-1]) | (labels[many][1:] != labels[many][:-1])])[: len(many)]]
     stars = np.stack([ids[head[many]], ids[many]], 1)
     few = np.flatnonzero((size > 1) & (size <= paired))
     pairs = [np.zeros((0, 2), np.int64)]
@@ -217,6 +229,7 @@ def met_pairs(keys: np.ndarray, ids: np.ndarray, paired: int) -> tuple[np.ndarra
         at = few[few + step < head[few] + size[few]]
         if not len(at):
             break
+        at = at[labels[at] != labels[at + step]]
         pairs.append(np.unique(np.stack([ids[at], ids[at + step]], 1), axis=0))
     return np.unique(np.concatenate(pairs), axis=0), np.unique(stars, axis=0) if len(stars) else stars
 
@@ -248,71 +261,84 @@ def may_link(a: int, a_bits: bytes, b: int, b_bits: bytes, num: int) -> bool:
     return (folded(a_bits, n) ^ folded(b_bits, n)).bit_count() * (100 + num) <= (a + b) * (100 - num)
 
 
-FOUND = "id long, n_shingles long, set binary, bits binary, bucket long, n_keys int, n_ids int, packed binary"
-CHUNK_CHARS, DOCS_PER_BUCKET = 8_000_000, 2000
+FOUND = "id long, n_shingles long, set binary, bits binary, keys binary, n_buckets int"
+CHUNK_CHARS, CHUNK_KEYS, DOCS_PER_BUCKET = 8_000_000, 1_000_000, 2000
 
 
 def sets(docs: DataFrame, n: int, keys_of: Callable[[np.ndarray], np.ndarray], id_col: str, text_col: str, n_buckets: int) -> DataFrame:
-    """Two kinds of rows. A document: id, n_shingles, set (its 128-bit digest, null if empty) and bits. Keys of a chunk of
-    documents for one bucket with their owners, packed. Equal sets of a chunk have keys once, under their first id.
+    """A row per document: id, n_shingles, set (its 128-bit digest, null if empty), bits, sorted keys and the number of
+    buckets that keys will be dealt to. Of equal sets of a chunk of documents only the first has keys.
     """
 
-    def found(ids: list, sizes: list, digests: list, bits: list, keys: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
-        rows = [(*x, None, None, None, None) for x in zip(ids, sizes, digests, bits)]
-        if keys:
-            own = np.repeat(np.arange(len(owners)), [len(k) for k in keys])
-            names, all_keys = np.array(owners, np.int64), np.concatenate(keys)
-            to = (mixed(all_keys) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((all_keys, to))
-            all_keys, own, to = all_keys[order], own[order], to[order]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if hi > lo:
-                    rows.append((None, None, None, None, int(to[lo]), *packed(all_keys[lo:hi], own[lo:hi], names)))
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        for k in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000]), types)], names=[f.split()[0] for f in FOUND.split(", ")])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, size = Hashes(), set(), 0
-        ids, sizes, digests, bits, keys, owners = part = ([], [], [], [], [], [])
         for batch in batches:
+            rows = []
             for i, text in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 items = shingle_set(text, n, hashes)
                 digest = xxh3_128_digest(items.tobytes()) if len(items) else None
-                ids.append(i)
-                sizes.append(len(items))
-                digests.append(digest)
-                bits.append(parity_bits(items) if len(items) else None)
+                keys = None
                 if digest is not None and i is not None and digest not in seen:
                     seen.add(digest)
-                    keys.append(keys_of(items))
-                    owners.append(i)
+                    keys = np.sort(keys_of(items)).tobytes()
+                rows.append((i, len(items), digest, parity_bits(items) if len(items) else None, keys, n_buckets))
                 size += len(text or "")
                 if size >= CHUNK_CHARS:
-                    yield from found(*part)
                     seen, size = set(), 0
-                    for column in part:
-                        column.clear()
-        if ids:
-            yield from found(*part)
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=[f.split()[0] for f in FOUND.split(", ")])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return text_batches(rows).mapInArrow(run, FOUND)
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """(a, b, star) of documents that share a key; star tells that b stands for others, too, that have the key."""
+def dealt(rows: DataFrame, first: int | None = None) -> DataFrame:
+    """bucket, n_keys, n_ids, packed: the keys of a chunk of `rows` (of sets, and label, if there is one) for one bucket,
+    packed; of each row all keys, or the `first` smallest.
+    """
+    label = F.coalesce("label", "id") if "label" in rows.columns else F.col("id")
+
+    def found(keys: list[np.ndarray], ids: list[int], labels: list[int], n_buckets: int) -> pa.RecordBatch:
+        own = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+        names, marks, all_keys = np.array(ids, np.int64), np.array(labels, np.int64), np.concatenate(keys)
+        to = (mixed(all_keys) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((all_keys, to))
+        all_keys, own, to = all_keys[order], own[order], to[order]
+        cut = np.concatenate([np.flatnonzero(np.diff(to, prepend=-1)), [len(to)]])
+        out = [(int(to[lo]), *packed(all_keys[lo:hi], own[lo:hi], names, marks)) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, types)], names=["bucket", "n_keys", "n_ids", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, labels, size, n_buckets = [], [], [], 0, 1
+        for batch in batches:
+            for i, mark, n_buckets, data in zip(*(c.to_pylist() for c in batch.columns)):
+                keys.append(np.frombuffer(data, np.uint64)[:first])
+                ids.append(i)
+                labels.append(mark)
+                size += len(keys[-1])
+                if size >= CHUNK_KEYS:
+                    yield found(keys, ids, labels, n_buckets)
+                    keys, ids, labels, size = [], [], [], 0
+        if ids:
+            yield found(keys, ids, labels, n_buckets)
+
+    some = rows.where("keys is not null").select("id", label.alias("label"), "n_buckets", "keys")
+    return text_batches(some).mapInArrow(run, "bucket long, n_keys int, n_ids int, packed binary")
+
+
+def meetings(chunks: DataFrame) -> DataFrame:
+    """(a, b, star) of documents with unlike labels that share a key; star tells that b stands for others, too, that have the key."""
 
     def far(table: pa.Table) -> pa.Table:
         got = [unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("n_keys", "n_ids", "packed")))]
-        pairs, stars = met_pairs(np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got]), PAIRED)
+        keys, ids, labels = (np.concatenate(c) for c in zip(*got))
+        pairs, stars = met_pairs(keys, ids, PAIRED, labels)
         both = np.concatenate([pairs, stars])
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "star": pa.array(np.arange(len(both)) >= len(pairs))})
 
-    across = rows.where("bucket is not null").select("bucket", "n_keys", "n_ids", "packed").groupBy("bucket").applyInArrow(far, "a long, b long, star boolean")
-    return across.groupBy("a", "b").agg(F.max("star").alias("star"))
+    return chunks.groupBy("bucket").applyInArrow(far, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
 def linkable(pairs: DataFrame, rows: DataFrame, num: int) -> DataFrame:
@@ -561,11 +587,27 @@ def named(met: DataFrame, rows: DataFrame, nodes: DataFrame, *columns: str) -> D
     return met
 
 
+#: Smallest keys of a set by which it meets others first.
+LEADING = 4
+
+
 def edges_of(rows: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
-    """(a, b) of nodes: pairs that can be linked, and owners of a key of many, each with the smallest of them."""
-    met = named(materialize(meetings(rows)), rows, nodes, "a", "b").where("a <> b")
-    met = materialize(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star")))
-    return linkable(met.where("not star"), rows, num).unionByName(met.where("star").select("a", "b"))
+    """(a, b) of nodes: pairs that can be linked, and owners of a key of many, each with the smallest of them.
+
+    What the smallest keys connect isn't told again: copies and what is connected have the same label.
+    """
+
+    def told(chunks: DataFrame) -> DataFrame:
+        met = named(materialize(meetings(chunks)), rows, nodes, "a", "b").where("a <> b")
+        met = materialize(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star")))
+        return linkable(met.where("not star"), rows, num).unionByName(met.where("star").select("a", "b"))
+
+    near = components(told(dealt(rows, LEADING)))
+    of_sets = nodes.join(near, "node", "left").select("set", F.coalesce("root", "node").alias("label"))
+    labels = materialize(rows.where("keys is not null").select("id", "set").join(of_sets, "set").where("label <> id").select("id", "label").distinct())
+    hint = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda x: x
+    rest = told(dealt(rows.select("id", "n_buckets", "keys").where("keys is not null").join(hint(labels), "id", "left")))
+    return rest.unionByName(near.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
 
 
 def regions_of(docs: DataFrame, edges: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -593,7 +635,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     """Per document of `rows`: id, n_shingles, component_id by the links (a, b) of nodes."""
-    out = rows.where("packed is null").join(nodes, "set", "left").join(components(links), "node", "left")
+    out = rows.join(nodes, "set", "left").join(components(links), "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
 
 

@@ -80,7 +80,7 @@ def owners(rows: DataFrame) -> DataFrame:
 
     def far(table: pa.Table) -> pa.Table:
         got = [jaccard.unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("n_keys", "n_ids", "packed")))]
-        keys, ids = np.concatenate([k for k, _ in got]), np.concatenate([i for _, i in got])
+        keys, ids, _ = (np.concatenate(c) for c in zip(*got))
         pairs, _ = jaccard.met_pairs(keys, ids, PAIRED)
         order = np.argsort(keys, kind="stable")
         count = np.unique(keys, return_counts=True)[1]
@@ -91,7 +91,7 @@ def owners(rows: DataFrame) -> DataFrame:
             "a": pa.array(np.concatenate([pairs[:, 0], ids[many]]), pa.int64()), "b": pa.array(np.concatenate([pairs[:, 1], np.zeros(m, np.int64)]), pa.int64(), mask=np.arange(n + m) >= n),
         })
 
-    return rows.where("bucket is not null").select("bucket", "n_keys", "n_ids", "packed").groupBy("bucket").applyInArrow(far, "key long, a long, b long")
+    return jaccard.dealt(rows).groupBy("bucket").applyInArrow(far, "key long, a long, b long")
 
 
 def reached(crowd: DataFrame, rows: DataFrame, num: int) -> DataFrame:
