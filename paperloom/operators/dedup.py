@@ -62,7 +62,9 @@ def fuzzy_leaders(papers: DataFrame, least: float = 88.0) -> DataFrame:
     Leaders are found in rounds: a paper is decided as soon as all similar papers before it are. This is the
     outcome of taking the papers one by one, not that of connected components.
     """
-    groups = merged(papers.where(F.col("doi").isNotNull()), "doi").select("ord", normalize_title(F.col("title")).alias("t"), F.lit(True).alias("lead"))
+    # Of an abstract only whether it is there counts for which title a DOI group gets.
+    known = papers.where(F.col("doi").isNotNull()).withColumn("abstract", F.substring("abstract", 1, 1))
+    groups = merged(known, "doi").select("ord", normalize_title(F.col("title")).alias("t"), F.lit(True).alias("lead"))
     rest = papers.where(F.col("doi").isNull()).select("ord", normalize_title(F.col("title")).alias("t"), F.lit(False).alias("lead"))
     rows = cut(groups.unionByName(rest))
     first = rows.where("t <> ''").groupBy("t").agg(F.min(F.when(F.col("lead"), F.col("ord"))).alias("led"), F.min(F.when(~F.col("lead"), F.col("ord"))).alias("free"))

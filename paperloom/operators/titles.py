@@ -19,13 +19,15 @@ titles that are less alike need not share any segment.
 Segments of fewer than SELECTIVE characters stand in most titles of prose, so that each title would
 meet most others, once for each segment. Where a length band has such segments, its titles meet
 the shorter ones of near lengths in pairs of blocks instead. A pair of blocks is all that a task holds: lengths
-and letter counts of a block are compared at once, and what they leave is compared as text right there.
+and letter counts of a block are compared at once, and what they leave is compared as text right there, many pairs
+at a time (`subsequences.py`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +35,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from paperloom.operators.subsequences import Texts, edits, ratio, shifts
 from paperloom.session import cut
 
 #: Letters whose counts are compared before titles are.
 COUNTED = "etaoinshrdlucmfwypvbgkqjxz "
 #: Characters of a segment from which on it is looked up; most titles and characters of a block.
-SELECTIVE, BLOCK_TITLES, BLOCK_CHARS = 6, 1000, 400_000
-
-
-def edits(a: int, b: int, least: float) -> int:
-    """Most characters inserted or deleted between titles of these lengths."""
-    return int((100 - least) * (a + b) / 100 + 1e-9)
+SELECTIVE, BLOCK_TITLES, BLOCK_CHARS = 6, 4000, 1_500_000
+#: Pairs that wait for being compared together, and characters of titles in a batch that is dealt.
+WAITING, DEALT_CHARS = 1 << 19, 4_000_000
 
 
 def longest_partner(n: int, least: float) -> int:
@@ -81,12 +81,6 @@ def laid(t: str, least: float) -> set[int]:
     return {key(k, i // width, t[i : i + size]) for i in range(len(t) - size + 1)}
 
 
-def shifts(n: int, m: int, least: float) -> tuple[int, int]:
-    """How far a segment of a title of n characters can be moved to the left and right in one of m >= n."""
-    most = edits(n, m, least)
-    return (most - (m - n)) // 2, (most + m - n) // 2
-
-
 def sought(t: str, least: float) -> Iterator[tuple[int, int, int]]:
     """(band, segment, key) that a title looks for in the bands of its longer partners."""
     n = len(t)
@@ -113,46 +107,6 @@ def in_place(r: str, s: str, least: float) -> bool:
     return True
 
 
-def places_of(a: str) -> dict[str, int]:
-    """Bits of the places where each character stands."""
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
-    return places
-
-
-def ratio(a: str, b: str, least: float, places: dict[str, int] | None = None) -> float:
-    """Indel similarity in per cent: 2 LCS / (len a + len b); 0 if it is below `least`.
-
-    The longest common subsequence is counted by bits of whole numbers, a character of the longer title at a
-    time, along the band that `least` leaves; it ends as soon as what is left can't make up for what was missed.
-    `places` are those of a, if it isn't the longer one.
-    """
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 100.0
-    if len(a) > len(b):
-        a, b, places = b, a, None
-    n, m = len(a), len(b)
-    if edits(n, m, least) < m - n:
-        return 0.0
-    left, right = shifts(n, m, least)
-    places = places or places_of(a)
-    needed = least * (n + m) / 200 - 1e-9
-    full = row = (1 << n) - 1
-    window = (1 << left + right + 1) - 1
-    for j, ch in enumerate(b):
-        # a[i] can stand for b[j] only if i is from j - right to j + left.
-        near = window << j - right if j >= right else window >> right - j
-        u = row & places.get(ch, 0) & near
-        row = ((row + u) | (row - u)) & full
-        if j & 31 == 31 and n - row.bit_count() + m - j - 1 < needed:
-            return 0.0
-    score = 200.0 * (n - row.bit_count()) / (n + m)
-    return score if score >= least else 0.0
-
-
 def selective(k: int, least: float) -> bool:
     return layout(k, least)[2] >= SELECTIVE
 
@@ -177,46 +131,102 @@ def letters(texts: list[str]) -> np.ndarray:
     return np.column_stack([counts, np.array([len(t) for t in texts], np.int32) - counts.sum(axis=1)])
 
 
+def targets(k: int, own: int, blocks: dict[int, int], reach: dict[int, list[int]]) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(rb, ri, sb, si, second) of the pairs of blocks that a title of this block of a band is in, and whether in the second of both."""
+    for b in reach[k]:
+        if b != k:
+            yield from ((k, own, b, j, False) for j in range(blocks[b]))
+        else:
+            yield from ((k, min(own, j), k, max(own, j), j < own) for j in range(blocks[k]))
+    for b in blocks:
+        if b != k and k in reach[b]:
+            yield from ((b, i, k, own, True) for i in range(blocks[b]))
+
+
+def met(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]], least: float, alike: str, scored: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(r, s, score) of titles (length, ord, text) of two lists, s not shorter, that are alike in letter counts.
+
+    `alike` tells which of titles as long as each other count: "all", "none", or "earlier", those where r is before s.
+    """
+    if not one or not two:
+        return
+    n, m, r, s = (np.array([x[k] for x in rows], np.int64) for k, rows in ((0, one), (0, two), (1, one), (1, two)))
+    kind = np.int16 if n[-1] + m[-1] < 1 << 15 else np.int32
+    counts, theirs = letters([x[2] for x in one]).astype(kind), np.ascontiguousarray(letters([x[2] for x in two]).T.astype(kind))
+    texts = Texts([x[2] for x in one], [x[2] for x in two], least) if scored else None
+
+    def told(a: list[int], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right = np.repeat(np.array(a, np.int64), [len(x) for x in b]), np.concatenate(b)
+        score = texts.ratios(left, right) if texts else np.full(len(left), least)
+        kept = np.flatnonzero(score >= least)
+        return r[left[kept]], s[right[kept]], score[kept] if scored else np.zeros(len(kept))
+
+    a, b, waiting = [], [], 0
+    lows, highs = np.searchsorted(m, n, side="right" if alike == "none" else "left"), np.searchsorted(m, [longest_partner(int(x), least) + 1 for x in n])
+    for i, (lo, hi) in enumerate(zip(lows.tolist(), highs.tolist())):
+        if lo >= hi:
+            continue
+        differ = theirs[:, lo:hi] - counts[i][:, None]
+        near = np.abs(differ, out=differ).sum(axis=0, dtype=kind) <= (100 - least) / 100 * (n[i] + m[lo:hi]) + 1e-6
+        if alike == "earlier":
+            near &= (m[lo:hi] > n[i]) | (r[i] < s[lo:hi])
+        if len(found := np.flatnonzero(near) + lo):
+            a.append(i)
+            b.append(found)
+            waiting += len(found)
+            if waiting >= WAITING:
+                yield told(a, b)
+                a, b, waiting = [], [], 0
+    if a:
+        yield told(a, b)
+
+
 def by_blocks(groups: DataFrame, least: float, blocks: dict[int, int], scored: bool) -> DataFrame:
     """(r, s, score) of titles alike in letter counts, s in a band that isn't looked up; if `scored`, of those with a ratio of `least`."""
     reach = {k: [b for b in range(k, band(longest_partner(layout(k, least)[1], least)) + 1) if b in blocks and not selective(b, least)] for k in blocks}
-    back = {b: [k for k in blocks if b in reach[k]] for b in blocks}
+    names = ["rb", "ri", "sb", "si", "second", "ord", "t"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[tuple[int, int], pa.RecordBatch] = {}
         for batch in batches:
+            parts, size = [], 0
             for ord_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = band(len(t))
                 own = key(0, 0, t) % blocks[k]
-                to = [(k, own, b, j, False) for b in reach[k] for j in range(blocks[b])]
-                to += [(b, i, k, own, True) for b in back[k] for i in range(blocks[b])]
-                if to:
-                    rb, ri, sb, si, longer = zip(*to)
-                    columns = [pa.array(c, pa.int32()) for c in (rb, ri, sb, si)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(longer, pa.bool_()), pa.array([ord_] * len(to), pa.int64()), pa.array([t] * len(to), pa.string())], names=["rb", "ri", "sb", "si", "longer", "ord", "t"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        got = sorted((len(t), ord_, longer, t) for longer, ord_, t in zip(*(table.column(c).to_pylist() for c in ("longer", "ord", "t"))))
-        short, long = [x for x in got if not x[2]], [x for x in got if x[2]]
-        # Blocks of one band meet both ways: the pair counts where the first title is shorter, or the earlier of two as long.
-        n_s, counts = np.array([x[0] for x in long], np.int64), letters([x[3] for x in long])
-        out = []
-        for (n, r, _, t), c in zip(short, letters([x[3] for x in short])):
-            lo, hi = np.searchsorted(n_s, [n, longest_partner(n, least) + 1])
-            most = (100 - least) / 100 * (n + n_s[lo:hi]) + 1e-6
-            near = np.flatnonzero(np.abs(counts[lo:hi] - c).sum(axis=1) <= most) + lo
-            places = places_of(t) if scored and len(near) else None
-            for m, s, _, u in (long[j] for j in near.tolist()):
-                if m > n or r < s:
-                    score = ratio(t, u, least, places) if scored else 0.0
-                    if score >= least or not scored:
-                        out.append((r, s, score))
-        r, s, scores = zip(*out) if out else ((), (), ())
-        return pa.table({"r": pa.array(r, pa.int64()), "s": pa.array(s, pa.int64()), "score": pa.array(scores, pa.float64())})
-
-    task = ["rb", "ri", "sb", "si"]
-    n_tasks = sum(blocks[k] * blocks[b] for k in blocks for b in reach[k])
-    dealt = groups.select("ord", "t").mapInArrow(deal, "rb int, ri int, sb int, si int, longer boolean, ord long, t string")
-    return dealt.repartition(max(8, min(2000, n_tasks)), *task).groupBy(*task).applyInArrow(meet, "r long, s long, score double")
+                if (to := lists.get((k, own))) is None:
+                    columns = zip(*targets(k, own, blocks, reach)) if reach[k] or any(k in reach[b] for b in blocks) else ((),) * 5
+                    to = lists[k, own] = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int32()] * 4 + [pa.bool_()])], names=names[:5])
+                n = to.num_rows
+                parts.append((to, pa.repeat(pa.scalar(ord_, pa.int64()), n), pa.repeat(pa.scalar(t, pa.string()), n)))
+                size += n * (len(t) + 32)
+                if size > DEALT_CHARS:
+                    yield dealt_batch(parts)
+                    parts, size = [], 0
+            if parts:
+                yield dealt_batch(parts)
+
+    def dealt_batch(parts: list[tuple[pa.RecordBatch, pa.Array, pa.Array]]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([p[0].column(c) for p in parts]) for c in range(5)] + [pa.concat_arrays([p[c] for p in parts]) for c in (1, 2)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def meet(task: tuple, table: pa.Table) -> pa.Table:
+        rb, ri, sb, si = (x.as_py() for x in task)
+        got = sorted((len(t), ord_, second, t) for second, ord_, t in zip(*(table.column(c).to_pylist() for c in ("second", "ord", "t"))))
+        one, two = ([(n, ord_, t) for n, ord_, second, t in got if second == which] for which in (False, True))
+        if rb != sb:
+            found = met(one, two, least, "all", scored)
+        elif ri == si:
+            found = met(one, one, least, "earlier", scored)
+        else:
+            # Blocks of a band: of titles as long as each other, those of the first count as the shorter ones.
+            found = chain(met(one, two, least, "all", scored), met(two, one, least, "none", scored))
+        r, s, score = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *found))
+        return pa.table({"r": r, "s": s, "score": score})
+
+    task = names[:4]
+    n_tasks = sum(blocks[k] * (blocks[b] if b != k else (blocks[k] + 1) / 2) for k in blocks for b in reach[k])
+    dealt = groups.select("ord", "t").mapInArrow(deal, "rb int, ri int, sb int, si int, second boolean, ord long, t string")
+    return dealt.repartition(max(8, min(2000, int(n_tasks))), *task).groupBy(*task).applyInArrow(meet, "r long, s long, score double")
 
 
 def candidates(groups: DataFrame, least: float) -> DataFrame:
