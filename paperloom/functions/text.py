@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -84,6 +85,31 @@ def density(text: Column, vocabulary: Sequence[str] = CHEMISTRY_WORDS) -> Column
     return F.get(F.transform(F.array(all_words), share), 0)
 
 
+#: The words of the last pattern of the density score, and bytes as parts of words: lower case, or spaces between words.
+PROCESS_WORDS = frozenset(w.encode() for w in re.search(r"\(\?:([a-z|]+)\)", DENSITY[3])[1].split("|"))
+WORD_BYTES = bytes(ord(chr(b).lower()) if re.match(r"\w", chr(b), re.ASCII) else 32 for b in range(256))
+#: The first two patterns, their first character ahead of the test of what stands before it, so that a search can skip to it.
+ASCII_DENSITY = (
+    re.compile(r"[A-Z](?<=\b[A-Z])[a-z]?\d*(?:[A-Z][a-z]?\d*)*\b", re.ASCII),
+    re.compile(r"\d(?<=\b\d)\d*\.?\d*\s*(?:mg|g|kg|mL|L|mmol|mol|M|wt%|vol%)\b", re.ASCII | re.IGNORECASE),
+)
+
+
+def ascii_density(text: str, vocabulary: frozenset[bytes]) -> float:
+    """What `density` gives for a text of ASCII characters; others are left to it, since Java and Python differ in what a word is."""
+    raw = text.encode("ascii")
+    words = raw.translate(WORD_BYTES).split()
+    if not words:
+        return 0.0
+    found = list(filter((vocabulary | PROCESS_WORDS).__contains__, words))
+    patterns = sum(w in PROCESS_WORDS for w in found)
+    if raw.lower() != raw:
+        patterns += sum(1 for _ in ASCII_DENSITY[0].finditer(text))
+    if len(raw.translate(None, b"0123456789")) < len(raw):
+        patterns += sum(1 for _ in ASCII_DENSITY[1].finditer(text))
+    return min((patterns * 0.3 + sum(w in vocabulary for w in found) * 0.5) / len(words) * 100, 1.0)
+
+
 def vocabulary_union(*lexicons: Sequence[str]) -> list[str]:
     """All words of the lexicons, each once, in order."""
     return list(dict.fromkeys(w for lexicon in lexicons for w in lexicon))

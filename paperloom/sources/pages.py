@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import density
+from paperloom.functions.text import CHEMISTRY_WORDS, ascii_density, density
 from paperloom.functions.urls import domain
-from paperloom.session import cut, text_batches
+from paperloom.session import text_batches
 from paperloom.sources.dumps import abstract_chunks
 
 #: Parts that are dropped, and where articles stand, by domain.
@@ -172,19 +172,30 @@ def headed_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     return text_batches(pages.select(F.col(id_col).cast("long"), html_col)).mapInArrow(run, f"`{id_col}` long, section string, text string")
 
 
-def page_sections(found: DataFrame, id_col: str = "page_id", min_words: int = 50, vocabulary: list[str] | None = None, signals: tuple[str, ...] = SIGNALS, measure: re.Pattern = MEASURE, verb: re.Pattern = VERB) -> DataFrame:
-    """(id, section, priority, density, text) of article text: paragraphs from a heading or a procedure on.
+#: Sections and fallback paragraphs of a page at most, and the density and words that these paragraphs must have.
+PAGE_SECTIONS, PAGE_PARAGRAPHS, PARAGRAPH_DENSITY, PARAGRAPH_WORDS = 5, 3, 0.05, 50
+BLANK_LINES, SEPARATORS = re.compile(r"\n{2,}"), b"\x1c\x1d\x1e\x1f"
+
 
-    The walk over paragraphs runs in a task; the density of each paragraph is a column that it is given.
+def walked(
+    found: DataFrame, id_col: str, min_words: int, vocabulary: list[str] | None, paragraphs: bool, signals: tuple[str, ...] = SIGNALS, measure: re.Pattern = MEASURE, verb: re.Pattern = VERB
+) -> DataFrame:
+    """(id, section, priority, text, density, n_words) of sections, and with `paragraphs` those of a page without any, as priority 0.
+
+    A walk in a task tells all of these. Densities and words of ASCII texts are counted there, densities only where they
+    are needed. Those of other texts are columns: of paragraphs before the walk, of what it gives after it.
     """
-    paragraphs = F.array_remove(F.transform(F.split("text", r"\n{2,}"), lambda p: F.trim(p)), "")
     score = lambda c: density(c, vocabulary) if vocabulary is not None else density(c)
-    rows = found.select(F.col(id_col).cast("long"), F.transform(paragraphs, lambda p: F.struct(p.alias("t"), score(p).alias("d"))).alias("ps"))
+    lexicon = frozenset(w.encode() for w in (CHEMISTRY_WORDS if vocabulary is None else vocabulary))
+    plain = lambda c: F.octet_length(c) == F.length(c)
+    trimmed = F.array_remove(F.transform(F.split("text", BLANK_LINES.pattern), lambda p: F.trim(p)), "")
+    given = F.when(~plain("text"), F.transform(trimmed, lambda p: F.when(~plain(p), score(p))))
+    rows = found.select(F.col(id_col).cast("long"), "text", given.alias("ds"))
 
-    def walk(ps: list[dict]) -> Iterator[tuple[int, str]]:
+    def walk(ps: list[str], ds: list[float | None] | None) -> Iterator[tuple[int, int, str]]:
         k = 0
         while k < len(ps):
-            text = ps[k]["t"]
+            text = ps[k]
             low, n = text.lower(), len(text.split())
             heading = n <= 25 and any(s in low for s in signals)
             if not (heading or n > 30 and measure.search(text) and verb.search(text)):
@@ -192,53 +203,68 @@ def page_sections(found: DataFrame, id_col: str = "page_id", min_words: int = 50
                 continue
             parts, size, k = [text], n, k + 1
             while k < len(ps) and size < 900:
-                t = ps[k]["t"]
-                if len(t.split()) <= 25 and NEXT_HEADING.match(t):
+                t = ps[k]
+                if NEXT_HEADING.match(t) and len(t.split()) <= 25:
                     break
-                if ps[k]["d"] > 0.1 or heading:
+                if heading or (ascii_density(t, lexicon) if ds is None or ds[k] is None else ds[k]) > 0.1:
                     parts.append(t)
                     size += len(t.split())
                 k += 1
             special = any(s in low for s in ("synthesis of", "preparation of", "synthetic procedure"))
-            whole = " ".join(parts)
-            if len(whole.split()) >= min_words:
-                yield 4 if special else 3 if heading else 2, whole
+            if size >= min_words:
+                yield 4 if special else 3 if heading else 2, size, " ".join(parts)
+
+    def told(text: str | None, ds: list[float | None] | None) -> Iterator[tuple[int, int, str, float | None, int | None]]:
+        if text is None:
+            return
+        split, some = BLANK_LINES.split(text) if "\n\n\n" in text else text.split("\n\n"), False
+        for k, (priority, n, whole) in enumerate(walk([t for p in split if (t := p.strip(" "))], ds)):
+            some = True
+            if not whole.isascii():
+                yield k, priority, whole, None, None
+                continue
+            # In texts, not in bytes, Python takes four separators for white space, which Java doesn't.
+            raw = whole.encode()
+            yield k, priority, whole, ascii_density(whole, lexicon), n if len(raw.translate(None, SEPARATORS)) == len(raw) else len(raw.split())
+        if paragraphs and not some:
+            for k, p in enumerate(split):
+                if not p.isascii():
+                    yield k, 0, p, None, None
+                elif (n := len(p.encode().split())) >= PARAGRAPH_WORDS and (d := ascii_density(p, lexicon)) > PARAGRAPH_DENSITY:
+                    yield k, 0, p, d, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, k, *s) for i, ps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, s in enumerate(walk(ps or []))]
-            cols = zip(*out) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=[id_col, "section", "priority", "text"])
+            out = [(i, *s) for i, text, ds in zip(*(c.to_pylist() for c in batch.columns)) for s in told(text, ds)]
+            cols = zip(*out) if out else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()))], names=[id_col, "section", "priority", "text", "density", "n_words"])
+
+    got = text_batches(rows).mapInArrow(run, f"`{id_col}` long, section int, priority int, text string, density double, n_words int")
+    return got.withColumns({"density": F.coalesce("density", score(F.col("text"))), "n_words": F.coalesce("n_words", word_count("text"))})
+
 
-    got = text_batches(rows).mapInArrow(run, f"`{id_col}` long, section int, priority int, text string").withColumn("density", score(F.col("text")))
+def page_sections(found: DataFrame, id_col: str = "page_id", min_words: int = 50, vocabulary: list[str] | None = None, signals: tuple[str, ...] = SIGNALS, measure: re.Pattern = MEASURE, verb: re.Pattern = VERB) -> DataFrame:
+    """(id, section, priority, text, density) of article text: paragraphs from a heading or a procedure on."""
+    got = walked(found, id_col, min_words, vocabulary, False, signals, measure, verb).drop("n_words")
     # If a page has sections of the highest priority, only those count.
     top = F.max("priority").over(Window.partitionBy(id_col))
     return got.withColumn("top", top).where((F.col("top") < 4) | (F.col("priority") == 4)).drop("top")
 
 
-
-
-#: Sections and fallback paragraphs of a page at most, and the density that these must pass.
-PAGE_SECTIONS, PAGE_PARAGRAPHS, PARAGRAPH_DENSITY = 5, 3, 0.05
-
-
 def page_chunks(found: DataFrame, id_col: str = "page_id", min_words: int = 50, vocabulary: list[str] | None = None) -> DataFrame:
     """(id, place, section, text, n_words) of article texts: the best sections of a page, or its densest paragraphs if it has none.
 
-    The best PAGE_SECTIONS by priority and density are taken first; those that are too short then go. Sections are
-    written down, since pages without any are known only then; paragraphs are scored before they are dealt out, once each.
+    The best PAGE_SECTIONS by priority and density are taken first; those that are too short then go. Pages are walked
+    once, and words are counted before rows are dealt by page, so that texts move only if they are asked for.
     """
-    score = lambda c: density(c, vocabulary) if vocabulary is not None else density(c)
-    sections = cut(page_sections(found, id_col, vocabulary=vocabulary))
+    got = walked(found, id_col, 50, vocabulary, True).where((F.col("priority") > 0) | ((F.col("n_words") >= PARAGRAPH_WORDS) & (F.col("density") > PARAGRAPH_DENSITY)))
+    # Paragraphs count only if no page of this id has sections; of sections only the highest priority, if it is there.
+    top = F.max("priority").over(Window.partitionBy(id_col))
+    kept = got.withColumn("top", top).where(F.when(F.col("top") == 4, F.col("priority") == 4).otherwise((F.col("priority") > 0) | (F.col("top") == 0)))
     best = Window.partitionBy(id_col).orderBy(F.desc("priority"), F.desc("density"), "section")
-    named = sections.withColumn("place", F.row_number().over(best)).select(id_col, "place", F.lit("experimental_section").alias("section"), "text")
-    rest = found.withColumn(id_col, F.col(id_col).cast("long")).join(sections.select(id_col).distinct(), id_col, "left_anti")
-    long = F.filter(F.transform(F.split("text", r"\n{2,}"), lambda p, k: F.struct(k.alias("k"), p.alias("text"))), lambda p: word_count(p["text"]) >= 50)
-    parts = rest.select(id_col, F.inline(F.filter(F.transform(long, lambda p: F.struct(p["k"].alias("k"), p["text"].alias("text"), score(p["text"]).alias("density"))), lambda p: p["density"] > PARAGRAPH_DENSITY)))
-    densest = Window.partitionBy(id_col).orderBy(F.desc("density"), "k")
-    fallback = parts.withColumn("place", F.row_number().over(densest)).where(F.col("place") <= PAGE_PARAGRAPHS).select(id_col, "place", F.concat(F.lit("paragraph_"), F.col("k").cast("string")).alias("section"), "text")
-    rows = named.unionByName(fallback).where(F.col("place") <= PAGE_SECTIONS)
-    return rows.withColumn("n_words", word_count("text")).where(F.col("n_words") >= min_words)
+    placed = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= F.when(F.col("priority") > 0, PAGE_SECTIONS).otherwise(PAGE_PARAGRAPHS))
+    name = F.when(F.col("priority") > 0, "experimental_section").otherwise(F.concat(F.lit("paragraph_"), F.col("section").cast("string")))
+    return placed.select(id_col, "place", name.alias("section"), "text", "n_words").where(F.col("n_words") >= min_words)
 
 
 def word_count(column: str | Column) -> Column:
