@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Pairs that go together at most, words of the table of their letters, and characters between looks at what can still be reached.
-PAIRS, TABLE_WORDS, LOOK = 16384, 1 << 21, 8
+PAIRS, TABLE_WORDS, LOOK = 1 << 16, 1 << 21, 16
 #: Pairs for each 64 places of the band below which they are compared one by one.
 FEW = 20
 ONES, ONE = np.uint64((1 << 64) - 1), np.uint64(1)
@@ -148,7 +148,8 @@ class Texts:
             at = base + self.by_place[j].take(b)
             carry = None
             for w, row in enumerate(rows):
-                used = row & table[low + w].take(at)
+                used = table[low + w].take(at)
+                used &= row
                 total = row + used
                 if w + 1 < len(rows):
                     over = total < row
